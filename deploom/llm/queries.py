@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license import oracle as license_oracle
 
 
 def _tokenizer(name: str) -> str:
@@ -47,3 +48,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op3_bpe_round_trip, op5_simhash)}
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op10_license_rules,)}
+ORACLES |= {"op10_license_rules": license_oracle()}
