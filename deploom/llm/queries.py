@@ -58,3 +58,12 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (op10_license_rules,)}
 ORACLES |= {"op10_license_rules": license_oracle()}
+
+
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
+QUERIES |= {f.__name__: f for f in (op6_disclosure,)}
