@@ -30,21 +30,28 @@ def library_encoder(path: str) -> ChunkEncoder:
     tok = Tokenizer.from_file(path)
     model, normalizer = tok.model, tok.normalizer
     stand_in = dict(enumerate(byte_alphabet()))
+    space = stand_in[32]
     lower = normalizer is not None  # the word-level file drops white space and lowers case
 
     def encode(chunk: str) -> bytes:
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isalpha():
-            if lower:
+            if lower and word.isascii():
+                body = word.lower()
+                if body != word:  # capitals share the small letters' entry
+                    return encoder.head[body]
+            elif lower:
                 body = normalizer.normalize_str(word)
                 if not body.isalpha():
                     return _ids(tok.encode(chunk, add_special_tokens=False).ids)
             else:
                 body = chunk
-            return _ids([t.id for t in model.tokenize(body.encode().decode("latin1").translate(stand_in))])
+            mapped = body.replace(" ", space) if body.isascii() else body.encode().decode("latin1").translate(stand_in)
+            return _ids([t.id for t in model.tokenize(mapped)])
         return _ids(tok.encode(chunk, add_special_tokens=False).ids)
 
-    return ChunkEncoder(encode)
+    encoder = ChunkEncoder(encode)
+    return encoder
 
 
 def _ids(ids: list[int]) -> bytes:
