@@ -107,3 +107,12 @@ s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, le
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20""",
 }
+
+
+def op7_shard_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bwt import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op7_shard_bwt,)}
