@@ -60,14 +60,18 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
+    """doc_id, fp (the 64 bits as a signed long), key (tells rows apart by doc_id and text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), _key())
 
     def run(b):
         got = [fingerprint(t.encode()) for t in b.column(1).to_pylist()]
-        return {"doc_id": b.column(0), "fp": np.array(got, np.uint64).view(np.int64)}
+        return {"doc_id": b.column(0), "fp": np.array(got, np.uint64).view(np.int64), "key": b.column(2)}
 
-    return map_batches(rows, run, "doc_id long, fp long")
+    return map_batches(rows, run, "doc_id long, fp long, key long")
+
+
+def _key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")
 
 
 def block_plan(n: int, radius: int = RADIUS) -> list[int]:
@@ -151,7 +155,7 @@ def _group_links(fp, group, d0, pivots, radius):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
+    """doc_id, fp, key, component_id (smallest doc_id reachable over links, itself included).
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows share a
     component; null doc_ids get the component of their fingerprint; an empty table gives no rows;
@@ -164,4 +168,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest = grouped.groupBy("component").agg(F.min("first").alias("smallest"))
     better = grouped.join(smallest, "component").select("fp", "smallest")
     of_print = first.join(better, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "fp", "key", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does (its smallest doc_id; of repeated rows, one)."""
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"))
+    kept = written(kept, "kept")
+    keyed = docs.withColumn("__key", _key())
+    out = keyed.join(kept.distinct(), "__key", "left_semi")
+    if not kept.groupBy("__key").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["__key"])
+    return out.select(*docs.columns)

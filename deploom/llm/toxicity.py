@@ -29,7 +29,8 @@ WORD_DIM, CHAR_DIM, CHAR_HIDDEN, HIDDEN = 8, 6, 4, 8
 #: Longer words enter as consecutive pieces.
 PIECE = 16
 ALPHABET = 64
-EPOCHS, BATCH, RATE = 2, 128, 0.01
+#: Each of the two fits takes at least this many epochs and steps.
+EPOCHS, STEPS, BATCH, RATE = 2, 80, 128, 0.01
 #: Significance (log-likelihood ratio) that a word needs to enter the vocabulary.
 EVIDENCE = 10.0
 #: Logit from which a clean text's window is trained on again.
@@ -166,7 +167,7 @@ class Model:
         rng, state = np.random.default_rng(seed), {}
         params = self.named()
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(windows))))):
             order = rng.permutation(len(windows))
             for k in range(0, len(order), BATCH):
                 own = order[k : k + BATCH]
@@ -413,3 +414,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     got = map_batches(rows, run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, whose text scores below ``THRESHOLD``; no shuffle."""
+    import pickle
+
+    from .common import ship
+
+    ship(docs.sparkSession)
+    blob = pickle.dumps(train(*training_sample(docs, labels)), protocol=5)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(scorer(blob).score(texts) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
