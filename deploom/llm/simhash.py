@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest = grouped.groupBy("component").agg(F.min("first").alias("smallest"))
     better = grouped.join(smallest, "component").select("fp", "smallest")
     of_print = first.join(better, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "key", "component_id")
+    # a table of its own, so that adaptive execution can split a common fingerprint's rows in the join
+    return prints.join(written(of_print, "of_print"), "fp").select("doc_id", "fp", "key", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
