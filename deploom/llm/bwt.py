@@ -51,7 +51,7 @@ _NULL_ID = -(1 << 63)
 def _zip(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unzip(data: bytes) -> bytes:
@@ -155,6 +155,11 @@ def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
+def _short(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket above 32 more bits of the key: all that is sent.  A clash only makes a candidate more."""
+    return key % np.uint64(buckets) << np.uint64(32) | key // np.uint64(buckets) & np.uint64(0xFFFFFFFF)
+
+
 def find_covers(shards: DataFrame) -> DataFrame:
     """shard, covers: per row a blob of ``COVER`` intervals of starts whose windows begin earlier elsewhere."""
     import pyarrow as pa
@@ -166,26 +171,26 @@ def find_covers(shards: DataFrame) -> DataFrame:
     def keys(batches):
         for b in batches:
             for shard, lengths, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key, n = np.unique(Runs(_unzip(data), np.frombuffer(lengths, "<i8")).key, return_counts=True)
-                got = list(_blobs(_bucket_of(key, buckets), key, n.astype("<u4")))
+                key, n = np.unique(_short(Runs(_unzip(data), np.frombuffer(lengths, "<i8")).key, buckets), return_counts=True)
+                got = list(_blobs((key >> np.uint64(32)).astype(np.int64), key.astype("<u4"), np.minimum(n, COMMON + 1).astype("<u2")))
                 if got:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in got], pa.int32()), "shard": pa.array([shard] * len(got), pa.int64()), "keys": pa.array([x[1][0].tobytes() for x in got], pa.binary()), "counts": pa.array([x[1][1].tobytes() for x in got], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in got], pa.int32()), "shard": pa.array([shard] * len(got), pa.int64()), "keys": pa.array([x[1][0].tobytes() for x in got], pa.binary()), "counts": pa.array([_zip(x[1][1].tobytes()) for x in got], pa.binary())})
 
     dealt = shards.select("shard", "lengths", "data").mapInArrow(keys, "bucket int, shard long, keys binary, counts binary")
 
     def repeated(t):
-        parts = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]).astype(np.int64)
+        parts = [np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()]
+        counts = np.concatenate([np.frombuffer(_unzip(x), "<u2") for x in t.column("counts").to_pylist()]).astype(np.int64)
         every = np.concatenate(parts)
         _, back = np.unique(every, return_inverse=True)
         total = np.bincount(back, weights=counts)[back]
         cut = np.cumsum([len(p) for p in parts])[:-1]
         twice = [p[x].tobytes() for p, x in zip(parts, np.split(total >= 2, cut))]
         common = [p[x].tobytes() for p, x in zip(parts, np.split(total > COMMON, cut))]
-        return pa.table({"shard": t.column("shard"), "twice": pa.array(twice, pa.binary()), "common": pa.array(common, pa.binary())})
+        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "twice": pa.array(twice, pa.binary()), "common": pa.array(common, pa.binary())})
 
-    known = dealt.groupBy("bucket").applyInArrow(repeated, "shard long, twice binary, common binary")
-    known = known.groupBy("shard").agg(F.collect_list("twice").alias("twice"), F.collect_list("common").alias("common"))
+    known = dealt.groupBy("bucket").applyInArrow(repeated, "shard long, bucket int, twice binary, common binary")
+    known = known.groupBy("shard").agg(F.collect_list(F.struct("bucket", "twice", "common")).alias("known"))
     joined = shards.select("shard", "doc_ids", "lengths", "data").join(known, "shard")
 
     def candidates(batches):
@@ -193,14 +198,17 @@ def find_covers(shards: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 yield _candidates(row, buckets)
 
-    found = written(joined.mapInArrow(candidates, "bucket int, shard long, records binary, data binary"), "records", compression="none")
+    found = joined.mapInArrow(candidates, "bucket int, shard long, records binary, data binary, covers binary")
 
     def merge(t):
-        shard, covers = merge_records([np.frombuffer(x, RECORD) for x in t.column("records").to_pylist()], [_unzip(x) for x in t.column("data").to_pylist()])
+        shard, covers = merge_records([np.frombuffer(_unzip(x), RECORD) for x in t.column("records").to_pylist()], [_unzip(x) for x in t.column("data").to_pylist()])
+        for own, blob in zip(t.column("shard").to_pylist(), t.column("covers").to_pylist()):
+            if blob:
+                shard.append(own)
+                covers.append(blob)
         return pa.table({"shard": pa.array(shard, pa.int64()), "covers": pa.array(covers, pa.binary())})
 
-    merged = found.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, "shard long, covers binary")
-    return merged.unionByName(found.where("bucket < 0").select("shard", F.col("records").alias("covers")))
+    return found.groupBy("bucket").applyInArrow(merge, "shard long, covers binary")
 
 
 def _candidates(row: dict, buckets: int):
@@ -209,10 +217,10 @@ def _candidates(row: dict, buckets: int):
 
     data, lengths = _unzip(row["data"]), np.frombuffer(row["lengths"], "<i8")
     doc_ids, begins, runs = np.frombuffer(row["doc_ids"], "<i8"), np.cumsum(lengths) - lengths, Runs(data, lengths)
-    twice = np.concatenate([np.frombuffer(x, "<u8") for x in row["twice"]])
-    common = np.concatenate([np.frombuffer(x, "<u8") for x in row["common"]])
-    at = np.flatnonzero(np.isin(runs.key, twice))
-    hot = np.isin(runs.key[at], common)
+    twice, common = (np.concatenate([np.frombuffer(x[name], "<u4").astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in row["known"]]) for name in ("twice", "common"))
+    short = _short(runs.key, buckets)
+    at = np.flatnonzero(np.isin(short, twice))
+    hot = np.isin(short[at], common)
     start, count, left, doc, key = (x[at] for x in (runs.start, runs.count, runs.left, runs.doc, runs.key))
     if hot.any():  # one record per window, dealt by its bytes
         n = count[hot]
@@ -234,22 +242,19 @@ def _candidates(row: dict, buckets: int):
     record = np.zeros(len(keep), RECORD)
     for name, x in (("doc_id", doc_ids[doc[keep]] if len(keep) else 0), ("shard", row["shard"]), ("doc", doc[keep]), ("start", start[keep] - begins[doc[keep]] if len(keep) else 0), ("count", count[keep]), ("left", left[keep])):
         record[name] = x
-    out = {"bucket": [], "shard": [], "records": [], "data": []}
-    for b, (rec, begin) in _blobs(_bucket_of(key[keep], buckets), record, start[keep]):
-        out["bucket"].append(b)
-        out["shard"].append(row["shard"])
-        out["records"].append(rec.tobytes())
-        out["data"].append(_zip(b"".join(data[s : s + c + LENGTH - 1] for s, c in zip(begin.tolist(), rec["count"].tolist()))))
+    cover = np.zeros(len(covered), COVER)
     if len(covered):
-        cover = np.zeros(len(covered), COVER)
         cover["doc"] = doc[covered]
         cover["first"] = start[covered] - begins[doc[covered]]
         cover["last"] = cover["first"] + count[covered] - 1
-        out["bucket"].append(-1)
+    out = {"bucket": [], "shard": [], "records": [], "data": [], "covers": []}
+    for b, (rec, begin) in _blobs(_bucket_of(key[keep], buckets), record, start[keep]):
+        out["bucket"].append(b)
         out["shard"].append(row["shard"])
-        out["records"].append(cover.tobytes())
-        out["data"].append(b"")
-    kinds = {"bucket": pa.int32(), "shard": pa.int64(), "records": pa.binary(), "data": pa.binary()}
+        out["records"].append(_zip(rec.tobytes()))
+        out["data"].append(_zip(b"".join(data[s : s + c + LENGTH - 1] for s, c in zip(begin.tolist(), rec["count"].tolist()))))
+        out["covers"].append(b"" if out["covers"] else cover.tobytes())  # any row of the shard may carry them
+    kinds = {"bucket": pa.int32(), "shard": pa.int64(), "records": pa.binary(), "data": pa.binary(), "covers": pa.binary()}
     return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
