@@ -40,8 +40,8 @@ BUCKET_BYTES = 16 << 20
 CORE, REACH = 66, 32
 SIDE = CORE - REACH
 SPAN = LENGTH - REACH
-#: Occurrences from which an anchor's windows are dealt one by one.
-COMMON = 1000
+#: Occurrences, and share of its bucket's repeats, from which an anchor's windows are dealt one by one.
+COMMON, COMMON_SHARE = 1000, 0.1
 
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SHARD = "shard long, doc_ids binary, lengths binary, data binary, rest binary"
@@ -172,7 +172,7 @@ def find_covers(shards: DataFrame) -> DataFrame:
         for b in batches:
             for shard, lengths, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 key, n = np.unique(_short(Runs(_unzip(data), np.frombuffer(lengths, "<i8")).key, buckets), return_counts=True)
-                got = list(_blobs((key >> np.uint64(32)).astype(np.int64), key.astype("<u4"), np.minimum(n, COMMON + 1).astype("<u2")))
+                got = list(_blobs((key >> np.uint64(32)).astype(np.int64), key.astype("<u4"), n.astype("<u4")))
                 if got:
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in got], pa.int32()), "shard": pa.array([shard] * len(got), pa.int64()), "keys": pa.array([x[1][0].tobytes() for x in got], pa.binary()), "counts": pa.array([_zip(x[1][1].tobytes()) for x in got], pa.binary())})
 
@@ -180,13 +180,14 @@ def find_covers(shards: DataFrame) -> DataFrame:
 
     def repeated(t):
         parts = [np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(_unzip(x), "<u2") for x in t.column("counts").to_pylist()]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(_unzip(x), "<u4") for x in t.column("counts").to_pylist()]).astype(np.int64)
         every = np.concatenate(parts)
         _, back = np.unique(every, return_inverse=True)
         total = np.bincount(back, weights=counts)[back]
         cut = np.cumsum([len(p) for p in parts])[:-1]
         twice = [p[x].tobytes() for p, x in zip(parts, np.split(total >= 2, cut))]
-        common = [p[x].tobytes() for p, x in zip(parts, np.split(total > COMMON, cut))]
+        limit = max(COMMON, COMMON_SHARE * counts[total >= 2].sum())
+        common = [p[x].tobytes() for p, x in zip(parts, np.split(total > limit, cut))]
         return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "twice": pa.array(twice, pa.binary()), "common": pa.array(common, pa.binary())})
 
     known = dealt.groupBy("bucket").applyInArrow(repeated, "shard long, bucket int, twice binary, common binary")
@@ -263,15 +264,15 @@ def merge_records(records: list[np.ndarray], bodies: list[bytes]) -> tuple[list[
     rec = np.concatenate(records)
     n, width = len(rec), SPAN + LENGTH
     size = rec["count"].astype(np.int64) + LENGTH - 1
-    flat = np.frombuffer(b"".join(bodies), np.uint8)
     column = SPAN - rec["left"].astype(np.int64)  # of the first start; the anchor is at SPAN
-    table = np.zeros((width, n), np.uint8)  # column-major: a column is one stretch of memory
-    row = np.repeat(np.arange(n), size)
-    offset = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    table[column[row] + offset, row] = flat
-    rows = np.ascontiguousarray(table.T)
-    age = np.empty(n, np.int64)
-    age[np.lexsort((rec["start"], rec["doc"], rec["shard"], rec["doc_id"]))] = np.arange(n)
+    rows, at = np.zeros((n, width), np.uint8), 0
+    for part, body in zip(records, bodies):  # one blob at a time: index arrays stay small
+        own = size[at : at + len(part)]
+        ends = np.cumsum(own)
+        offset = np.arange(len(body)) - np.repeat(ends - own, own)
+        rows[np.repeat(np.arange(at, at + len(part)), own), np.repeat(column[at : at + len(part)], own) + offset] = np.frombuffer(body, np.uint8)
+        at += len(part)
+    table = np.ascontiguousarray(rows.T)  # a column is one stretch of memory
     same = np.lexsort((rec["doc"], rec["shard"], rec["doc_id"]))
     document = np.zeros(n, np.int64)
     fields = rec[["doc_id", "shard", "doc"]][same]
