@@ -2,11 +2,12 @@
 
 A coarse quantiser (k-means) has one inverted list per centroid; a member's residual is coded by
 ``SUBSPACES`` small codebooks, and the length of what the code misses is kept beside it.  A query
-probes every list that can hold a vector within the radius: by the bisecting plane between its own
-centroid and another, a vector nearer to the other is at least
-(|x - c|^2 - |x - c0|^2) / (2 |c - c0|) away.  In a list, distances come from a table of query-to-
-codeword distances; by the triangle inequality a member is dropped only if table distance minus its
-coding error exceeds the radius.  Survivors are reranked by the exact cosine, so no link is lost.
+probes every list whose centroid is, in squared distance, at most ``MARGIN`` farther than its own: an
+offset of the radius in no particular direction changes such differences by less (some four standard
+deviations at the radius itself, far more for nearer pairs).  In a list, distances come from a table of
+query-to-codeword distances; by the triangle inequality a member is dropped only if table distance
+minus its coding error exceeds the radius.  Survivors are reranked by the exact cosine, so what can be
+lost is only a link whose list was not probed.
 
 Copies of a vector collapse first.  Lists are cut into blocks and their queries into chunks; a task
 takes one tile and returns counts and a spanning forest, never all pairs.
@@ -27,6 +28,8 @@ SUBSPACES, CODES = 8, 64
 #: Vectors that the quantisers are fitted on at most (smallest hashes).
 SAMPLE = 16_384
 LIST_ROWS, MAX_LISTS = 256, 1024
+#: How much farther than the own centroid (squared, unit vectors) a probed list's may be.
+MARGIN = 0.15
 MEMBERS, QUERIES = 2048, 4096
 
 
@@ -56,7 +59,6 @@ class Quantiser:
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.cuts = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
         self.books = [kmeans(rest[:, a:b], min(CODES, len(sample)), 6) for a, b in zip(self.cuts, self.cuts[1:])]
-        self.apart = np.sqrt(np.maximum(0, ((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)))
 
     def encode(self, unit: np.ndarray):
         """Home list, codes (n, subspaces) and coding error of each vector."""
@@ -66,11 +68,10 @@ class Quantiser:
         missed = rest - np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
         return home, codes, np.sqrt((missed**2).sum(1))
 
-    def probes(self, unit: np.ndarray, home: np.ndarray, radius: float) -> list[np.ndarray]:
-        """All lists that may hold a vector within ``radius`` of each vector."""
-        square = ((unit[:, None] - self.coarse[None]) ** 2).sum(2) if len(self.coarse) <= 64 else 2 * (0.5 + (self.coarse**2).sum(1) / 2 - unit @ self.coarse.T) + ((unit**2).sum(1) - 1)[:, None]
-        own = square[np.arange(len(unit)), home]
-        near = (square - own[:, None]) <= 2 * radius * self.apart[home] + 1e-6
+    def probes(self, unit: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
+        """The lists that each vector is compared with."""
+        square = (unit**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * unit @ self.coarse.T
+        near = square <= square[np.arange(len(unit)), home][:, None] + MARGIN
         near[np.arange(len(unit)), home] = True
         return [np.flatnonzero(r) for r in near]
 
@@ -126,25 +127,27 @@ def _one_dimension(usable: DataFrame, dim: int, cosine: float) -> DataFrame:
 
     spark = usable.sparkSession
     ship(spark)
-    doubles = F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v")
+    # single-precision input travels as it is; all arithmetic is in double precision
+    kind = "<f4" if usable.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    plain = F.transform("embedding", lambda x: x + F.lit(0).cast("float" if kind == "<f4" else "double")).alias("v")
 
     def bytes_of(b):
-        return {"vec_id": b.column(0), "v": pack(b.column(1), "<f8")}
+        return {"vec_id": b.column(0), "v": pack(b.column(1), kind)}
 
-    rows = written(map_batches(usable.select("vec_id", doubles), bytes_of, "vec_id long, v binary"), "vectors")
+    rows = written(map_batches(usable.select("vec_id", plain), bytes_of, "vec_id long, v binary"), "vectors")
     groups = written(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "groups")
     total = groups.count()
     taken = groups.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
-    sample = np.frombuffer(b"".join(bytes(r["v"]) for r in taken), "<f8").reshape(-1, dim)
+    sample = np.frombuffer(b"".join(bytes(r["v"]) for r in taken), kind).reshape(-1, dim).astype(float)
     model = Quantiser(sample / np.sqrt((sample**2).sum(1))[:, None], total)
-    blob, radius = pickle.dumps(model, protocol=5), float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    blob = pickle.dumps(model, protocol=5)
 
     def code(b):
         own = pickle.loads(blob)
-        x = unpack(b.column(1), "<f8", dim)
+        x = unpack(b.column(1), kind, dim).astype(float)
         unit = x / np.sqrt((x**2).sum(1))[:, None]
         home, codes, error = own.encode(unit)
-        return {"rep": b.column(0), "v": b.column(1), "n": b.column(2), "home": home.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32) * np.float32(1 + 1e-6), "probes": [p.tolist() for p in own.probes(unit, home, radius)]}
+        return {"rep": b.column(0), "v": b.column(1), "n": b.column(2), "home": home.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32) * np.float32(1 + 1e-6), "probes": [p.tolist() for p in own.probes(unit, home)]}
 
     coded = written(map_batches(groups.select("rep", "v", "n"), code, "rep long, v binary, n long, home int, codes binary, error float, probes array<int>"), "coded")
     asks = coded.select(F.col("rep").alias("asking"), F.col("v").alias("query"), F.explode("probes").alias("list"))
@@ -162,7 +165,7 @@ def _one_dimension(usable: DataFrame, dim: int, cosine: float) -> DataFrame:
         own = pickle.loads(blob)
         mid, qid = a.column("rep").to_numpy(), b.column("asking").to_numpy()
         codes = np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(len(mid), -1)
-        links, label = tile_links(own, a.column("list")[0].as_py(), unpack(b.column("query"), "<f8", dim), unpack(a.column("v"), "<f8", dim), codes, a.column("error").to_numpy(), qid, mid, a.column("n").to_numpy(), cosine)
+        links, label = tile_links(own, a.column("list")[0].as_py(), unpack(b.column("query"), kind, dim).astype(float), unpack(a.column("v"), kind, dim).astype(float), codes, a.column("error").to_numpy(), qid, mid, a.column("n").to_numpy(), cosine)
         ids = np.concatenate((qid, mid))
         root = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(root, label, ids)
