@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import map_batches, text_or_empty
+from .common import map_batches, one_table_at_a_time, text_or_empty
 
 #: States recorded per worker.
 STATE_LIMIT = 60_000
@@ -225,8 +225,14 @@ class RankTokenizer:
         yield stream.feed([], last=True)
 
 
-@functools.lru_cache(maxsize=2)
 def rank_tokenizer(path: str, pattern: str) -> RankTokenizer:
+    """The worker's tokenizer of one rank file."""
+    one_table_at_a_time("ranks:" + path, _rank_tokenizer.cache_clear)
+    return _rank_tokenizer(path, pattern)
+
+
+@functools.lru_cache(maxsize=1)
+def _rank_tokenizer(path: str, pattern: str) -> RankTokenizer:
     return RankTokenizer(path, pattern)
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 
-#: Chunks remembered per worker; beyond it the table starts afresh (results do not depend on it).
-CACHE_ENTRIES = 1_000_000
+#: Chunks remembered per worker and table: the first ones, which hold the frequent ones (results do not depend on it).
+CACHE_ENTRIES = 600_000
 
 #: A space between white space on both sides, or after white space at the end: not a chunk boundary.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -25,8 +25,6 @@ class ChunkTable(dict):
         self.owner, self.prefix = owner, prefix
 
     def __missing__(self, chunk):
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         owner, parts = self.owner, chunk.split("\n")
         if len(parts) > 1 and all(p.isprintable() and p and " " not in p for p in parts):
             # single line ends between words are pre-tokens of their own; too varied to remember
@@ -38,7 +36,8 @@ class ChunkTable(dict):
             value = owner.sep.join((self[chunk[:-1]], owner.head[chunk[-1]]))
         else:
             value = owner.whole(self.prefix + chunk)
-        self[chunk] = value
+        if len(self) < CACHE_ENTRIES:
+            self[chunk] = value
         return value
 
 

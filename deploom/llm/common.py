@@ -95,3 +95,13 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 def text_or_empty(col: str = "text"):
     """Null texts count as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).alias("text")
+
+
+_ACTIVE: dict[str, object] = {}
+
+
+def one_table_at_a_time(name: str, drop) -> None:
+    """A worker keeps the look-up tables of one operator at a time: another's are dropped when ``name`` begins."""
+    for other in [k for k in _ACTIVE if k != name]:
+        _ACTIVE.pop(other)()
+    _ACTIVE[name] = drop

@@ -8,6 +8,7 @@ import os
 import numpy as np
 
 from .chunks import ChunkEncoder
+from .common import one_table_at_a_time
 
 
 def byte_alphabet() -> list[str]:
@@ -17,8 +18,14 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
-@functools.lru_cache(maxsize=4)
 def library_encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder of one tokenizers file."""
+    one_table_at_a_time("tokens:" + path, _encoder.cache_clear)
+    return _encoder(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
     """Encoder of one tokenizers file: text -> ids as little-endian unsigned 32-bit integers.
 
     A word of letters alone is a single pre-token, so it goes straight to the library's model;

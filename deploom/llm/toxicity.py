@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import map_batches, one_table_at_a_time, text_or_empty
 
 WINDOW, STRIDE = 32, 24
 THRESHOLD = 0.7
@@ -36,9 +36,9 @@ EVIDENCE = 10.0
 #: Logit from which a clean text's window is trained on again.
 HARD = -3.0
 #: Tokens that are scored together.
-GROUP_TOKENS = 1 << 18
+GROUP_TOKENS = 1 << 17
 #: Word projections kept per worker.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 _EDGES = ".,;:!?\"'()[]{}|*%&#$<>=/\\-_+@"
 
@@ -389,6 +389,7 @@ def scorer(blob: bytes) -> Scorer:
     import hashlib
     import pickle
 
+    one_table_at_a_time("toxicity", _SCORERS.clear)
     key = hashlib.sha256(blob).digest()
     if key not in _SCORERS:
         _SCORERS.clear()
