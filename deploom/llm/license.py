@@ -110,7 +110,7 @@ def oracle() -> str:
   from (select {key}, doc_id, found, gaps, unnest(found) as m, unnest(range(1, len(found) + 1)) as i from (
     select {key}, doc_id, regexp_extract_all(words, pattern) as found, regexp_split_to_array(words, pattern) as gaps from {source})))"""
     return f"""with rules(id, label, tier, keyword, pattern) as (values {values}), base(label, pattern) as (values {base}),
-docs as (select row_number() over () as u, doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g')) as w from documents),
+docs as (select row_number() over () as u, doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ') as w from documents),
 norm as (select u as doc_id, doc_id as shown, case when w = '' then 0 else len(w) - len(replace(w, ' ', '')) + 1 end::bigint as n_words,
   ' ' || replace(translate(w, '{_UPPER}', '{_SMALL}'), ' ', '  ') || ' ' as words from docs),
 base_hits as ({places.format(key="label", source="norm, base")}),
