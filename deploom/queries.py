@@ -138,7 +138,7 @@ def graph_degree(spark, sf_dir):
     return graph(spark, sf_dir).degrees()
 
 
-#: A part of the graph that brute definitions can afford.
+#: A part of the graph that the brute definitions in SQL can afford; the same operators run on all of it as ``*_whole``.
 SMALL = "reach(order/..., cust/1 cust/2 cust/4) + cust/1 cust/2 cust/4"
 _SMALL = backward("back", "select id from packages where id in ('cust/1', 'cust/2', 'cust/4')"), "g as (select id from back where id not like '%.test')"
 _ROOTS = "roots as (select id from g where id not in (select dst from e))"
@@ -178,9 +178,35 @@ _KEY = "regexp_replace({}, '[^a-zA-Z0-9]+', '_', 'g')"
 written_graph("mermaid_out", "mermaid", _EDGE_SMALL + _report("select 0 as part, '' as k1, '' as k2, 0 as k3, 'flowchart LR' as line", f"""select 1, id, '', 0, '    ' || {_KEY.format('id')} || '["' || id || '"]' from g""", f"""select 1, id, '', 1, '    click ' || {_KEY.format('id')} || ' "https://pkg.go.dev/' || id || '" _blank' from g""", f"select 2, src, dst, 0, '    ' || {_KEY.format('src')} || ' --> ' || {_KEY.format('dst')} from e"), nocolor=True)
 _HEAD = ["digraph G {", '    node [fontsize=10 shape=rectangle target="_graphviz"];', "    edge [tailport=e];", "    compound=true;", "    rankdir=LR;", "    newrank=true;", '    ranksep="1.5";', '    quantum="0.5";']
 written_graph("dot_out", "dot", _EDGE_SMALL + _report(*[f"select 0 as part, '' as k1, '' as k2, {i} as k3, '{x}' as line" for i, x in enumerate(_HEAD)], """select 1, id, '', 0, '    "' || id || '" [label="' || id || '" href="https://pkg.go.dev/' || id || '" ];' from g""", """select 2, src, dst, 0, '    "' || src || '" -> "' || dst || '" [];' from e""", "select 3, '', '', 0, '}'"), template="{{.ID}}", nocolor=True)
-written_graph("dot_color_out", "dot", None, colors={"red": "cust/...", "blue": "cust/1"})
-written_graph("dot_cluster_out", "dot", None, cluster=True)
-written_graph("graphml_out", "graphml", None)
+#: Every package, the standard library included: cut, tree and the writers on all of it, without SQL (brute force in tests/test_whole_graph.py).
+WHOLE = "..."
+
+
+def written_whole(name: str, kind: str, **options) -> None:
+    def run(spark, sf_dir):
+        return engine(spark, sf_dir).graph(WHOLE, type=kind, std=True, **options)
+
+    query(name)(run)
+
+
+written_whole("dot_color_out", "dot", colors={"red": "cust/...", "blue": "cust/1"})
+written_whole("dot_cluster_out", "dot", cluster=True)
+written_whole("graphml_out", "graphml")
+written_whole("edges_out_whole", "edges")
+written_whole("digraph_out_whole", "digraph")
+written_whole("tgf_out_whole", "tgf")
+written_whole("mermaid_out_whole", "mermaid", nocolor=True)
+written_whole("dot_out_whole", "dot", template="{{.ID}}", nocolor=True)
+
+
+@query("graph_cut_whole")
+def graph_cut_whole(spark, sf_dir):
+    return engine(spark, sf_dir).cut(WHOLE, std=True).select("id", "in_degree", "out_degree", *["cut_" + c for c in STATS])
+
+
+@query("tree_lines_whole")
+def tree_lines_whole(spark, sf_dir):
+    return engine(spark, sf_dir).tree(WHOLE, std=True).select("line", "depth", "id", "parent_id", "ref")
 
 
 @query("graph_color", BASE + "select id, ('0x' || substr(sha256(id), 1, 4))::bigint as hue from packages where id not like '%.test'")
@@ -327,4 +353,4 @@ def exec_inputs(spark, sf_dir):
 
 @query("tree_text")
 def tree_text(spark, sf_dir):
-    return tables.tree_lines(engine(spark, sf_dir).tree(SMALL))
+    return tables.tree_lines(engine(spark, sf_dir).tree(WHOLE, std=True))
