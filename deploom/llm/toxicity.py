@@ -26,7 +26,7 @@ THRESHOLD = 0.7
 TRAIN_TOXIC, TRAIN_CLEAN, WINDOWS_A_DOC = 1500, 2500, 2
 VOCABULARY = 20_000
 WORD_DIM, CHAR_DIM, CHAR_HIDDEN, HIDDEN = 8, 6, 4, 8
-#: Longer words enter as consecutive pieces.
+#: Characters of a token that the character network sees; what a longer word has beyond them enters as further tokens.
 PIECE = 16
 ALPHABET = 64
 #: Each of the two fits takes at least this many epochs and steps.
@@ -47,14 +47,33 @@ def normal(token: str) -> str:
     return token.strip(_EDGES).lower()
 
 
-def pieces(text: str) -> list[str]:
-    """Raw tokens, long ones cut into pieces so that no character is left out."""
+def pieces(text: str, known=()) -> list[str]:
+    """Tokens: words, the long ones in pieces so that no character is left out.
+
+    A long word whose normal form is ``known`` stays whole (its own vector is looked up) and its
+    further pieces follow; any other is cut into consecutive pieces of its normal form.
+    """
     out = text.split()
-    if len(text) > PIECE and any(len(w) > 4 * PIECE for w in out):
-        out = [w[k : k + PIECE] for w in out for k in range(0, len(w), PIECE)]
+    if max(map(len, out), default=0) > PIECE // 2:  # small letters may be longer: at most double
+        out = [x for w in out for x in ((w,) if len(w) <= PIECE // 2 else _cut(w, known))]
     return out
 
 
+def _cut(word: str, known) -> list[str]:
+    n = normal(word)
+    if len(n) <= PIECE:
+        return [word]
+    cut = [n[k : k + PIECE] for k in range(0, len(n), PIECE)]
+    return [n, *cut[1:]] if n in known else cut
+
+
+class _Every:
+    """Knows every word."""
+
+    def __contains__(self, word) -> bool:
+        return True
+
+
 def window_starts(n: int) -> np.ndarray:
     """First words of all windows of a text of n words; the last window reaches its end."""
     return np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
@@ -245,9 +264,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
     Word weights (smoothed log odds of document counts) start the word vectors and choose the
     windows: of a toxic text its most telling one, of a clean text its most and least suspicious.
     """
-    docs = [[normal(w) for w in pieces(t)] for t in texts]
+    docs = [[normal(w) for w in pieces(t, _Every())] for t in texts]
     fresh = _without_copies(docs)
-    docs, labels = [docs[i] for i in fresh], [labels[i] for i in fresh]
+    docs, texts, labels = ([x[i] for i in fresh] for x in (docs, texts, labels))
     counts: dict[str, list[int]] = {}
     for words, label in zip(docs, labels):
         for w in set(words):
@@ -261,6 +280,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     order = sorted(np.flatnonzero(evidence >= EVIDENCE), key=lambda i: (-evidence[i], found[i]))[:VOCABULARY]
     odds = {found[i]: float(weight[i]) for i in order}
     model = Model({w: i + 1 for i, w in enumerate(odds)}, np.clip(list(odds.values()), -3, 6))
+    docs = [[normal(w) for w in pieces(t, odds)] for t in texts]
     rng = np.random.default_rng(5)
     windows, target = [], []
     for words, label in zip(docs, labels):
@@ -349,7 +369,7 @@ class Scorer:
         while k < len(texts):
             words, counts, begin = [], [], k
             while k < len(texts) and (not counts or len(words) < GROUP_TOKENS):
-                own = pieces(texts[k])
+                own = pieces(texts[k], self.model.vocabulary)
                 words += own
                 counts.append(len(own))
                 k += 1
