@@ -3,8 +3,9 @@
 A word enters as its own vector (for the vocabulary learned in training) beside a character vector:
 the last states of a small bidirectional recurrent network over its characters.  A window of
 ``WINDOW`` words runs through a bidirectional recurrent network; attention pools its states into one
-vector and that into a logit.  Windows overlap by ``WINDOW - STRIDE`` words and cover the whole text;
-a document scores as its worst window.
+vector and that into a logit.  Windows begin every ``STRIDE`` words, half a window, and cover the whole
+text: a passage of up to 17 words lies whole in some window wherever it begins.  A document scores as
+its worst window.
 
 Training uses a sample of at most ``TRAIN_TOXIC`` + ``TRAIN_CLEAN`` labelled documents (the smallest
 hashes), so its cost does not grow; scoring covers every window of every document.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, one_table_at_a_time, text_or_empty
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.7
 #: Bounds of the training sample, and how many windows a training document gives.
 TRAIN_TOXIC, TRAIN_CLEAN, WINDOWS_A_DOC = 1500, 2500, 2

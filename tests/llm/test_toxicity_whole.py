@@ -25,3 +25,10 @@ def test_a_longest_word_changes_no_other(scorer):
     assert words[0] == "donaudampfschifffahrt" and words[1] == "fahrt" and words[2] == "b"
     assert "".join(words[3:]) == "x" * 65
     assert toxicity.pieces("İ" * 12)[0] == ("İ" * 12).lower()[: toxicity.PIECE]
+
+
+def test_a_passage_of_half_a_window_lies_whole_in_some_window():
+    for n in (17, 32, 33, 49, 100, 500):
+        starts = toxicity.window_starts(n)
+        for begin in range(n - 16):
+            assert any(s <= begin and begin + 17 <= s + toxicity.WINDOW for s in starts), (n, begin)
