@@ -3,8 +3,8 @@
 Bounded-space online best-fit: a task keeps at most ``OPEN_BINS`` sequences open, found through a
 bitset keyed by free space (bit f is set while some open sequence has f free tokens).  A piece goes
 where the least space remains; if none fits a new sequence opens, and when too many are open the
-fullest closes first.  Whatever stays open when a task ends is packed again, as whole bins, in a
-second round over far fewer rows.
+fullest closes first.  Whatever stays open when a task ends stays part-filled: at most ``OPEN_BINS``
+sequences a task of about ``TASK_PIECES`` pieces.
 """
 
 from __future__ import annotations
