@@ -1,4 +1,4 @@
-"""Repeated passages: merging the Burrows-Wheeler transforms of shards by interleave refinement.
+"""Repeated passages: the order of suffixes of shards' records, by a column radix sort in buckets.
 
 A byte goes if a 100-byte string that covers it also starts earlier.  Sorting all suffixes of a corpus
 anew is out of reach, and not needed: only windows of 100 bytes must be told apart.
@@ -9,10 +9,10 @@ anew is out of reach, and not needed: only windows of 100 bytes must be told apa
    once in the corpus cannot lie in a repeat; the others' windows, as runs of neighbouring starts, are
    dealt to buckets by those 66 bytes.  Windows of very common anchors are dealt by their own 100 bytes,
    so that no bucket collects a common passage's surroundings.
-3. In a bucket every source shard contributes records aligned on the anchor.  Their transforms are
-   merged by refining the interleave from the last column to the first: a column's symbols, read in the
-   order of the suffixes behind it, are that column of the merged transform, and a stable partition by
-   symbol turns that order into the order of the suffixes one byte longer.  Nothing is sorted again.
+3. In a bucket every source shard contributes records aligned on the anchor.  No shard's transform is
+   built: the records are ordered together from the last column to the first, by a stable sort on each
+   column's symbols, which turns the order of suffixes into that of the suffixes one byte longer (a
+   least-significant-digit radix sort over ``SPAN + LENGTH`` columns).
    Neighbours in the refined order give common prefixes; runs with 100 bytes in common are the repeated
    intervals, of which the earliest start stays.
 4. Intervals return to their shard, where covered bytes are taken out.
