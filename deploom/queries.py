@@ -336,18 +336,23 @@ def deadcode_edges(spark, sf_dir):
     return edges.agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
 
 
-EXEC_ROWS = [
-    ["/go/pkg/tool/compile.exe", "-o", "out/a.a", "-p", "a/b", "-I", "x.go", "-complete", "a.go", "b.s", "readme.md"],
-    ["/go/pkg/tool/link", "-o", "out/bin", "-D", "y.o", "main.a"],
-    ["asm"],
-]
+@query("sel_module_whole")
+def sel_module_whole(spark, sf_dir):
+    return engine(spark, sf_dir).calc("cust/...:mod").ids()
 
 
 @query("exec_inputs")
 def exec_inputs(spark, sf_dir):
+    """Each order is compiled (closed ones with an assembler file beside), or linked if it has priority."""
     from .operators.execlog import classify
 
-    log = spark.createDataFrame([(a,) for a in EXEC_ROWS], "args array<string>")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    text = lambda *parts: F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p]) if isinstance(p, tuple) else F.lit(p) for p in parts])
+    build = text("/go/pkg/tool/compile.exe", "-o", ("out/", key, ".a"), "-p", ("order/", key), "-I", "x.go", "-complete", (key, ".go"))
+    build = F.concat(build, F.when(F.col("o_orderstatus") == "F", text((key, ".s"), "readme.md")).otherwise(text("readme.md")))
+    link = text("/go/pkg/tool/link", "-o", ("out/", key), "-D", "y.o", (key, ".a"))
+    log = o.select(F.when(F.col("o_orderpriority") == "1-URGENT", link).otherwise(build).alias("args"))
     return log.select(classify(F.col("args")).alias("i")).select("i.command", "i.package", "i.output", F.array_join("i.inputs", ",").alias("inputs"))
 
 

@@ -83,3 +83,17 @@ def test_writers(spark, warehouse):
         assert all(any(x.startswith(f'    "{n}" [label=') for x in got) for n in nodes), q
     got = lines("graphml_out")
     assert all(any(f'<node id="{n}"' in x for x in got) for n in nodes) and sum("<edge " in x for x in got) == len(edges)
+
+
+def test_modules_and_build_steps(spark, warehouse):
+    at, nodes, _ = warehouse
+    got = sorted(r["id"] for r in Q.QUERIES["sel_module_whole"](spark, at).collect())
+    assert got == sorted(n for n in nodes if n.startswith(("cust/", "nation/")))
+    want = []
+    for r in spark.read.parquet(f"{at}/orders.parquet").collect():
+        k = r["o_orderkey"]
+        if r["o_orderpriority"] == "1-URGENT":
+            want.append(("link", "", f"out/{k}", f"{k}.a"))
+        else:
+            want.append(("compile", f"order/{k}", f"out/{k}.a", f"{k}.go,{k}.s" if r["o_orderstatus"] == "F" else f"{k}.go"))
+    assert sorted(map(tuple, Q.QUERIES["exec_inputs"](spark, at).collect())) == sorted(want)
