@@ -6,8 +6,8 @@ So each prefix has exactly one last token, and the prefixes form a tree.  A stat
 bytes can still see: the last token emitted, the bytes behind it, and the last token of each prefix
 that some vocabulary entry may still continue.  Reading a byte adds one prefix; the tokens on which
 all live prefixes agree are emitted.  The lookahead is therefore bounded by the longest entry.
-States and transitions are made on first use, in a bounded table; once it is full, a byte string
-that leaves it is run through the same prefix recurrence without recording states.
+States and transitions are made on first use, in a bounded table; once it is full, it is emptied and
+recording goes on from the current state, so every byte string runs through the transducer.
 """
 
 from __future__ import annotations
@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from .chunks import ChunkEncoder
 from .common import map_batches, one_table_at_a_time, text_or_empty
 
-#: States recorded per worker.
+#: States recorded per worker before the table is emptied.
 STATE_LIMIT = 60_000
+#: Pairs of tokens known to be compatible or not, per worker, before they are forgotten.
+PAIR_LIMIT = 500_000
 
 START = -1
+_BYTE = [bytes((b,)) for b in range(256)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,17 +41,19 @@ class MergeTransducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        #: byte string -> its token if it is one, and whether it begins a longer entry
+        self.entries = {x: (ranks.get(x), x in prefixes) for x in (*ranks, *prefixes)}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.reachable: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.number = {(START, b"", ()): 0}
-        #: left token, bytes since, last token of each prefix of them, and the token ends on its way as a bit set
-        self.states = [(START, b"", (), (1,))]
+        #: left token, bytes since, last token of each prefix of them (None: cut off), way of the whole, and
+        #: the prefixes that an entry may continue: (place, last token, way); a way is a bit set of token ends
+        self.states = [(START, b"", (), 1, ((0, START, 1),))]
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.final: list[tuple[int, ...]] = [()]
+        self.final: list[tuple[int, ...] | None] = [None]
 
     def merge(self, data: bytes) -> list[int]:
         """Merges by lowest rank, leftmost first: the definition, used to compile pairs only."""
@@ -65,87 +70,95 @@ class MergeTransducer:
         return [ranks[p] for p in parts]
 
     def fits(self, left: int, token: int) -> bool:
+        """Whether ``token`` may follow ``left``: their bytes joined merge into just these."""
         if left == START:
-            got = self.reachable.get(token)
-            if got is None:
-                got = self.reachable[token] = self.merge(self.bytes_of[token]) == [token]
-            return got
-        got = self.compatible.get((left, token))
-        if got is None:
-            got = self.compatible[left, token] = self.merge(self.bytes_of[left] + self.bytes_of[token]) == [left, token]
-        return got
+            return self.merge(self.bytes_of[token]) == [token]
+        return self.merge(self.bytes_of[left] + self.bytes_of[token]) == [left, token]
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Compile the transition of ``state`` on ``byte``: (next state, emitted tokens)."""
-        left, window, last, ends = self.states[state]
-        window += bytes((byte,))
-        n, ranks, prefixes, compatible = len(window), self.ranks, self.prefixes, self.compatible
-        for j in range(n - 1, -1, -1):
-            before = left if j == 0 else last[j - 1]
-            if before is not None and (token := ranks.get(window[j:])) is not None:
-                if before == START or (ok := compatible.get((before, token))) is None:
-                    ok = self.fits(before, token)
+        left, window, last, _, live = self.states[state]
+        window += _BYTE[byte]
+        n, entries, compatible = len(window), self.entries, self.compatible
+        way, common, needed, still = 0, -1, 0, []
+        for x in live:  # the longest entry first
+            got = entries.get(window[x[0] :])
+            if got is None:
+                continue
+            found, longer = got
+            if found is not None and not way:
+                pair = x[1], found
+                ok = compatible.get(pair)
+                if ok is None:
+                    ok = compatible[pair] = self.fits(*pair)
                 if ok:
-                    break
-        else:
+                    token, way = found, x[2] | 1 << n
+            if longer:
+                still.append(x)
+                common &= x[2]
+                needed |= x[2]
+        if not way:
             raise ValueError("the vocabulary lacks a single byte")
-        way = ends[j] | 1 << n
-        common = needed = way
-        for j in range(n):
-            if (j == 0 or last[j - 1] is not None) and window[j:] in prefixes:
-                common &= ends[j]
-                needed |= ends[j]
+        common &= way
+        needed |= way
+        last += (token,)
         base = common.bit_length() - 1
-        last, ends = (*last, token), (*ends, way)
-        emitted = tuple(last[k - 1] for k in range(1, base + 1) if common >> k & 1)
-        rest = tuple(last[k - 1] if needed >> k & 1 else None for k in range(base + 1, n + 1))
-        key = (emitted[-1] if emitted else left, window[base:], rest)
+        if base:
+            emitted = tuple([last[k - 1] for k in range(1, base + 1) if common >> k & 1])
+            left, window, last = emitted[-1], window[base:], last[base:]
+            still = [(j - base, t, ends >> base) for j, t, ends in still]
+            n, way, needed = n - base, way >> base, needed >> base
+        else:
+            emitted = ()
+        still.append((n, token if n else left, way))
+        if needed.bit_count() <= n:
+            last = tuple([t if needed >> k & 1 else None for k, t in enumerate(last, 1)])
+        key = left, window, last
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
-            self.states.append((*key, tuple(e >> base for e in ends[base:])))
+            self.states.append((left, window, last, way, still))
             self.moves.append({})
-            self.final.append(tuple(last[k - 1] for k in range(base + 1, n + 1) if way >> k & 1))
-        self.moves[state][byte] = number, emitted
-        return number, emitted
+            self.final.append(None)
+        got = self.moves[state][byte] = number, emitted
+        return got
+
+    def keep_only(self, state: int) -> int:
+        """Empty the table but for ``state``; its new number."""
+        kept = self.states[state]
+        if len(self.compatible) > PAIR_LIMIT:
+            self.compatible.clear()
+        self.reset()
+        if not state:
+            return 0
+        self.number[kept[:3]] = 1
+        self.states.append(kept)
+        self.moves.append({})
+        self.final.append(None)
+        return 1
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token; a whole entry is itself, as in the rank files' library."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        state, out, moves, full = 0, [], self.moves, len(self.states) > STATE_LIMIT
+        state, out, moves = 0, [], self.moves
         for byte in piece:
             got = moves[state].get(byte)
             if got is None:
-                if full:
-                    return self.unrecorded(piece)
+                if len(moves) > STATE_LIMIT:
+                    state = self.keep_only(state)
+                    moves = self.moves
                 got = self.move(state, byte)
             state, emitted = got
             if emitted:
                 out += emitted
-        out += self.final[state]
+        final = self.final[state]
+        if final is None:
+            _, _, last, way, _ = self.states[state]
+            final = self.final[state] = tuple([t for k, t in enumerate(last, 1) if way >> k & 1])
+        out += final
         return out
 
-    def unrecorded(self, piece: bytes) -> list[int]:
-        ranks, compatible, last, begin = self.ranks, self.compatible, [START], [0]
-        for i in range(1, len(piece) + 1):
-            for j in range(i - 1, -1, -1):
-                if (token := ranks.get(piece[j:i])) is not None:
-                    before = last[j]
-                    if before == START or (ok := compatible.get((before, token))) is None:
-                        ok = self.fits(before, token)
-                    if ok:
-                        last.append(token)
-                        begin.append(j)
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
-        out, i = [], len(piece)
-        while i:
-            out.append(last[i])
-            i = begin[i]
-        return out[::-1]
-
 
 class Utf8Machine:
     """Incremental UTF-8: feed bytes, get the text of all complete code points; the rest waits.
@@ -233,7 +246,13 @@ def rank_tokenizer(path: str, pattern: str) -> RankTokenizer:
 
 @functools.lru_cache(maxsize=1)
 def _rank_tokenizer(path: str, pattern: str) -> RankTokenizer:
-    return RankTokenizer(path, pattern)
+    import gc
+
+    tokenizer = RankTokenizer(path, pattern)
+    # the tables hold no cycles: searching them for some costs a third of the time
+    gc.freeze()
+    gc.set_threshold(200_000)
+    return tokenizer
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
