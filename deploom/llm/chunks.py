@@ -32,7 +32,7 @@ class ChunkTable(dict):
             for p in parts[1:]:
                 values += [owner.newline, owner.head[p]] if owner.newline else [owner.head[p]]
             return owner.sep.join(values)
-        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha() and owner.letters(chunk[:-1]):
             value = owner.sep.join((self[chunk[:-1]], owner.head[chunk[-1]]))
         else:
             value = owner.whole(self.prefix + chunk)
@@ -45,10 +45,12 @@ class ChunkEncoder:
     """``encode(str) -> bytes`` lifted to whole texts; the bytes of the chunks are joined by ``sep``.
 
     ``special``: texts with this string are encoded whole, as special tokens may be hidden there.
+    ``letters``: whether a word of letters is still one after the tokenizer's normalisation (a capital
+    may become a letter and a mark, which then belongs to the punctuation behind it).
     """
 
-    def __init__(self, encode, sep: bytes = b"", special: str = "<|"):
-        self.whole, self.sep, self.special = encode, sep, special
+    def __init__(self, encode, sep: bytes = b"", special: str = "<|", letters=lambda word: True):
+        self.whole, self.sep, self.special, self.letters = encode, sep, special, letters
         self.head, self.rest = ChunkTable(self, ""), ChunkTable(self, " ")
         self.newline = encode("\n")
 

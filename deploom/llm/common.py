@@ -97,6 +97,28 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).alias("text")
 
 
+def quoted(name: str):
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """For each wanted name one that no column of ``df`` has, whatever its letters' case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(docs: DataFrame):
+    """128 bits that tell rows apart by doc_id and text: no two different rows of any real corpus share them."""
+    number = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(number, F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
 _ACTIVE: dict[str, object] = {}
 
 

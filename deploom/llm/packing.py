@@ -3,8 +3,9 @@
 Bounded-space online best-fit: a task keeps at most ``OPEN_BINS`` sequences open, found through a
 bitset keyed by free space (bit f is set while some open sequence has f free tokens).  A piece goes
 where the least space remains; if none fits a new sequence opens, and when too many are open the
-fullest closes first.  Whatever stays open when a task ends stays part-filled: at most ``OPEN_BINS``
-sequences a task of about ``TASK_PIECES`` pieces.
+fullest closes first.  The pieces of sequences still open after ``TASK_PIECES`` pieces are dealt anew in
+a second round, longest first, by the same packer; what is open after that stays part-filled: at most
+``OPEN_BINS`` sequences for every ``TASK_PIECES`` pieces of the second round.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, ship, text_or_empty, written
 
 SEQUENCE = 2048
-OPEN_BINS = 512
-#: Pieces that one packing task takes: many enough that its open sequences hardly count.
+OPEN_BINS = 2048
+#: Pieces that one packer takes: many enough that its open sequences hardly count, few enough to be held.
 TASK_PIECES = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,7 +31,7 @@ class BestFit:
 
     def __init__(self, capacity: int = SEQUENCE, open_bins: int = OPEN_BINS):
         self.capacity, self.open_bins = capacity, open_bins
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made = 0, 0, 0  # bitset of free space, sequences open, sequences begun
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def add(self, length: int) -> tuple[int, int]:
@@ -82,35 +83,63 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFra
     return map_batches(rows, run, PIECES)
 
 
-def pack_pieces(pieces: DataFrame) -> DataFrame:
-    """Add sequence_id and offset to ``pieces``, a written table whose ``length`` is 1 to ``SEQUENCE``.
+def _fill(pieces: DataFrame, first: int) -> DataFrame:
+    """One round: ``pieces`` with sequence_id (from ``first``), offset, and whether the sequence was still open at the end.
 
-    No shuffle: neighbouring input splits are joined until a task has about ``TASK_PIECES`` rows.
+    No shuffle: neighbouring input splits are joined until a task has about ``TASK_PIECES`` rows, and a
+    task begins a new packer after so many.
     """
-    spark = pieces.sparkSession
-    ship(spark)
-    tasks = max(1, round(pieces.count() / TASK_PIECES))
+    ship(pieces.sparkSession)
     names, schema = pieces.columns, pieces.schema
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        packer, base = BestFit(), TaskContext.get().partitionId() << 40
+        number = first + (TaskContext.get().partitionId() << 36)
+        held, rows = [], 0
+
+        def close():
+            nonlocal number, held, rows
+            packer, t = BestFit(), pa.Table.from_batches(held).combine_chunks()
+            got = [packer.add(n) for n in t.column("length").to_pylist()]
+            still = {x for own in packer.by_free for x in own}
+            ids, offset = pa.array([number + g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())
+            t = pa.Table.from_arrays([*t.columns, ids, offset, pa.array([g[0] in still for g in got])], names=[*names, "sequence_id", "offset", "open"])
+            number, held, rows = number + packer.made, [], 0
+            return t.to_batches(max_chunksize=10_000)
+
         for b in batches:
-            got = [packer.add(n) for n in b.column(b.schema.get_field_index("length")).to_pylist()]
-            number = pa.array([base + g[0] for g in got], pa.int64())
-            offset = pa.array([g[1] for g in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, number, offset], names=[*names, "sequence_id", "offset"])
+            while b.num_rows:
+                part = b.slice(0, TASK_PIECES - rows)
+                held.append(part)
+                rows += part.num_rows
+                b = b.slice(part.num_rows)
+                if rows == TASK_PIECES:
+                    yield from close()
+        if rows:
+            yield from close()
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long"
-    return pieces.coalesce(tasks).mapInArrow(run, ddl)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long, open boolean"
+    return pieces.mapInArrow(run, ddl)
+
+
+def pack_pieces(pieces: DataFrame) -> DataFrame:
+    """Add sequence_id and offset to ``pieces`` (PIECES), a written table whose ``length`` is 1 to ``SEQUENCE``."""
+    names = pieces.columns
+    tasks = max(1, round(pieces.count() / TASK_PIECES))
+    once = written(_fill(pieces.coalesce(tasks), 0), "packed")
+    rest = once.where("open").select(*names)
+    tasks = max(1, round(rest.count() / TASK_PIECES))
+    again = _fill(rest.coalesce(tasks).sortWithinPartitions(F.desc("length")), 1 << 62)
+    return once.where(~F.col("open")).unionByName(again).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pack whole documents.
 
-    Null texts count as empty (one piece holding the end id); repeated rows are packed each; an empty
-    table gives no rows; other columns are not read.
+    Null texts count as empty (one piece holding the end id); repeated rows are packed each, as are rows
+    of one doc_id; null doc_ids stay null; any order of equal lengths will do; an empty table gives no
+    rows; columns other than doc_id and text are not read, whatever their names.
     """
     return pack_pieces(written(cut_pieces(docs, tokenizer_path), "pieces"))

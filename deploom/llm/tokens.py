@@ -57,7 +57,10 @@ def _encoder(path: str) -> ChunkEncoder:
             return _ids([t.id for t in model.tokenize(mapped)])
         return _ids(tok.encode(chunk, add_special_tokens=False).ids)
 
-    encoder = ChunkEncoder(encode)
+    def letters(word: str) -> bool:
+        return not lower or word.isascii() or normalizer.normalize_str(word).isalpha()
+
+    encoder = ChunkEncoder(encode, letters=letters)
     return encoder
 
 

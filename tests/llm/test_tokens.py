@@ -73,11 +73,13 @@ def test_transducer(monkeypatch):
     own, mine = ranks(), bpe_fst.RankTokenizer(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     rnd = random.Random(3)
     pieces = [bytes(rnd.choice(b"etaoinshrdlu") for _ in range(rnd.randint(1, 30))) for _ in range(800)]
-    for limit in (60_000, 50):  # recorded states, and mostly not
+    for limit in (60_000, 50):  # with room for every state, and emptied again and again
         monkeypatch.setattr(bpe_fst, "STATE_LIMIT", limit)
+        monkeypatch.setattr(bpe_fst, "PAIR_LIMIT", 10 * limit)
         mine.fst.reset()
         for p in pieces:
             assert mine.fst.encode(p) == own._encode_single_piece(p)
+            assert len(mine.fst.states) <= limit + 2
     for t in noise(1000):
         ids = mine.encode(t)
         assert ids.tolist() == own.encode_ordinary(t) and "".join(mine.decode(ids)) == t
@@ -117,6 +119,32 @@ def test_best_fit():
         fit.add(101)
 
 
+def test_second_round_packs_what_stays_open(spark, monkeypatch):
+    """Pieces of sequences open at the end of a packer are packed again: close to the least number, whatever the cut."""
+    rnd = random.Random(4)
+    lengths = [rnd.randint(1, 2048) for _ in range(6000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES)
+    for held in (200_000, 1500):
+        monkeypatch.setattr(packing, "TASK_PIECES", held)
+        rows = packing.pack_pieces(pieces).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
+        bins = collections.defaultdict(list)
+        for r in rows:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for b in bins.values():
+            ends = [0, *(o + n for o, n in sorted(b))]
+            assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 2048
+        # first-fit decreasing over all pieces at once
+        free = []
+        for n in sorted(lengths, reverse=True):
+            at = next((k for k, f in enumerate(free) if f >= n), None)
+            if at is None:
+                free.append(2048 - n)
+            else:
+                free[at] -= n
+        assert len(bins) <= 1.05 * len(free)
+
+
 def test_packing(docs, none):
     tok = library("word_bpe_49k.json")
     rows = packing.pack_documents(docs, P.path("word_bpe_49k.json")).collect()
