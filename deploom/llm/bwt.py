@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, shuffle_partitions, written
+from .common import fresh, quoted, ship, shuffle_partitions, written
 
 LENGTH = 100
 #: Bytes of text in a shard.
@@ -65,7 +65,8 @@ def make_shards(docs: DataFrame, keep_columns: bool) -> DataFrame:
     ship(docs.sparkSession)
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), text.alias("__text"), F.col("text").isNull().alias("__null"), *([F.col(c) for c in names] if keep_columns else []))
+    ours = fresh(docs, "id", "text", "null")
+    rows = docs.select(F.col("doc_id").cast("long").alias(ours[0]), text.alias(ours[1]), F.col("text").isNull().alias(ours[2]), *([quoted(c) for c in names if c != "text"] if keep_columns else []))
 
     def run(batches):
         import pyarrow as pa
@@ -84,10 +85,10 @@ def make_shards(docs: DataFrame, keep_columns: bool) -> DataFrame:
                     k += 1
                 rest = b""
                 if keep_columns:
-                    part = b.slice(begin, k - begin).drop_columns(["__id", "__text"])
+                    part = b.slice(begin, k - begin).select(b.schema.names[2:])
                     sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, part.drop_columns(["text"]).schema) as w:
-                        w.write_batch(part.drop_columns(["text"]))
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_batch(part)
                     rest = _zip(sink.getvalue().to_pybytes())
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "doc_ids": pa.array([np.array(ids[begin:k], "<i8").tobytes()], pa.binary()), "lengths": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "data": pa.array([_zip(b"".join(held))], pa.binary()), "rest": pa.array([rest], pa.binary())})
                 number += 1
@@ -378,7 +379,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     texts.append(raw[at : at + n][~gone[at : at + n]].tobytes().decode("utf-8", "ignore"))
                     at += n
                 rest = pa.ipc.open_stream(_unzip(row["rest"])).read_all().combine_chunks().to_batches()[0]
-                null = rest.column(rest.schema.get_field_index("__null")).to_pylist()
+                null = rest.column(0).to_pylist()
                 texts = [None if x else t for x, t in zip(null, texts)]
                 columns = [pa.array(texts, pa.string()) if c == "text" else rest.column(rest.schema.get_field_index(c)) for c in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)

@@ -56,7 +56,7 @@ def _places(words: Column, pattern: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the share of words inside kept detections (1 at most; no words: 0).  Null texts count
+    ``score`` is the share of words inside kept detections, each word once (no words: 0).  Null texts count
     as empty; repeated rows give a row each; null doc_ids stay null; an empty table gives no rows;
     other columns are not read.  The plan is one narrow stage.
     """
@@ -87,7 +87,9 @@ def scan(docs: DataFrame) -> DataFrame:
     df = df.select("doc_id", "n_words", "base", "kept", starts.alias("starts"))
     labels = F.transform("base", lambda x: x["label"])
     none = F.expr("cast(array() as array<string>)")
-    covered = F.aggregate(F.coalesce("kept", F.expr("cast(array() as array<struct<tier:int,id:int,s:bigint,e:bigint,label:string>>)")), F.lit(0).cast("long"), lambda n, h: n + h["e"] - h["s"] + 1)
+    spans = F.array_sort(F.transform(F.coalesce("kept", F.expr("cast(array() as array<struct<tier:int,id:int,s:bigint,e:bigint,label:string>>)")), lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"))))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate(spans, start, lambda a, h: F.struct(F.greatest(a["end"], h["e"] + 1).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), h["e"] + 1 - F.greatest(a["end"], h["s"]))).alias("n")), lambda a: a["n"])
     return df.select(
         "doc_id",
         "n_words",
@@ -96,7 +98,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max("starts").alias("last_word"),
         F.coalesce(F.array_join(F.array_sort(labels), ","), F.lit("")).alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce(labels, none), F.coalesce(F.transform("kept", lambda h: h["label"]), none)))), ",").alias("labels"),
-        F.when(F.col("n_words") > 0, F.least(F.lit(1.0), covered / F.col("n_words"))).otherwise(0.0).alias("score"),
+        F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(0.0).alias("score"),
     )
 
 
@@ -118,8 +120,8 @@ hits as ({places.format(key="id, tier, label", source="(select * from norm, rule
 kept as (select * from hits h where not exists (select 1 from hits g where g.doc_id = h.doc_id and g.s <= h.s and g.e >= h.e
   and (g.tier < h.tier or (g.tier = h.tier and (g.e - g.s > h.e - h.s or (g.s = h.s and g.e = h.e and g.id < h.id)))))),
 b as (select doc_id, count(*) as n_base, min(s) as first_word, max(s) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base_hits group by 1),
-k as (select doc_id, sum(e - s + 1) as covered from kept group by 1),
+k as (select doc_id, count(distinct p) as covered from (select doc_id, unnest(range(s, e + 1)) as p from kept) group by 1),
 l as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from base_hits union select doc_id, label from kept) group by 1)
 select shown as doc_id, n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
-  case when n_words > 0 then least(1.0::double, coalesce(covered, 0)::double / n_words) else 0.0::double end as score
+  case when n_words > 0 then coalesce(covered, 0)::double / n_words else 0.0::double end as score
 from norm left join b using (doc_id) left join k using (doc_id) left join l using (doc_id)"""

@@ -49,7 +49,7 @@ WRITTEN = [
     ("bsd-4-clause", 1, "bsd", "(?:original|old) bsd license"),
     ("bsd-4-clause", 2, "advertising", "all advertising materials mentioning features or use of this software"),
     ("bsd", 2, "bsd", "bsd (?:style )?license"),
-    ("bsd", 2, "bsd", "berkeley software distribution"),
+    ("bsd", 2, "berkeley", "berkeley software distribution"),
     ("bsd", 3, "redistributions", "redistributions of source code must retain the above copyright notice"),
     ("bsd", 3, "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
     ("bsd", 3, "redistribution", "redistribution and use in source and binary forms with or without modification"),

@@ -6,9 +6,9 @@ corpus co-occurrence estimates how strongly a term reveals that a protected enti
     disclosure(t) = log2( P(entity in context | t in document) / P(entity in document) )
 
 with both probabilities counted over all documents.  In the context of an entity, a term with
-disclosure of at least ``GENERALISE`` bits is generalised and one of at least ``REMOVE`` bits is
-removed, if it stood beside entities in ``SUPPORT`` documents and mostly stands beside them
-(``SHARE``).
+disclosure of at least ``GENERALISE`` bits is generalised (to what kind of term it is: a number, a
+name, a word) and one of at least ``REMOVE`` bits is removed, if it stood beside entities in
+``SUPPORT`` documents and mostly stands beside them (``SHARE``).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, text_or_empty, written
+from .common import fresh, map_batches, quoted, row_key, ship, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that form its context.
@@ -32,7 +32,9 @@ REMOVE = 4.0
 #: Terms that a task counts before it passes partial counts on.
 TASK_TERMS = 500_000
 #: What stands in the place of a span in sanitised text.
-PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "remove": ""}
+PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
+#: What a generalised term becomes: the first that its spelling matches.
+GENERAL = ((r"^\p{N}", "[NUMBER]"), (r"^\p{Lu}", "[NAME]"), ("", "[WORD]"))
 
 _DIGIT = re.compile("[0-9]")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -72,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -123,25 +125,26 @@ def _show(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-SCANNED = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,s:long,e:long>>, context array<struct<term:string,s:long,e:long>>"
+SCANNED = "doc_id long, key binary, row long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,s:long,e:long>>, context array<struct<term:string,s:long,e:long>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and contexts of every document, as a written table; ``key`` tells texts apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).withColumn("key", F.xxhash64("doc_id", "text"))
+    """Base spans and contexts of every document, as a written table.
+
+    ``row`` numbers its rows; ``key`` stands for doc_id and text.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), row_key(docs).alias("key"), F.monotonically_increasing_id().alias("row"))
 
     def run(b):
-        out = {c: [] for c in ("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "context")}
-        for i, text, key in zip(*(c.to_pylist() for c in b.columns)):
+        out = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base", "context")}
+        for text in b.column(1).to_pylist():
             spans = base_spans(text)
             count = Counter(k for k, _, _ in spans)
-            out["doc_id"].append(i)
-            out["key"].append(key)
             for k in KINDS:
                 out["n_" + k].append(count[k])
             out["base"].append([{"kind": k, "s": s, "e": e} for k, s, e in spans])
             out["context"].append([{"term": t, "s": s, "e": e} for t, s, e in contexts(text, spans)])
-        return out
+        return {"doc_id": b.column(0), "key": b.column(2), "row": b.column(3), **out}
 
     return written(map_batches(rows, run, SCANNED), "pii")
 
@@ -192,14 +195,14 @@ def find(docs: DataFrame) -> DataFrame:
     """
     scanned = scan(docs)
     terms = disclosing_terms(docs, scanned)
-    places = scanned.where(F.size("context") > 0).select("key", F.explode("context").alias("c")).select("key", F.col("c.term").alias("term"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
-    extra = places.join(terms, "term").groupBy("key").agg(F.collect_set(F.struct(F.col("action").alias("kind"), "s", "e")).alias("extra"))
-    df = scanned.join(extra, "key", "left")
+    places = scanned.where(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", F.col("c.term").alias("term"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
+    extra = places.join(terms, "term").groupBy("row").agg(F.collect_set(F.struct(F.col("action").alias("kind"), "s", "e")).alias("extra"))
+    df = scanned.join(extra, "row", "left")
     none = F.expr("cast(array() as array<struct<kind:string,s:bigint,e:bigint>>)")
     rank = F.create_map(*[x for i, k in enumerate((*KINDS, "general", "remove")) for x in (F.lit(k), F.lit(i))])
     spans = F.concat("base", F.coalesce("extra", none))
     ordered = F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), rank[x["kind"]].alias("r"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return df.withColumn("all_spans", ordered).drop("extra", "context")
+    return df.withColumn("all_spans", ordered).drop("extra", "context", "row")
 
 
 def shown(spans: Column) -> Column:
@@ -208,25 +211,38 @@ def shown(spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns; in ``text`` every span is replaced (``PLACEHOLDER``), null texts stay null."""
+    """``docs`` with the same columns; in ``text`` every span is replaced (``PLACEHOLDER``, ``GENERAL``).
+
+    Of overlapping spans the first one's replacement stands for all they cover.  Null texts stay null;
+    repeated rows are changed alike; an empty table gives no rows; other columns pass as they are,
+    whatever their names.
+    """
     names = docs.columns
-    found = find(docs).where(F.size("all_spans") > 0).select(F.col("key").alias("__found"), F.col("all_spans").alias("__spans")).dropDuplicates(["__found"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(found, keyed["__key"] == found["__found"], "left")
+    key, own, spans = fresh(docs, "key", "own_key", "spans")
+    found = find(docs).where(F.size("all_spans") > 0).select(F.col("key").alias(own), F.col("all_spans").alias(spans)).dropDuplicates([own])
+    joined = docs.withColumn(key, row_key(docs)).join(found, F.col(key) == F.col(own), "left")
     pieces = F.aggregate(
-        F.col("__spans"),
+        F.col(spans),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["e"] <= a["at"], a).otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.greatest(x["s"] - a["at"], F.lit(0)).cast("int")), F.when(x["s"] >= a["at"], _placeholder(x["kind"])).otherwise("")).alias("out"))),
+        lambda a, x: F.when(x["e"] <= a["at"], a).otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], _part(a["at"], x["s"]), F.when(x["s"] >= a["at"], _placeholder(x)).otherwise("")).alias("out"))),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pieces)).select(*names)
+    changed = F.when(F.col(spans).isNull(), F.col("text")).otherwise(pieces).alias("text")
+    return joined.select(*[changed if c == "text" else quoted(c) for c in names])
 
 
-def _placeholder(kind):
+def _part(begin: Column, end: Column) -> Column:
+    return F.substring(F.col("text"), (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+
+
+def _placeholder(x: Column) -> Column:
     out = F.lit("")
     for k, v in PLACEHOLDER.items():
-        out = F.when(kind == k, v).otherwise(out)
-    return out
+        out = F.when(x["kind"] == k, v).otherwise(out)
+    general = F.lit(None).cast("string")
+    for pattern, word in reversed(GENERAL):
+        general = F.when(F.rlike(_part(x["s"], x["e"]), F.lit(pattern)), word).otherwise(general)
+    return F.when(x["kind"] == "general", general).otherwise(out)
 
 
 def digest(found: DataFrame) -> DataFrame:

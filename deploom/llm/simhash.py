@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, text_or_empty, written
+from .common import fresh, map_batches, quoted, row_key, ship, text_or_empty, written
 from .components import components, unite
 
 RADIUS = 4
@@ -74,17 +74,13 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long), key (tells rows apart by doc_id and text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), _key())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), row_key(docs).alias("key"))
 
     def run(b):
         got = [fingerprint(t.encode()) for t in b.column(1).to_pylist()]
         return {"doc_id": b.column(0), "fp": np.array(got, np.uint64).view(np.int64), "key": b.column(2)}
 
-    return map_batches(rows, run, "doc_id long, fp long, key long")
-
-
-def _key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")
+    return map_batches(rows, run, "doc_id long, fp long, key binary")
 
 
 def block_plan(n: int, radius: int = RADIUS) -> list[int]:
@@ -156,8 +152,6 @@ def _group_links(fp, group, d0, pivots, radius):
         for k in range(table.shape[1]):
             keep = np.abs(table[a, k] - table[b, k]) <= radius
             a, b = a[keep], b[keep]
-            if len(a) < 64:
-                break
         keep = label[a] != label[b]
         a, b = a[keep], b[keep]
         keep = np.bitwise_count(own[a] ^ own[b]) <= radius
@@ -254,8 +248,8 @@ def similar_documents(docs: DataFrame, width: int = WORDS, similarity: float = S
             keys.append(bands(h) if len(h) else None)
         return {"doc_id": b.column(0), "key": b.column(2), "node": node, "bands": keys}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), _key())
-    prints = written(map_batches(rows, sketch, "doc_id long, key long, node long, bands array<long>"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), row_key(docs).alias("key"))
+    prints = written(map_batches(rows, sketch, "doc_id long, key binary, node long, bands array<long>"), "sketches")
     # candidates: whoever shares a band, as stars; their components are the clusters to verify
     banded = prints.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
@@ -315,12 +309,14 @@ def representatives(docs: DataFrame, similarity: float | None = None) -> DataFra
     """The rows of ``docs`` that stay when one document of each component does (its smallest doc_id; of repeated rows, one).
 
     Components are those of ``near_duplicates``, or with ``similarity`` those of ``similar_documents``.
+    Null and empty texts are documents like any other; rows without a doc_id stay where no document
+    with one is in their component; an empty table gives no rows; other columns pass as they are,
+    whatever their names.
     """
     grouped = near_duplicates(docs) if similarity is None else similar_documents(docs, similarity=similarity)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"))
-    kept = written(kept, "kept")
-    keyed = docs.withColumn("__key", _key())
-    out = keyed.join(kept.distinct(), "__key", "left_semi")
-    if not kept.groupBy("__key").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["__key"])
-    return out.select(*docs.columns)
+    kept = written(grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("rows")), "kept")
+    key, own = fresh(docs, "key", "own_key")
+    out = docs.withColumn(key, row_key(docs)).join(kept.select(F.col("key").alias(own)), F.col(key) == F.col(own), "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        out = out.dropDuplicates([key])
+    return out.select(*map(quoted, docs.columns))
