@@ -24,7 +24,7 @@ from .chunks import ChunkEncoder
 from .common import map_batches, one_table_at_a_time, text_or_empty
 
 #: States recorded per worker before the table is emptied.
-STATE_LIMIT = 60_000
+STATE_LIMIT = 200_000
 #: Pairs of tokens known to be compatible or not, per worker, before they are forgotten.
 PAIR_LIMIT = 500_000
 
@@ -45,6 +45,8 @@ class MergeTransducer:
         #: byte string -> its token if it is one, and whether it begins a longer entry
         self.entries = {x: (ranks.get(x), x in prefixes) for x in (*ranks, *prefixes)}
         self.compatible: dict[tuple[int, int], bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.spines: tuple[dict, dict] = {}, {}
         self.reset()
 
     def reset(self) -> None:
@@ -52,28 +54,63 @@ class MergeTransducer:
         #: left token, bytes since, last token of each prefix of them (None: cut off), way of the whole, and
         #: the prefixes that an entry may continue: (place, last token, way); a way is a bit set of token ends
         self.states = [(START, b"", (), 1, ((0, START, 1),))]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: state << 8 | byte -> next state and emitted tokens
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.final: list[tuple[int, ...] | None] = [None]
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merges by lowest rank, leftmost first: the definition, used to compile pairs only."""
+    def merge(self, data: bytes, below: float = float("inf")) -> list[int]:
+        """Merges by lowest rank, leftmost first, of ranks under ``below``: the definition, used to compile single entries."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
         while len(parts) > 1:
             best, at = None, 0
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and r < below and (best is None or r < best):
                     best, at = r, i
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def spine(self, token: int, side: int) -> list[tuple[bytes, float, float]]:
+        """What stands at one end of ``token`` (side 0: its begin, 1: its end) while its bytes merge.
+
+        Each piece with the rank of the merge that makes it and of the one that uses it up: the token
+        itself first, a single byte last.
+        """
+        got = self.spines[side].get(token)
+        if got is None:
+            piece, used, got = self.bytes_of[token], float("inf"), []
+            while len(piece) > 1:
+                made = self.ranks[piece]
+                got.append((piece, made, used))
+                piece, used = self.halves(piece)[side], made
+            got.append((piece, -1, used))
+            self.spines[side][token] = got
+        return got
+
+    def halves(self, piece: bytes) -> tuple[bytes, bytes]:
+        """The two pieces whose merge makes an entry."""
+        parts = self.merge(piece, self.ranks[piece])
+        return self.bytes_of[parts[0]], self.bytes_of[parts[1]]
+
     def fits(self, left: int, token: int) -> bool:
-        """Whether ``token`` may follow ``left``: their bytes joined merge into just these."""
-        if left == START:
-            return self.merge(self.bytes_of[token]) == [token]
-        return self.merge(self.bytes_of[left] + self.bytes_of[token]) == [left, token]
+        """Whether ``token`` may follow ``left``: no merge across their border comes before those inside.
+
+        Merges run by rising rank, so it is enough to look at pieces that stand at the border together.
+        """
+        for x in (left, token):
+            if x != START and x not in self.whole:
+                self.whole[x] = self.merge(self.bytes_of[x]) == [x]
+        if not self.whole[token] or left == START:
+            return self.whole[token]
+        for a, made_a, used_a in self.spine(left, 1):
+            for b, made_b, used_b in self.spine(token, 0):
+                if max(made_a, made_b) < min(used_a, used_b):
+                    across = self.ranks.get(a + b)
+                    if across is not None and across < used_a and across <= used_b:
+                        return False
+        return True
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Compile the transition of ``state`` on ``byte``: (next state, emitted tokens)."""
@@ -118,9 +155,8 @@ class MergeTransducer:
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append((left, window, last, way, still))
-            self.moves.append({})
             self.final.append(None)
-        got = self.moves[state][byte] = number, emitted
+        got = self.moves[state << 8 | byte] = number, emitted
         return got
 
     def keep_only(self, state: int) -> int:
@@ -133,7 +169,6 @@ class MergeTransducer:
             return 0
         self.number[kept[:3]] = 1
         self.states.append(kept)
-        self.moves.append({})
         self.final.append(None)
         return 1
 
@@ -143,9 +178,9 @@ class MergeTransducer:
             return [whole]
         state, out, moves = 0, [], self.moves
         for byte in piece:
-            got = moves[state].get(byte)
+            got = moves.get(state << 8 | byte)
             if got is None:
-                if len(moves) > STATE_LIMIT:
+                if len(self.states) > STATE_LIMIT:
                     state = self.keep_only(state)
                     moves = self.moves
                 got = self.move(state, byte)
