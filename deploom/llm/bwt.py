@@ -1,47 +1,56 @@
-"""Repeated passages: the order of suffixes of shards' records, by a column radix sort in buckets.
+"""Repeated passages: Burrows-Wheeler transforms of shards, merged by refining their interleave.
 
 A byte goes if a 100-byte string that covers it also starts earlier.  Sorting all suffixes of a corpus
 anew is out of reach, and not needed: only windows of 100 bytes must be told apart.
 
-1. Documents are put into *shards* (a few hundred KB, compressed, one row each).
+1. Documents are put into *shards* (about 1 MB, compressed, one row each), kept as a table dealt by shard.
 2. Each window picks an *anchor* inside it: the place of the smallest 8-byte hash among those whose 66
    bytes before or after fit as well.  Equal windows pick the same anchor.  Anchors whose 66 bytes occur
-   once in the corpus cannot lie in a repeat; the others' windows, as runs of neighbouring starts, are
-   dealt to buckets by those 66 bytes.  Windows of very common anchors are dealt by their own 100 bytes,
-   so that no bucket collects a common passage's surroundings.
-3. In a bucket every source shard contributes records aligned on the anchor.  No shard's transform is
-   built: the records are ordered together from the last column to the first, by a stable sort on each
-   column's symbols, which turns the order of suffixes into that of the suffixes one byte longer (a
-   least-significant-digit radix sort over ``SPAN + LENGTH`` columns).
-   Neighbours in the refined order give common prefixes; runs with 100 bytes in common are the repeated
-   intervals, of which the earliest start stays.
-4. Intervals return to their shard, where covered bytes are taken out.
+   once in the corpus cannot lie in a repeat; the others' windows, as runs of neighbouring starts, make
+   the shard's *records*, aligned on their anchor at column ``SPAN`` and dealt to buckets by those 66 bytes.
+3. A shard sends each bucket the transform of its records: per column the symbols in the order of the
+   suffixes that begin one column on (the transform of aligned strings, where the step to the left of a
+   suffix stays in its record).
+4. A bucket merges the transforms of its shards.  The interleave begins as shard after shard; each column
+   refines it by one symbol: every rank takes its shard's next symbol from the transform, and the stable
+   order of these symbols is the interleave one column to the left.  No suffix is compared or sorted.
+   The common prefix of neighbours follows along: one more than the least of those between their former
+   ranks where they take the same symbol, none otherwise.  Stretches with 100 bytes in common are the
+   repeated intervals, of which the earliest start stays.
+5. Records of anchors that occur more than ``HOT`` times first meet in parts of a bucket, each of about
+   the square root of all shards.  Windows still without an earlier copy there are dealt on by their own
+   100 bytes, so that neither a passage nor a short line that stands in every document fills a task.
+6. Intervals return to their shard, where covered bytes are taken out.
 
 Only blobs travel: per (shard, bucket) one row, however common a passage is.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
-import itertools
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, ship, shuffle_partitions, written
+from .common import _remove, fresh, quoted, shared_dir, ship, shuffle_partitions, written
 
 LENGTH = 100
-#: Bytes of text in a shard.
-SHARD_BYTES = 1 << 20
-#: Text bytes for which one bucket is made.
+#: Bytes of text in a shard, and of compressed text in one partition of the shards' table.
+SHARD_BYTES, PART_BYTES = 1 << 20, 32 << 20
+#: Compressed text bytes for which three buckets are made.
 BUCKET_BYTES = 16 << 20
 #: The context that identifies an anchor, and how far before a window's anchor it starts on the left side.
 CORE, REACH = 66, 32
 SIDE = CORE - REACH
 SPAN = LENGTH - REACH
-#: Occurrences, and share of its bucket's repeats, from which an anchor's windows are dealt one by one.
-COMMON, COMMON_SHARE = 1000, 0.1
+WIDTH = SPAN + LENGTH
+#: Occurrences from which an anchor's records meet in parts first.
+HOT = 256
+#: Bits of a place in a shard, below the hash that chooses anchors: the same for all shards.
+PLACE = 40
 
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SHARD = "shard long, doc_ids binary, lengths binary, data binary, rest binary"
@@ -93,7 +102,19 @@ def make_shards(docs: DataFrame, keep_columns: bool) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "doc_ids": pa.array([np.array(ids[begin:k], "<i8").tobytes()], pa.binary()), "lengths": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "data": pa.array([_zip(b"".join(held))], pa.binary()), "rest": pa.array([rest], pa.binary())})
                 number += 1
 
-    return written(rows.mapInArrow(run, SHARD), "shards", compression="none")
+    return _dealt_by_shard(rows.mapInArrow(run, SHARD), docs)
+
+
+def _dealt_by_shard(shards: DataFrame, docs: DataFrame) -> DataFrame:
+    """A written table dealt by shard: what is joined to it by shard comes to it, its own rows stay."""
+    spark = shards.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // (3 * PART_BYTES)))
+    name = f"deploom_shards_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}"
+    shards.repartition(parts, "shard").write.format("parquet").option("compression", "none").option("path", path).bucketBy(parts, "shard").sortBy("shard").saveAsTable(name)
+    atexit.register(_remove, spark, path)
+    return spark.table(name)
 
 
 class Runs:
@@ -113,13 +134,13 @@ class Runs:
         a = np.frombuffer(data, np.uint8).astype(np.uint64)
         for step in (1, 2, 4):
             a = a[:-step] | a[step:] << np.uint64(8 * step)
-        order = (a * np.uint64(_ODD[0])) & np.uint64(~((1 << 28) - 1) & (1 << 64) - 1) | np.arange(len(a), dtype=np.uint64)
+        order = (a * np.uint64(_ODD[0])) & np.uint64(~((1 << PLACE) - 1) & (1 << 64) - 1) | np.arange(len(a), dtype=np.uint64)
         width, done = SPAN + 1, 1
         while done < width:  # smallest of the window's possible anchors, leftmost at ties
             step = min(done, width - done)
             order = np.minimum(order[:-step], order[step:])
             done += step
-        anchor = (order & np.uint64((1 << 28) - 1)).astype(np.int64)
+        anchor = (order & np.uint64((1 << PLACE) - 1)).astype(np.int64)
         starts = np.concatenate([np.arange(begins[d], last[d] + 1) for d in long_])
         doc = np.repeat(long_, last[long_] + 1 - begins[long_])
         at = anchor[starts]
@@ -140,20 +161,24 @@ class Runs:
         self.key = key ^ (key >> np.uint64(29))
 
 
-def _blobs(bucket: np.ndarray, *columns: np.ndarray):
-    """Rows grouped by bucket: (bucket, slices of the columns)."""
-    order = np.argsort(bucket, kind="stable")
-    own, first = np.unique(bucket[order], return_index=True)
-    for b, s, e in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-        yield b, [c[order[s:e]] for c in columns]
-
-
 RECORD = np.dtype([("doc_id", "<i8"), ("shard", "<i8"), ("doc", "<i4"), ("start", "<i8"), ("count", "<i2"), ("left", "<i2")])
 COVER = np.dtype([("doc", "<i4"), ("first", "<i8"), ("last", "<i8")])  # starts first..last, in bytes of the document
+#: A transform on its way: bucket, part (-1: not in parts), its records, its columns; or the covers of a shard.
+SENT = "bucket int, part int, records binary, columns binary, shard long, covers binary"
+
+
+def _sent(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = (("bucket", pa.int32()), ("part", pa.int32()), ("records", pa.binary()), ("columns", pa.binary()), ("shard", pa.int64()), ("covers", pa.binary()))
+    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
 
-def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (key % np.uint64(buckets)).astype(np.int64)
+def _grouped(keys: np.ndarray):
+    """Places in the order of equal keys, and per key (key, its stretch of that order)."""
+    order = np.argsort(keys, kind="stable")
+    own, first = np.unique(keys[order], return_index=True)
+    return order, list(zip(own.tolist(), map(slice, first.tolist(), [*first[1:].tolist(), len(order)])))
 
 
 def _short(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -161,139 +186,167 @@ def _short(key: np.ndarray, buckets: int) -> np.ndarray:
     return key % np.uint64(buckets) << np.uint64(32) | key // np.uint64(buckets) & np.uint64(0xFFFFFFFF)
 
 
+def transforms(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(width, n): the transforms of the groups of aligned records, side by side; ``rows`` (n, width) in the order of ``group``.
+
+    Column c lists the symbols at c, in each group by the order of its suffixes from c + 1.
+    """
+    table = np.ascontiguousarray(rows.T)
+    out, order = np.empty_like(table), np.arange(len(rows))
+    number = np.unique(group, return_inverse=True)[1]
+    number = number.astype(np.uint16 if len(rows) == 0 or number[-1] < 1 << 16 else np.int64)
+    for c in range(len(table) - 1, -1, -1):
+        out[c] = table[c][order]
+        order = order[np.argsort(out[c], kind="stable")]
+        order = order[np.argsort(number[order], kind="stable")]
+    return out
+
+
+def merged(columns: list[np.ndarray]):
+    """Merge transforms (width, n) by refining their interleave; per column from the last: (column, records, symbols, common).
+
+    ``records``: numbers of the records, source after source, in the order of their suffixes from the column;
+    ``symbols``: theirs at the column; ``common``: bytes that each suffix has in common with the one before.
+    """
+    sizes = [c.shape[1] for c in columns]
+    flat, n = np.concatenate(columns, axis=1), sum(sizes)
+    source = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16 if len(sizes) < 1 << 16 else np.int64)
+    records, place, common = np.arange(n), np.arange(n), np.zeros(n, np.uint8)
+    for c in range(len(flat) - 1, -1, -1):
+        symbols = flat[c][place]  # each rank takes the next one of its source
+        order = np.argsort(symbols, kind="stable")
+        symbols = symbols[order]
+        same = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1
+        refined = np.zeros(n, np.uint8)
+        if len(same):
+            between = np.stack((order[same - 1], order[same]), axis=1).ravel() + 1
+            refined[same] = np.minimum.reduceat(np.append(common, 0), between)[::2] + 1
+        common, records, source = refined, records[order], source[order]
+        place = np.empty(n, np.int64)
+        place[np.argsort(source, kind="stable")] = np.arange(n)
+        yield c, records, symbols, common
+
+
 def find_covers(shards: DataFrame) -> DataFrame:
     """shard, covers: per row a blob of ``COVER`` intervals of starts whose windows begin earlier elsewhere."""
     import pyarrow as pa
 
     spark = shards.sparkSession
-    sizes = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-3 * sizes // BUCKET_BYTES))
+    sizes = shards.agg(F.sum(F.octet_length("data")), F.count("*")).first()
+    buckets = max(shuffle_partitions(spark), -(-3 * (sizes[0] or 0) // BUCKET_BYTES))
+    parts = max(1, int(sizes[1] ** 0.5))
 
     def keys(batches):
         for b in batches:
             for shard, lengths, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 key, n = np.unique(_short(Runs(_unzip(data), np.frombuffer(lengths, "<i8")).key, buckets), return_counts=True)
-                got = list(_blobs((key >> np.uint64(32)).astype(np.int64), key.astype("<u4"), n.astype("<u4")))
-                if got:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in got], pa.int32()), "shard": pa.array([shard] * len(got), pa.int64()), "keys": pa.array([x[1][0].tobytes() for x in got], pa.binary()), "counts": pa.array([_zip(x[1][1].tobytes()) for x in got], pa.binary())})
+                _, groups = _grouped((key >> np.uint64(32)).astype(np.int64))
+                if groups:
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([g for g, _ in groups], pa.int32()), "shard": pa.array([shard] * len(groups), pa.int64()), "keys": pa.array([key[x].astype("<u4").tobytes() for _, x in groups], pa.binary()), "counts": pa.array([_zip(n[x].astype("<u4").tobytes()) for _, x in groups], pa.binary())})
 
     dealt = shards.select("shard", "lengths", "data").mapInArrow(keys, "bucket int, shard long, keys binary, counts binary")
 
     def repeated(t):
-        parts = [np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()]
+        own = [np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(_unzip(x), "<u4") for x in t.column("counts").to_pylist()]).astype(np.int64)
-        every = np.concatenate(parts)
-        _, back = np.unique(every, return_inverse=True)
-        total = np.bincount(back, weights=counts)[back]
-        cut = np.cumsum([len(p) for p in parts])[:-1]
-        twice = [p[x].tobytes() for p, x in zip(parts, np.split(total >= 2, cut))]
-        limit = max(COMMON, COMMON_SHARE * counts[total >= 2].sum())
-        common = [p[x].tobytes() for p, x in zip(parts, np.split(total > limit, cut))]
-        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "twice": pa.array(twice, pa.binary()), "common": pa.array(common, pa.binary())})
-
-    known = dealt.groupBy("bucket").applyInArrow(repeated, "shard long, bucket int, twice binary, common binary")
-    known = known.groupBy("shard").agg(F.collect_list(F.struct("bucket", "twice", "common")).alias("known"))
+        _, back = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.split(np.bincount(back, weights=counts)[back], np.cumsum([len(p) for p in own])[:-1])
+        twice, hot = ([p[n >= least].tobytes() for p, n in zip(own, total)] for least in (2, HOT))
+        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "twice": pa.array(twice, pa.binary()), "hot": pa.array(hot, pa.binary())})
+
+    known = dealt.groupBy("bucket").applyInArrow(repeated, "shard long, bucket int, twice binary, hot binary")
+    # what a shard gets back is no more than the keys of its own 1 MB
+    known = known.groupBy("shard").agg(F.collect_list(F.struct("bucket", "twice", "hot")).alias("known"))
     joined = shards.select("shard", "doc_ids", "lengths", "data").join(known, "shard")
 
     def candidates(batches):
         for b in batches:
             for row in b.to_pylist():
-                yield _candidates(row, buckets)
-
-    found = joined.mapInArrow(candidates, "bucket int, shard long, records binary, data binary, covers binary")
+                yield from _candidates(row, buckets, parts).to_batches()
 
     def merge(t):
-        shard, covers = merge_records([np.frombuffer(_unzip(x), RECORD) for x in t.column("records").to_pylist()], [_unzip(x) for x in t.column("data").to_pylist()])
-        for own, blob in zip(t.column("shard").to_pylist(), t.column("covers").to_pylist()):
-            if blob:
-                shard.append(own)
-                covers.append(blob)
-        return pa.table({"shard": pa.array(shard, pa.int64()), "covers": pa.array(covers, pa.binary())})
-
-    return found.groupBy("bucket").applyInArrow(merge, "shard long, covers binary")
-
-
-def _candidates(row: dict, buckets: int):
-    """Records of one shard for each bucket; windows that repeat within the shard in the same run are covered at once."""
-    import pyarrow as pa
-
+        rows = [(None, None, None, None, s, c) for s, c in zip(t.column("shard").to_pylist(), t.column("covers").to_pylist()) if c]
+        records = [np.frombuffer(_unzip(x), RECORD) for x in t.column("records").to_pylist()]
+        columns = [np.frombuffer(_unzip(x), np.uint8).reshape(-1, len(r)) for x, r in zip(t.column("columns").to_pylist(), records)]
+        covers, windows = merge_records(records, columns, t.column("part")[0].as_py() >= 0)
+        rows += [(None, None, None, None, *x) for x in covers]
+        if windows:
+            rows += _windows(*windows, buckets)
+        return _sent(rows)
+
+    # both kinds of rows are read from the written table: intervals, and windows that are dealt on
+    once = written(joined.mapInArrow(candidates, SENT).groupBy("bucket", "part").applyInArrow(merge, SENT), "merged", compression="none")
+    again = once.where("bucket is not null").groupBy("bucket").applyInArrow(merge, SENT)
+    return once.where("bucket is null").select("shard", "covers").unionByName(again.select("shard", "covers"))
+
+
+def _candidates(row: dict, buckets: int, parts: int):
+    """Transforms of one shard for each bucket; windows that repeat within the shard in the same run are covered at once."""
     data, lengths = _unzip(row["data"]), np.frombuffer(row["lengths"], "<i8")
     doc_ids, begins, runs = np.frombuffer(row["doc_ids"], "<i8"), np.cumsum(lengths) - lengths, Runs(data, lengths)
-    twice, common = (np.concatenate([np.frombuffer(x[name], "<u4").astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in row["known"]]) for name in ("twice", "common"))
+    twice, hot = (np.concatenate([np.frombuffer(x[name], "<u4").astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in row["known"]]) for name in ("twice", "hot"))
     short = _short(runs.key, buckets)
     at = np.flatnonzero(np.isin(short, twice))
-    hot = np.isin(short[at], common)
-    start, count, left, doc, key = (x[at] for x in (runs.start, runs.count, runs.left, runs.doc, runs.key))
-    if hot.any():  # one record per window, dealt by its bytes
-        n = count[hot]
-        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        own = np.repeat(start[hot], n) + shift
-        part = [int.from_bytes(hashlib.blake2b(data[s : s + LENGTH], digest_size=8).digest(), "little") for s in own.tolist()]
-        start, count, left, doc, key = (np.concatenate(x) for x in ((start[~hot], own), (count[~hot], np.ones(len(own), np.int64)), (left[~hot], np.repeat(left[hot], n) - shift), (doc[~hot], np.repeat(doc[hot], n)), (key[~hot], np.array(part, np.uint64))))
     # by age, so that the earliest of equal runs stays
-    order = np.lexsort((start, doc_ids[doc])) if len(doc) else np.zeros(0, np.int64)
-    seen, keep, covered = set(), [], []
-    for i, s, c, l in zip(order.tolist(), start[order].tolist(), count[order].tolist(), left[order].tolist()):
-        body = (l, data[s : s + c + LENGTH - 1])
+    at = at[np.lexsort((runs.start[at], doc_ids[runs.doc[at]]))] if len(at) else at
+    seen, keep = set(), np.ones(len(at), bool)
+    for k, (s, c, left) in enumerate(zip(runs.start[at].tolist(), runs.count[at].tolist(), runs.left[at].tolist())):
+        body = (left, data[s : s + c + LENGTH - 1])
         if body in seen:
-            covered.append(i)
-        else:
-            seen.add(body)
-            keep.append(i)
-    keep, covered = np.array(keep, np.int64), np.array(covered, np.int64)
-    record = np.zeros(len(keep), RECORD)
-    for name, x in (("doc_id", doc_ids[doc[keep]] if len(keep) else 0), ("shard", row["shard"]), ("doc", doc[keep]), ("start", start[keep] - begins[doc[keep]] if len(keep) else 0), ("count", count[keep]), ("left", left[keep])):
-        record[name] = x
+            keep[k] = False
+        seen.add(body)
+    covered, at = at[~keep], at[keep]
     cover = np.zeros(len(covered), COVER)
     if len(covered):
-        cover["doc"] = doc[covered]
-        cover["first"] = start[covered] - begins[doc[covered]]
-        cover["last"] = cover["first"] + count[covered] - 1
-    out = {"bucket": [], "shard": [], "records": [], "data": [], "covers": []}
-    for b, (rec, begin) in _blobs(_bucket_of(key[keep], buckets), record, start[keep]):
-        out["bucket"].append(b)
-        out["shard"].append(row["shard"])
-        out["records"].append(_zip(rec.tobytes()))
-        out["data"].append(_zip(b"".join(data[s : s + c + LENGTH - 1] for s, c in zip(begin.tolist(), rec["count"].tolist()))))
-        out["covers"].append(b"" if out["covers"] else cover.tobytes())  # any row of the shard may carry them
-    kinds = {"bucket": pa.int32(), "shard": pa.int64(), "records": pa.binary(), "data": pa.binary(), "covers": pa.binary()}
-    return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
-
-
-def merge_records(records: list[np.ndarray], bodies: list[bytes]) -> tuple[list[int], list[bytes]]:
-    """Merge the transforms of aligned records of several shards; covered starts as blobs per shard."""
+        cover["doc"] = runs.doc[covered]
+        cover["first"] = runs.start[covered] - begins[runs.doc[covered]]
+        cover["last"] = cover["first"] + runs.count[covered] - 1
+    part = row["shard"] * _ODD[0] % (1 << 64) >> 40
+    where = np.where(np.isin(short[at], hot), part % parts, -1)
+    order, groups = _grouped((short[at] >> np.uint64(32)).astype(np.int64) * (parts + 1) + where + 1)
+    at = at[order]
+    record = np.zeros(len(at), RECORD)
+    if len(at):
+        for name, x in (("doc_id", doc_ids[runs.doc[at]]), ("shard", row["shard"]), ("doc", runs.doc[at]), ("start", runs.start[at] - begins[runs.doc[at]]), ("count", runs.count[at]), ("left", runs.left[at])):
+            record[name] = x
+    rows = np.zeros((len(at), WIDTH), np.uint8)
+    size = runs.count[at] + LENGTH - 1
+    shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    rows[np.repeat(np.arange(len(at)), size), np.repeat(SPAN - runs.left[at], size) + shift] = np.frombuffer(data, np.uint8)[np.repeat(runs.start[at], size) + shift]
+    group = np.zeros(len(at), np.int64)
+    for k, (_, own) in enumerate(groups):
+        group[own] = k
+    columns = transforms(rows, group)
+    out = [(g // (parts + 1), g % (parts + 1) - 1, _zip(record[own].tobytes()), _zip(columns[:, own].tobytes()), row["shard"], None) for g, own in groups]
+    if len(cover):
+        out[0] = (*out[0][:5], cover.tobytes())  # any row of the shard may carry them
+    return _sent(out)
+
+
+def merge_records(records: list[np.ndarray], columns: list[np.ndarray], pass_on: bool = False):
+    """Merge transforms of aligned records: covered starts as (shard, blob), and the windows to ``pass_on``.
+
+    Those are the windows without an earlier copy here, as records of one window each, and their bytes.
+    """
     rec = np.concatenate(records)
-    n, width = len(rec), SPAN + LENGTH
-    size = rec["count"].astype(np.int64) + LENGTH - 1
-    column = SPAN - rec["left"].astype(np.int64)  # of the first start; the anchor is at SPAN
-    rows, at = np.zeros((n, width), np.uint8), 0
-    for part, body in zip(records, bodies):  # one blob at a time: index arrays stay small
-        own = size[at : at + len(part)]
-        ends = np.cumsum(own)
-        offset = np.arange(len(body)) - np.repeat(ends - own, own)
-        rows[np.repeat(np.arange(at, at + len(part)), own), np.repeat(column[at : at + len(part)], own) + offset] = np.frombuffer(body, np.uint8)
-        at += len(part)
-    table = np.ascontiguousarray(rows.T)  # a column is one stretch of memory
-    same = np.lexsort((rec["doc"], rec["shard"], rec["doc_id"]))
-    document = np.zeros(n, np.int64)
-    fields = rec[["doc_id", "shard", "doc"]][same]
-    document[same] = np.cumsum(np.concatenate(([0], (fields[1:] != fields[:-1]).astype(np.int64)))) if n else 0
+    n, width = len(rec), len(columns[0])
+    column = width - LENGTH - rec["left"].astype(np.int64)  # of the first start
     last_column = column + rec["count"] - 1
-    covered = np.zeros((SPAN + 1, n), bool)
-    interleave = np.arange(n)
-    for c in range(width - 1, -1, -1):
-        interleave = interleave[np.argsort(table[c][interleave], kind="stable")]
-        if c > SPAN:
-            continue
-        own = interleave[(column[interleave] <= c) & (c <= last_column[interleave])]
-        if len(own) < 2:
+    same = np.lexsort((rec["doc"], rec["shard"], rec["doc_id"]))
+    document, fields = np.zeros(n, np.int64), rec[["doc_id", "shard", "doc"]][same]
+    document[same] = np.cumsum(np.concatenate(([0], (fields[1:] != fields[:-1]).astype(np.int64))))
+    covered = np.zeros((width - LENGTH + 1, n), bool)
+    rows = np.zeros((n, width), np.uint8) if pass_on else None
+    for c, own, symbols, common in merged(columns):
+        if pass_on:
+            rows[own, c] = symbols
+        if c > width - LENGTH:
             continue
-        # neighbours with LENGTH bytes in common belong to one repeated interval
-        text = rows[own, c : c + LENGTH]
-        new = np.concatenate(([True], (text[1:] != text[:-1]).any(axis=1)))
-        if new.all():
+        interval = np.cumsum(common < LENGTH)
+        inside = (column[own] <= c) & (c <= last_column[own])
+        own, interval = own[inside], interval[inside]
+        if not (interval[1:] == interval[:-1]).any():
             continue
-        interval = np.cumsum(new)
         begin = rec["start"][own] + (c - column[own])
         order = np.lexsort((begin, document[own], interval))
         own, interval = own[order], interval[order]
@@ -305,12 +358,32 @@ def merge_records(records: list[np.ndarray], bodies: list[bytes]) -> tuple[list[
     cover["doc"] = rec["doc"][at]
     cover["first"] = rec["start"][at] + first - column[at]
     cover["last"] = rec["start"][at] + after - 1 - column[at]
-    shards, blobs = [], []
-    order = np.argsort(rec["shard"][at], kind="stable")
-    for shard, group in itertools.groupby(order.tolist(), key=lambda i: int(rec["shard"][at[i]])):
-        shards.append(shard)
-        blobs.append(cover[list(group)].tobytes())
-    return shards, blobs
+    order, groups = _grouped(rec["shard"][at])
+    covers = [(shard, cover[order[own]].tobytes()) for shard, own in groups]
+    if not pass_on:
+        return covers, None
+    place = np.arange(len(covered))[:, None]
+    c, at = np.nonzero(~covered & (column <= place) & (place <= last_column))
+    single = rec[at]
+    single["start"] += c - column[at]
+    single["count"], single["left"] = 1, 0
+    return covers, (single, rows[at[:, None], c[:, None] + np.arange(LENGTH)])
+
+
+def _windows(single: np.ndarray, rows: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows to send: single windows dealt by their own bytes, as transforms of ``LENGTH`` columns."""
+    padded = np.zeros((len(rows), -(-LENGTH // 8) * 8), np.uint8)
+    padded[:, :LENGTH] = rows
+    key = np.zeros(len(rows), np.uint64)
+    for word in padded.view("<u8").T:
+        key = (key ^ word) * np.uint64(_ODD[1])
+        key ^= key >> np.uint64(31)
+    order, groups = _grouped((key % np.uint64(buckets)).astype(np.int64))
+    group = np.zeros(len(rows), np.int64)
+    for k, (_, own) in enumerate(groups):
+        group[own] = k
+    columns = transforms(rows[order], group)
+    return [(g, -1, _zip(single[order[own]].tobytes()), _zip(np.ascontiguousarray(columns[:, own]).tobytes()), None, None) for g, own in groups]
 
 
 def _removed(data: bytes, lengths: np.ndarray, covers) -> np.ndarray:

@@ -125,28 +125,63 @@ def test_repeated_passages(spark, docs, unique, none):
     assert bwt.remove_repeats(none).count() == 0
 
 
-def test_merge_by_columns():
-    """Records of several shards, some of single windows, against the definition."""
+def test_merged_transforms_are_the_transform_of_all():
+    """The interleave of several groups against suffixes sorted directly; common prefixes counted byte by byte."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(97, 99, (60, 30)).astype(np.uint8)
+    rows[20:30] = rows[5]
+    rows[30:40, 8:] = rows[7, 8:]
+    cuts = [0, 1, 13, 13, 35, 60]
+    columns = [bwt.transforms(rows[a:b], np.zeros(b - a, np.int64)) for a, b in zip(cuts, cuts[1:])]
+    group = np.searchsorted(cuts[1:], np.arange(60), side="right")
+    assert (np.concatenate(columns, axis=1) == bwt.transforms(rows, group)).all()
+    seen = 0
+    for c, own, symbols, common in bwt.merged(columns):
+        suffix = [bytes(r[c:]) for r in rows]
+        assert own.tolist() == sorted(range(60), key=lambda i: (suffix[i], i)) and (rows[own, c] == symbols).all()
+        for k in range(1, 60):
+            a, b = suffix[own[k - 1]], suffix[own[k]]
+            assert common[k] == next((n for n in range(len(a)) if a[n] != b[n]), len(a))
+        seen += 1
+    assert seen == 30
+
+
+def test_merge_of_shards(monkeypatch):
+    """Transforms of several shards against the definition: cold anchors, and hot ones that meet in parts first."""
     rnd = random.Random(2)
     motif = "".join(rnd.choice("ab ") for _ in range(260)).encode()
     texts = [bytes(rnd.choice(b"abc ") for _ in range(rnd.randint(0, 200))) + motif[rnd.randint(0, 90) : rnd.randint(150, 260)] + bytes(rnd.choice(b"abc ") for _ in range(60)) for _ in range(24)]
-    for common in (10**9, 2):
+    for hot in (10**9, 2):
         shards = []
         for k in range(0, 24, 4):
             part = texts[k : k + 4]
             shards.append({"shard": k // 4, "doc_ids": np.arange(k, k + 4, dtype="<i8").tobytes(), "lengths": np.array([len(x) for x in part], "<i8").tobytes(), "data": bwt._zip(b"".join(part))})
         runs = [bwt.Runs(bwt._unzip(s["data"]), np.frombuffer(s["lengths"], "<i8")) for s in shards]
         keys, n = np.unique(np.concatenate([bwt._short(r.key, 3) for r in runs]), return_counts=True)
-        covers = {s["shard"]: [] for s in shards}
-        buckets = {}
+        covers, sent = {s["shard"]: [] for s in shards}, {}
         for s in shards:
-            s["known"] = [{"bucket": b, "twice": (keys[(n >= 2) & (keys >> np.uint64(32) == b)]).astype("<u4").tobytes(), "common": (keys[(n > common) & (keys >> np.uint64(32) == b)]).astype("<u4").tobytes()} for b in range(3)]
-            for r in bwt._candidates(s, 3).to_pylist():
-                buckets.setdefault(r["bucket"], []).append(r)
-                covers[r["shard"]].append(r["covers"])
-        for rows in buckets.values():
-            for shard, blob in zip(*bwt.merge_records([np.frombuffer(bwt._unzip(r["records"]), bwt.RECORD) for r in rows], [bwt._unzip(r["data"]) for r in rows])):
+            own = keys >> np.uint64(32)
+            s["known"] = [{"bucket": b, "twice": (keys[(n >= 2) & (own == b)]).astype("<u4").tobytes(), "hot": (keys[(n >= hot) & (own == b)]).astype("<u4").tobytes()} for b in range(3)]
+            for r in bwt._candidates(s, 3, 2).to_pylist():
+                sent.setdefault((r["bucket"], r["part"]), []).append(r)
+                if r["covers"]:
+                    covers[r["shard"]].append(r["covers"])
+        passed = {}
+
+        def merge(rows, pass_on):
+            records = [np.frombuffer(bwt._unzip(r["records"]), bwt.RECORD) for r in rows]
+            got, windows = bwt.merge_records(records, [np.frombuffer(bwt._unzip(r["columns"]), np.uint8).reshape(-1, len(x)) for r, x in zip(rows, records)], pass_on)
+            for shard, blob in got:
                 covers[shard].append(blob)
+            return windows
+
+        for (_, part), rows in sent.items():
+            if windows := merge(rows, part >= 0):
+                for r in bwt._sent(bwt._windows(*windows, 3)).to_pylist():
+                    passed.setdefault(r["bucket"], []).append(r)
+        assert bool(passed) == (hot == 2)
+        for rows in passed.values():
+            merge(rows, False)
         want = repeats([(i, t.decode()) for i, t in enumerate(texts)])
         for s in shards:
             lengths = np.frombuffer(s["lengths"], "<i8")
@@ -156,5 +191,17 @@ def test_merge_by_columns():
                 at += size
 
 
+def test_a_passage_and_a_line_in_every_document(spark, monkeypatch):
+    """A long passage, and a line shorter than a window with other surroundings each time, both hot."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    passage, line = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(14))
+    rows = [(i, " ".join([word() for _ in range(20)] + [passage if i % 3 else line] + [word() for _ in range(20)])) for i in range(90)]
+    monkeypatch.setattr(bwt, "HOT", 5)
+    monkeypatch.setattr(bwt, "SHARD_BYTES", 3000)
+    got = sorted(map(tuple, bwt.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()))
+    assert got == repeats(rows)
+
+
 def test_no_filter_column_is_lost(docs):
     assert simhash.representatives(docs.withColumn("extra", F.lit(1))).columns[-1] == "extra"
