@@ -100,11 +100,11 @@ n as (select u, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as
 l as (select a.u as a, b.u as b, b.vec_id as other from n a, n b where a.u <> b.u and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
 reach as (select a, other, b from l union select r.a, l.other, l.b from reach r join l on l.a = r.b),
 small as (select a, min(other) as low from reach group by 1), cnt as (select a, count(*) as n_links from l group by 1)
-select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, low) as component_id, vec_id is not distinct from least(vec_id, low) as kept
 from v left join small on small.a = v.u left join cnt on cnt.a = v.u""",
-    "op9_norm_buckets": f"""with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings where {_VALID}),
-s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    "op9_norm_buckets": f"""with v as (select row_number() over () as u, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings where {_VALID} and vec_id is not null),
+s as (select q.u, q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by u order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20""",
 }
 

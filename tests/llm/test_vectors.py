@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from deploom.llm import pq, topk
 
@@ -10,6 +11,7 @@ def table(spark, seed=1):
     rows += [(200 + i, (base[i % 20] + rng.normal(scale=0.05, size=16)).tolist()) for i in range(120)]
     rows += [(400 + i, base[0].tolist()) for i in range(20)]
     rows += [(500, None), (520, [0.0] * 16), (540, [float("nan")] * 16), (560, [None] * 16), (580, [float("inf")] + [1.0] * 15), (600, [1.0, 2.0]), (601, [1.0, 2.0]), (620, []), (None, base[3].tolist())]
+    rows += [(400, base[0].tolist()), (5, base[7].tolist()), (5, base[7].tolist()), (60, (base[8] + 0.01).tolist()), (60, (base[8] + 0.02).tolist()), (40, base[2].tolist()), (None, base[90].tolist()), (None, (-base[90]).tolist())]
     return spark.createDataFrame([(i, v, 0, "r", 1) for i, v in rows], "vec_id long, embedding array<double>, label int, rep string, n int"), rows
 
 
@@ -17,59 +19,105 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v)
 
 
-def test_near_vectors(spark):
-    df, rows = table(spark)
-    df = df.where("vec_id is not null")
-    got = {r["vec_id"]: r for r in pq.near_vectors(df).collect()}
-    rows = [(i, np.array(v) if usable(v) and any(v) else None) for i, v in rows if i is not None]
-    up = {i: i for i, _ in rows}
+def brute_links(rows, cosine=0.95):
+    """Sorted (vec_id, n_links, component_id, kept) by definition, row by row."""
+    n, size = len(rows), np.array([len(v) if usable(v) and any(v) else 0 for _, v in rows])
+    up, count = list(range(n)), [0] * n
 
     def find(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for i, v in rows:
-        n = 0
-        for j, w in rows:
-            if i != j and v is not None and w is not None and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.95:
-                n += 1
-                a, b = find(i), find(j)
-                up[max(a, b)] = min(a, b)
-        assert got[i]["n_links"] == n, i
-    for i, _ in rows:
-        assert (got[i]["component_id"], got[i]["kept"]) == (find(i), find(i) == i)
+    for d in set(size.tolist()) - {0}:
+        at = np.flatnonzero(size == d)
+        x = np.array([rows[i][1] for i in at], float)
+        norm = np.sqrt((x**2).sum(1))
+        for a, b in zip(*np.nonzero(x @ x.T / np.outer(norm, norm) >= cosine)):
+            if a != b:
+                count[at[a]] += 1
+                up[find(int(at[a]))] = find(int(at[b]))
+    low = {}
+    for i, (vec_id, _) in enumerate(rows):
+        if vec_id is not None:
+            low[find(i)] = min(vec_id, low.get(find(i), vec_id))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    return sorted(((v, count[i], low.get(find(i)), v == low.get(find(i))) for i, (v, _) in enumerate(rows)), key=key), key
+
+
+def test_near_vectors(spark):
+    df, rows = table(spark)
+    want, key = brute_links(rows)
+    assert sorted(map(tuple, pq.near_vectors(df).collect()), key=key) == want
     assert pq.near_vectors(df.limit(0)).count() == 0
 
 
-def test_recall_over_many_lists():
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(6000, 32))
-    near = x + rng.normal(scale=0.25, size=x.shape)
-    unit = lambda m: m / np.sqrt((m**2).sum(1))[:, None]
-    x, near = unit(x), unit(near)
-    every = np.concatenate((x, near))
-    model = pq.Quantiser(every[rng.permutation(len(every))[:4000]], len(every))
-    linked = (x * near).sum(1) >= 0.95
-    home = pq.nearest(near, model.coarse)
-    probes = model.probes(x, pq.nearest(x, model.coarse))
-    found = [home[i] in probes[i] for i in np.flatnonzero(linked)]
-    assert len(model.coarse) > 30 and len(found) > 1000 and np.mean(found) >= 0.9
+def planted(dim, n=1500, seed=2):
+    """Vectors and for each one a neighbour at cosine 0.95 to 0.97."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.normal(size=(2, n, dim))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.sqrt((y**2).sum(1))[:, None]
+    cos = rng.uniform(0.9501, 0.97, n)[:, None]
+    return np.concatenate((x, cos * x + np.sqrt(1 - cos**2) * y))
 
 
-def test_top_products(spark):
-    df, rows = table(spark, 3)
-    got = {}
-    for r in topk.top_products(df, lambda v: v % 20 == 0, k=7).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+@pytest.mark.parametrize("dim", [8, 16, 64])
+def test_planted_neighbours_over_many_lists(spark, monkeypatch, dim):
+    """Up to 16 dimensions the probes lose nothing; beyond, hardly anything.  Small tiles, so that lists are cut."""
+    monkeypatch.setattr(pq, "LIST_ROWS", 40)
+    monkeypatch.setattr(pq, "MEMBERS", 30)
+    monkeypatch.setattr(pq, "QUERIES", 200)
+    rows = [(i, v.tolist()) for i, v in enumerate(planted(dim))]
+    got = sorted(map(tuple, pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    want, _ = brute_links(rows)
+    if dim <= pq.DEVIATIONS**2:
+        assert got == want
+    found, every = sum(r[1] for r in got), sum(r[1] for r in want)
+    assert found % 2 == 0 and 0.99 * every <= found <= every  # both ends of a link count it
+    linked = {r[0] for r in got if r[1]}
+    assert len(linked) >= 0.99 * len(rows)
+
+
+def brute_products(rows, k):
     whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if i is not None and usable(v)]
+    out = []
     for i, v in whole:
         if i % 20 == 0:
-            best = sorted((-int(v @ w), j) for j, w in whole if j != i and len(w) == len(v))[:7]
-            assert sorted(got.get(i, [])) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)], i
+            best = sorted((-int(v @ w), j) for j, w in whole if j != i and len(w) == len(v))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_products(spark, monkeypatch):
+    df, rows = table(spark, 3)
+    want = brute_products(rows, 7)
+    assert any(want[i] == want[i + 1] for i in range(len(want) - 1))  # a query row that occurs twice is ranked twice
+    for run, bucket, queries in ((32_768, 4096, 4096), (40, 12, 3), (64, 64, 5)):
+        monkeypatch.setattr(topk, "RUN", run)
+        monkeypatch.setattr(topk, "BUCKET", bucket)
+        monkeypatch.setattr(topk, "QUERIES", queries)
+        assert sorted(map(tuple, topk.top_products(df, lambda v: v % 20 == 0, k=7).collect())) == want
     assert topk.top_products(df.limit(0), lambda v: v % 20 == 0).count() == 0
 
 
+def test_lengths_prune_runs(spark, monkeypatch):
+    """Very unequal lengths, a third of them the same vector: short runs are not asked for."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8)) * rng.exponential(2.0, (600, 1)) ** 2
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(topk, "RUN", 50)
+    offered = []
+    tiles = topk._tiles
+    monkeypatch.setattr(topk, "_tiles", lambda a, b, dim, k: offered.append(b) or tiles(a, b, dim, k))
+    got = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 20 == 0, k=5)
+    assert sorted(map(tuple, got.collect())) == brute_products(rows, 5)
+    asked = offered[1].select("query", "tile").distinct().count()
+    assert asked < 0.7 * 30 * 11  # of 30 queries with 11 or more further tiles each
+
+
 def test_tiles_prune_exactly():
     rng = np.random.default_rng(5)
     rows = np.sort(rng.integers(-60, 60, (500, 24)), axis=0) * rng.integers(1, 4, (500, 1))
