@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import RUSAGE
+
 #: Flags whose next argument is not an input, and extensions of inputs.
 SKIP_NEXT = ("-I", "-D", "-trimpath")
 INPUT_EXTENSIONS = (".a", ".o", ".h", ".s", ".c", ".go")
@@ -47,5 +49,19 @@ def with_sizes(log: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def by_command(log: DataFrame) -> DataFrame:
-    """Steps, CPU time and inputs per command."""
-    return records(log).groupBy("command").agg(F.count("*").alias("steps"), F.sum("user_ns").alias("user_ns"), F.sum("system_ns").alias("system_ns"), F.sum(F.size("inputs")).cast("bigint").alias("inputs"))
+    """Steps, failures, wall and CPU time, inputs, and the sums (of sizes in memory: the largest) of resource counters per command."""
+    r = records(log)
+    have = lambda c: c in r.columns
+    out = [F.count("*").alias("steps"), F.sum("user_ns").alias("user_ns"), F.sum("system_ns").alias("system_ns"), F.sum(F.size("inputs")).cast("bigint").alias("inputs")]
+    if have("start") and have("finish"):
+        wall = (F.unix_micros("finish") - F.unix_micros("start")) * 1000
+        out += [F.sum(wall).alias("wall_ns"), F.max(wall).alias("longest_ns")]
+    if have("exit_status"):
+        out.append(F.count(F.when(F.col("exit_status") != 0, 1)).alias("failed"))
+    if have("has_usage"):
+        out.append(F.count(F.when(F.col("has_usage"), 1)).alias("with_usage"))
+        for c in RUSAGE:
+            if have(c):
+                own = F.when(F.col("has_usage"), F.col(c))
+                out.append((F.max(own) if c == "maxrss" else F.sum(own)).alias(c))
+    return r.groupBy("command").agg(*out)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import materialise
+from ..plans.numbering import in_order
+from ..schema import STAT_FIELDS
 from . import fixpoint
 from .graph_ops import own_edges
 from .sets import PackageSet
 
 
+#: A module path's own part and its major version: ``/v2`` behind it, or ``.v2`` where versions stand in the name.
+_SPLIT = r"^(.*?)(/v[0-9]+|(?<=^gopkg\.in/.{1,200})\.v[0-9]+)?$"
+
+
 class Graph:
     """A set's induced graph, with the pair closure computed once and shared by up, down and reduction."""
 
@@ -31,6 +37,10 @@ class Graph:
         inside = own_edges(self.set).join(ids, F.col("import_path") == ids["id"], "left_semi")
         return inside.select(F.col("src_id").alias("src"), F.col("import_path").alias("dst")).distinct()
 
+    def imports(self) -> DataFrame:
+        """What each member imports, inside the set or not: src_id, import_path, dst_id."""
+        return own_edges(self.set).select("src_id", "import_path", "dst_id").distinct()
+
     def pairs(self) -> DataFrame:
         """(root, id) for members and all they reach; cycles back to a root left out."""
         if self._pairs is None:
@@ -73,19 +83,25 @@ class Graph:
         return out.orderBy("in_degree", F.desc("cut_package_count"), "id")
 
     def module_tree(self) -> DataFrame:
-        """repo, module and package levels of each member: id, repo_root, module_path, is_local, only_child, single_module.
+        """repo, module and package levels of each member: id, repo_root, module_path, module_label, is_local, only_child, single_module.
 
-        A repository with one module is shown as that module if their paths agree up to the major version.
+        A repository with one module is shown as that module if their paths agree and the module's
+        version is of the major number in its path; local modules have no version to compare.
         """
         from pyspark.sql import Window
 
-        n = self.nodes().select("id", "module_path", *[c for c in ("is_local",) if c in self.nodes().columns])
-        if "is_local" not in n.columns:
-            n = n.withColumn("is_local", F.lit(False))
-        n = n.withColumn("repo_root", F.coalesce(F.regexp_extract("module_path", r"^(.*?)(/v[0-9]+)?$", 1), "id"))
+        nodes = self.nodes()
+        has = lambda name, kind: F.col(name) if name in nodes.columns else F.lit(None).cast(kind)
+        n = nodes.select("id", "module_path", F.coalesce(has("is_local", "boolean"), F.lit(False)).alias("is_local"), *[has(c, "string").alias(c) for c in ("module_version", "replace_path", "replace_version")])
+        cut = F.regexp_extract("module_path", _SPLIT, 1), F.regexp_extract("module_path", _SPLIT, 2)
+        n = n.withColumn("repo_root", F.coalesce(F.when(cut[0] != "", cut[0]).otherwise(F.col("module_path")), "id")).withColumn("major", cut[1])
         per = n.where(F.col("module_path").isNotNull()).groupBy("repo_root").agg(F.count_distinct("module_path").alias("modules"))
         n = n.withColumn("only_child", F.count("*").over(Window.partitionBy("repo_root", "module_path")) == 1)
-        return n.join(per, "repo_root", "left").select("id", "repo_root", "module_path", "is_local", "only_child", F.coalesce(F.col("modules") == 1, F.lit(False)).alias("single_module"))
+        own = F.concat(F.lit("v"), F.regexp_extract("major", "[0-9]+", 0))
+        agrees = (F.col("major") == "") | F.col("is_local") | F.coalesce(F.regexp_extract("module_version", r"^(v[0-9]+)(\.|$)", 1) == own, F.lit(False))
+        at = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("@"), c)).otherwise("")
+        label = F.concat("module_path", at(F.col("module_version")), F.when(F.col("is_local"), " (local)").otherwise(""), F.when(F.col("replace_path").isNotNull(), F.concat(F.lit(" =>\\n"), "replace_path", at(F.col("replace_version")))).otherwise(""))
+        return n.join(per, "repo_root", "left").select("id", "repo_root", "module_path", label.alias("module_label"), "is_local", "only_child", F.coalesce((F.col("modules") == 1) & agrees, F.lit(False)).alias("single_module"))
 
     def tree(self) -> DataFrame:
         """Rows of the printed tree: line, depth, id, parent_id, ref (line of the expanded occurrence), is_std, is_last.
@@ -106,14 +122,19 @@ class Graph:
         rows = roots.select("id", F.lit(None).cast("string").alias("parent_id"), F.array("id").alias("path")).unionByName(below)
         siblings = Window.partitionBy("parent_id").orderBy(F.desc("id"))
         rows = rows.withColumn("is_last", F.col("parent_id").isNotNull() & (F.row_number().over(siblings) == 1))
-        # a printed report: its line numbers are one global order
-        rows = rows.withColumn("line", F.row_number().over(Window.orderBy("path")).cast("bigint"))
+        rows = in_order(rows, ["path"], "line")
         first = rows.join(best.select("path"), "path", "left_semi").select("id", F.col("line").alias("first_line"))
         marks = std.withColumn("is_std", F.lit(True))
         out = rows.join(first, "id", "left").join(marks, "id", "left").withColumn("is_std", F.coalesce("is_std", F.lit(False)))
         return out.select("line", (F.size("path") - 1).cast("bigint").alias("depth"), "id", "parent_id", F.when(~F.col("is_std") & (F.col("line") > F.col("first_line")), F.col("first_line")).alias("ref"), "is_std", "is_last")
 
 
+def declarations_total(nodes: DataFrame, start: str = "") -> Column:
+    """All declarations of a node: the sum of its five counts, as far as they are held."""
+    held = [start + c for c in STAT_FIELDS if c.startswith("decl_") and start + c in nodes.columns]
+    return sum((F.coalesce(c, F.lit(0)) for c in held), F.lit(0)).cast("bigint")
+
+
 def add_stats(a: DataFrame, b: DataFrame, columns: list[str], sign: int = 1) -> DataFrame:
     """Field-wise sum (or, with sign -1, difference) of two statistic tables by id; a missing row is zero."""
     b = b.select("id", *[F.col(c).alias("__" + c) for c in columns])

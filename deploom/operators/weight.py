@@ -6,39 +6,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import takes_room
+from ..plans.numbering import in_order
 
 #: A symbol of this size stands for none.
 NO_SIZE = 1 << 32
 
 
-def parse_symbols(lines: DataFrame) -> DataFrame:
-    """``[addr] size type [name [info...]]`` lines (binary, line_no, line) to symbols; nameless and type-data symbols go."""
+#: What parts path and name, before any parenthesis: the first dot behind the last slash; else the last
+#: slash, unless it begins the name.  The group is the path.
+_PATH = r"^([^(]*/[^/.(]*(?=\.[^/(]*(?:\(|$))|[^(]+(?=/[^/.(]*(?:\(|$))|[^/.(]+(?=\.[^/(]*(?:\(|$)))"
+
+
+def _fields(lines: DataFrame) -> DataFrame:
+    """Lines with their fields, the place of the type among them (null: none) and the size."""
     f = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    df = lines.withColumn("f", f).where(F.size("f") >= 2)
     kind = lambda i: F.coalesce(F.get("f", F.lit(i)).rlike(r"^[A-Za-z_?]$"), F.lit(False))
-    df = df.withColumn("at", F.when(kind(1), 1).when(kind(2), 2)).where("at is not null")
-    size = F.get("f", F.col("at") - 1).try_cast("bigint")
+    df = lines.withColumn("f", f).withColumn("at", F.when(kind(1), 1).when(kind(2), 2))
+    addr = F.when(F.col("at") == 2, F.get("f", F.lit(0))).otherwise("0")
+    addr = F.when(addr.rlike("^0*[0-9A-Fa-f]{1,16}$"), F.conv(addr, 16, 10).cast("decimal(20,0)"))
+    return df.withColumn("addr", addr).withColumn("size", F.get("f", F.col("at") - 1).try_cast("bigint"))
+
+
+def malformed(lines: DataFrame) -> DataFrame:
+    """binary, line_no, line, error: lines that are no symbols, each with the reason; ``parse_symbols`` leaves them out."""
+    problem = F.when(F.size("f") < 2, "invalid symbol text").when(F.col("at").isNull(), "no symbol type").when(F.col("addr").isNull(), "invalid address").when(F.col("size").isNull(), "invalid size")
+    return _fields(lines).select("binary", "line_no", "line", problem.alias("error")).where("error is not null")
+
+
+def parse_symbols(lines: DataFrame) -> DataFrame:
+    """``[addr] size type [name [info...]]`` lines (binary, line_no, line) to symbols; nameless and type-data symbols go."""
+    df = _fields(lines).where("at is not null and addr is not null and size is not null")
     df = df.select(
         "binary",
         "line_no",
-        F.when(F.col("at") == 2, F.conv(F.get("f", F.lit(0)), 16, 10).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)")).alias("addr"),
-        F.when(size == NO_SIZE, 0).otherwise(size).cast("bigint").alias("size"),
+        "addr",
+        F.when(F.col("size") == NO_SIZE, 0).otherwise(F.col("size")).cast("bigint").alias("size"),
         F.get("f", F.col("at")).alias("code"),
         F.coalesce(F.get("f", F.col("at") + 1), F.lit("")).alias("qualified_name"),
         F.array_join(F.slice("f", F.col("at") + 3, F.size("f")), " ").alias("info"),
     )
-    # the dot that parts path and name: the first after the last slash, both before any parenthesis
-    head = F.substring_index("qualified_name", "(", 1)
-    slash = F.length(head) - F.length(F.substring_index(head, "/", -1))
-    slash = F.when(F.contains(head, F.lit("/")), slash).otherwise(0)
-    dot = F.locate(".", F.substring(head, slash + 1, F.length(head)), 1)
-    cut = F.when(dot > 0, slash + dot - 1).otherwise(0)
+    df = df.withColumn("head", F.regexp_extract("qualified_name", _PATH, 1))
     none = F.expr("cast(array() as array<string>)")
-    df = df.withColumn("cut", cut)
-    df = df.withColumn("path", F.when(F.col("cut") > 0, F.split(F.expr("substring(qualified_name, 1, cut)"), "/")).otherwise(none))
-    df = df.withColumn("name", F.when(F.col("cut") > 0, F.expr("substring(qualified_name, cut + 2)")).otherwise(F.col("qualified_name"))).drop("cut")
-    first = F.coalesce(F.get("path", F.lit(0)), F.lit(""))
-    return df.where((F.col("qualified_name") != "") & ~first.startswith("go.itab.") & ~first.startswith("type.."))
+    path = F.when(F.col("head") == "", none).otherwise(F.split("head", "/"))
+    name = F.when(F.col("head") == "", F.col("qualified_name")).otherwise(F.expr("substring(qualified_name, length(head) + 2)"))
+    df = df.where((F.col("qualified_name") != "") & ~F.col("head").startswith("go.itab.") & ~F.col("head").startswith("type.."))
+    return df.select("binary", "line_no", "addr", "size", "code", "qualified_name", "info", path.alias("path"), name.alias("name"))
 
 
 def sized(symbols: DataFrame, every: bool = False) -> DataFrame:
@@ -90,7 +102,7 @@ def diff(symbols: DataFrame, binaries: list[str], minimum: int = 1024, cumulativ
     wide = wide.select(*out, *sizes, *deltas, total, largest).where(F.abs("total_delta") >= minimum)
     order = [F.desc(F.abs("total_delta")), F.col("qualified_name")]
     if cumulative:  # over the rows of the printed report
-        wide = wide.withColumn("cumulative", F.sum("total_delta").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        wide = in_order(wide, order, "place", {"cumulative": "total_delta"}).drop("place")
     return wide.orderBy(*order)
 
 

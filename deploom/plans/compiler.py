@@ -53,6 +53,20 @@ class Evaluator:
             return self.select(node, context)
         return self.call(node, context)
 
+    def values(self, nodes, context) -> list[PackageSet]:
+        """All arguments; the errors of several are reported together."""
+        out, errors = [], []
+        for n in nodes:
+            try:
+                out.append(self.value(n, context))
+            except ExprError as e:
+                errors.append(e)
+        if len(errors) == 1:
+            raise errors[0]
+        if errors:
+            raise ExprError("[" + " ".join(map(str, errors)) + "]")
+        return out
+
     def load(self, patterns, context, tests=None) -> PackageSet:
         return PackageSet(self.catalog.load(patterns, context, tests), self.catalog)
 
@@ -76,7 +90,7 @@ class Evaluator:
         known = {*UNION, *SUBTRACT, *INTERSECT, "xor", "reach", "incoming", "transitive", "deadcode"}
         if name not in known:
             raise ExprError(f"unknown function {node.name!r}")
-        args = [self.value(a, context) for a in node.args]
+        args = self.values(node.args, context)
         if name in UNION:
             return union_all(args)
         if name in ("reach", "incoming"):

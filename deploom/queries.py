@@ -29,8 +29,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(catalog(spark, sf_dir))
+    """One engine per application and folder, so that commands share what is worked out of a graph."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(catalog(spark, sf_dir))
+    return _ENGINES[key]
 
 
 #: The set language in DuckDB: parts of a recursive statement.
@@ -107,7 +114,7 @@ _ZERO = ", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in STATS)
 
 
 def graph(spark, sf_dir, text=GRAPH) -> Graph:
-    return Graph(engine(spark, sf_dir).calc(text))
+    return engine(spark, sf_dir).graph_of(text, std=True)
 
 
 @query("graph_totals", recursive(_G, _STATS) + f"select {_SUMS} from s")
@@ -229,10 +236,10 @@ def list_format(spark, sf_dir):
 @query("file_line_stats", r"""select doc_id, case when contains(t, chr(0)) then 0 else 1 end::bigint as files, case when contains(t, chr(0)) then 1 else 0 end::bigint as binary_files, strlen(t)::bigint as size,
  case when contains(t, chr(0)) then 0 else len(list_filter(p, lambda x: regexp_matches(x, '[^\r \t]'))) end::bigint as lines,
  case when contains(t, chr(0)) then 0 else len(p) - len(list_filter(p, lambda x: regexp_matches(x, '[^\r \t]'))) - case when regexp_matches(p[-1], '[^\r \t]') then 0 else 1 end end::bigint as blank
-from (select doc_id, text as t, string_split(text, chr(10)) as p from documents where text is not null) d""")
+from (select doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as p from documents) d""")
 def file_line_stats(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    s = docs.select("doc_id", S.line_stats(F.col("text")).alias("s"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    s = docs.select("doc_id", S.line_stats(F.coalesce("text", F.lit(""))).alias("s"))
     return s.select("doc_id", "s.files", F.col("s.binary").alias("binary_files"), "s.size", "s.lines", "s.blank")
 
 
@@ -269,10 +276,14 @@ def num_funcs(spark, sf_dir):
     return o.select("o_orderkey", S.add(k, F.lit(2.5)).alias("added"), kind(S.div(F.lit(1), k)).alias("divided"), S.round_half_away(S.div(k, F.lit(2))).alias("rounded"), kind(S.log(k)).alias("logged"), S.to_int(F.col("o_totalprice")).alias("whole"))
 
 
-#: The listing's fields in DuckDB: every derived line has an address, and a path of three parts.
-_SYM = """sym as (select binary_name as "binary", line_no, ('0x' || string_split(line, ' ')[1])::bigint as addr, string_split(line, ' ')[2]::bigint as size, string_split(line, ' ')[3] as code, q as qualified_name, array_to_string(string_split(line, ' ')[5:], ' ') as info,
- coalesce(strpos(tail, '.'), 0) as dot, slash, q from (select *, string_split(line, ' ')[4] as q, length(string_split(line, ' ')[4]) - length(list_last(string_split(string_split(line, ' ')[4], '/'))) as slash, list_last(string_split(string_split(line, ' ')[4], '/')) as tail from nm_lines) t),
-symbols as (select "binary", line_no, addr, size, code, qualified_name, info, case when dot > 0 then string_split(substr(q, 1, slash + dot - 1), '/') else []::varchar[] end as path, case when dot > 0 then substr(q, slash + dot + 1) else q end as name from sym)"""
+#: The listing's fields in DuckDB: every derived line has an address.  Path and name part at the first dot
+#: behind the last slash before any parenthesis; without one at that slash.
+_SYM = """field as (select binary_name as "binary", line_no, string_split(line, ' ') as f from nm_lines),
+head as (select *, f[4] as q, case when strpos(f[4], '(') > 0 then substr(f[4], 1, strpos(f[4], '(') - 1) else f[4] end as b from field),
+slashed as (select *, greatest(length(b) - length(list_last(string_split(b, '/'))) - 1, 0) as slash from head),
+sym as (select *, slash + greatest(strpos(substr(b, slash + 1), '.') - 1, 0) as p from slashed),
+symbols as (select * from (select "binary", line_no, ('0x' || f[1])::bigint as addr, f[2]::bigint as size, f[3] as code, q as qualified_name, array_to_string(f[5:], ' ') as info,
+ case when p > 0 then string_split(substr(q, 1, p), '/') else []::varchar[] end as path, case when p > 0 then substr(q, p + 2) else q end as name from sym) t where not starts_with(coalesce(path[1], ''), 'go.itab.') and not starts_with(coalesce(path[1], ''), 'type..'))"""
 _NM = recursive(_SYM, tables_=("nm_lines",))
 _PREFIX = "pre as (select unnest(list_concat([''], list_transform(range(1, len(path) + 1), lambda i: '/' || array_to_string(path[1:i], '/')))) as p, '/' || array_to_string(path, '/') as own, size from symbols where code in ('T', 't', 'D', 'd', 'R', 'r'))"
 _ROLL = "roll as (select p as path, sum(size)::bigint as total_size, sum(case when p = own then size else 0 end)::bigint as size, count(case when p = own then 1 end)::bigint as symbols from pre group by p)"
@@ -320,7 +331,7 @@ def weight_diff_cum(spark, sf_dir):
     return Engine.weight_diff(symbols(spark, sf_dir), ["v1", "v2", "v3"], cumulative=True).select("qualified_name", "total_delta", "cumulative", weight.delta_text(F.col("total_delta")).alias("shown"))
 
 
-@query("symbol_package", recursive(tables_=("nm_lines",)) + "select q as symbol, regexp_extract(q, '^((?:.*/)?[^/.]*)\\.[^/]*$', 1) as package, count(*)::bigint as n from (select string_split(line, ' ')[4] as q from nm_lines) t group by all")
+@query("symbol_package", recursive(tables_=("nm_lines",)) + "select q as symbol, regexp_extract(q, '^((?:.*/)?[^/.]*)\\.[^/]*$', 1) as package, count(*)::bigint as n from (select string_split(line, ' ')[4] as q from nm_lines) t where not starts_with(q, 'go.itab.') group by all")
 def symbol_package(spark, sf_dir):
     return symbols(spark, sf_dir).groupBy(F.col("qualified_name").alias("symbol"), package_of_symbol(F.col("qualified_name")).alias("package")).agg(F.count("*").alias("n"))
 
@@ -341,21 +352,109 @@ def sel_module_whole(spark, sf_dir):
     return engine(spark, sf_dir).calc("cust/...:mod").ids()
 
 
-@query("exec_inputs")
-def exec_inputs(spark, sf_dir):
-    """Each order is compiled (closed ones with an assembler file beside), or linked if it has priority."""
-    from .operators.execlog import classify
+_STEPS = """with steps as (select o_orderkey, case when link then 'link' else 'compile' end as command, case when link then '' else 'order/' || o_orderkey end as package, 'out/' || o_orderkey || case when link then '' else '.a' end as output,
+ case when link then o_orderkey || '.a' when o_orderstatus = 'F' then o_orderkey || '.go,' || o_orderkey || '.s' else o_orderkey || '.go' end as inputs, case when not link and o_orderstatus = 'F' then 2 else 1 end as n, o_orderkey % 10 = 3 as failed, o_orderkey % 60 as seconds
+from (select *, o_orderpriority = '1-URGENT' as link from orders) o)
+"""
+
 
+def build_log(spark, sf_dir) -> DataFrame:
+    """Each order is compiled (closed ones with an assembler file beside), or linked if it has priority."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey").cast("string")
     text = lambda *parts: F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p]) if isinstance(p, tuple) else F.lit(p) for p in parts])
     build = text("/go/pkg/tool/compile.exe", "-o", ("out/", key, ".a"), "-p", ("order/", key), "-I", "x.go", "-complete", (key, ".go"))
     build = F.concat(build, F.when(F.col("o_orderstatus") == "F", text((key, ".s"), "readme.md")).otherwise(text("readme.md")))
     link = text("/go/pkg/tool/link", "-o", ("out/", key), "-D", "y.o", (key, ".a"))
-    log = o.select(F.when(F.col("o_orderpriority") == "1-URGENT", link).otherwise(build).alias("args"))
-    return log.select(classify(F.col("args")).alias("i")).select("i.command", "i.package", "i.output", F.array_join("i.inputs", ",").alias("inputs"))
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    return o.select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", link).otherwise(build).alias("args"), (F.col("o_orderkey") * 1000).cast("bigint").alias("user_ns"), F.lit(0).cast("bigint").alias("system_ns"), start.alias("start"), (start + F.make_dt_interval(secs=F.col("o_orderkey") % 60)).alias("finish"), (F.col("o_orderkey") % 10 == 3).cast("int").alias("exit_status"))
+
+
+@query("exec_inputs", _STEPS + "select command, package, output, inputs from steps")
+def exec_inputs(spark, sf_dir):
+    from .operators.execlog import records
+
+    return records(build_log(spark, sf_dir)).select("command", "package", "output", F.array_join("inputs", ",").alias("inputs"))
 
 
 @query("tree_text")
 def tree_text(spark, sf_dir):
     return tables.tree_lines(engine(spark, sf_dir).tree(WHOLE, std=True))
+
+
+#: The printed reports: aligned cells as one expression over a relation ``t`` of ordered rows.
+def _aligned(rows: str, cells: list[str], header: list[str], order: str, padding: int = 3) -> str:
+    names = [f"c{i}" for i in range(len(cells))]
+    titles = ", ".join("'" + h + "'" for h in header)
+    shown = " || ".join([f"rpad({n}, (select max(length({n})) from every)::int + {padding}, ' ')" for n in names[:-1]] + names[-1:])
+    return f""", body as (select row_number() over (order by {order}) + 1 as line_no, {", ".join(f"{c} as {n}" for c, n in zip(cells, names))} from ({rows}) t),
+every as (select 1 as line_no, {", ".join(f"{t} as {n}" for t, n in zip(titles.split(", "), names))} union all select * from body)
+select line_no::bigint as line_no, {shown} as line from every"""
+
+
+LIST_FORMAT = "{{.ID}}\t{{.Stat.Go.Lines}}\t{{.Down.PackageCount}}\t{{.Stat.Decls.Total}}"
+
+
+@query("list_text", recursive(_G, _STATS, _PAIRS, "d as (select root as id, count(*) as n from r join s using (id) group by root)") + _aligned("select s.id, go_lines, coalesce(n, 0) as n, decl_func from s left join d using (id)", ["id", "go_lines::varchar", "n::varchar", "decl_func::varchar"], ["ID", "Stat.Go.Lines", "Down.PackageCount", "Stat.Decls.Total"], "id"))
+def list_text(spark, sf_dir):
+    return engine(spark, sf_dir).list_text(GRAPH, std=True, fmt=LIST_FORMAT)
+
+
+@query("cut_text", ORACLES["graph_cut"].replace("select start as id,", ", cuts as (select start as id,", 1) + ")" + _aligned("select * from cuts", ["id", "in_degree::varchar", "cut_package_count::varchar", "cut_go_lines::varchar"], ["ID", "InDegree", "Cut.PackageCount", "Cut.Go.Lines"], "in_degree, cut_package_count desc, id"))
+def cut_text(spark, sf_dir):
+    return engine(spark, sf_dir).cut_text(SMALL, exclude="cust/2", fmt="{{.ID}}\t{{.InDegree}}\t{{.Cut.PackageCount}}\t{{.Cut.Go.Lines}}")
+
+
+@query("weight_text", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + """, shown as (select * from roll where total_size >= 1024),
+below as (select '/' || array_to_string(path, '/') as path, name, code, size, line_no from symbols where code in ('T', 't', 'D', 'd', 'R', 'r') and size >= 1024 and len(path) > 0 union all select '', name, code, size, line_no from symbols where code in ('T', 't', 'D', 'd', 'R', 'r') and size >= 1024 and len(path) = 0),
+every as (select path, size as node_size, total_size, 0 as place, lpad(total_size::varchar, greatest(10, length(total_size::varchar))::int, ' ') || ' ' || lpad(size::varchar, greatest(10, length(size::varchar))::int, ' ') || ' ' || path || ' [syms ' || symbols || ']' as line from shown
+ union all select path, s.size, s.total_size, row_number() over (partition by path order by b.size desc, name, line_no), repeat(' ', 11) || lpad(b.size::varchar, greatest(10, length(b.size::varchar))::int, ' ') || ' ' || code || ' ' || name from below b join shown s using (path))
+select row_number() over (order by node_size desc, total_size desc, path, place)::bigint as line_no, line from every""")
+def weight_text(spark, sf_dir):
+    return Engine.weight_text(symbols(spark, sf_dir))
+
+
+def _right(c: str, n: int) -> str:
+    return f"lpad({c}, greatest({n}, length({c}))::int, ' ')"
+
+
+def _delta(c: str) -> str:
+    return _right(f"(case when {c} = 0 then '~' when {c} > 0 then '+' || {c} else {c}::varchar end)", 8)
+
+
+_RUNNING = "select *, sum(total_delta) over (order by abs(total_delta) desc, qualified_name rows unbounded preceding)::bigint as run from f"
+_CELLS = ["qualified_name", _right("coalesce(size_0::varchar, '-')", 7), _right("coalesce(size_1::varchar, '-')", 7), _delta("delta_1"), _right("coalesce(size_2::varchar, '-')", 7), _delta("delta_2"), _delta("total_delta"), _delta("run")]
+
+
+@query("weight_diff_text", _DIFF + _aligned(_RUNNING, _CELLS, ["name", "     v1", "     v2", "  delta", "     v3", "  delta", "total ∆", "cum. ∆"], "abs(total_delta) desc, qualified_name", 4))
+def weight_diff_text(spark, sf_dir):
+    return Engine.weight_diff_text(symbols(spark, sf_dir), ["v1", "v2", "v3"], minimum=1024, cumulative=True)
+
+
+def _stat_sql(t: str) -> str:
+    counts = {c: f"coalesce({t}.{c}, 0)" for c in STATS}
+    group = lambda name, start, leaves: f'"{name}":{{' + ",".join(f'"{x}":' + (f"\' || {counts[start + x.lower()]} || \'" if start + x.lower() in counts else "0") for x in leaves) + "}"
+    source = ("Files", "Binary", "Size", "Lines", "Blank")
+    return "\'{\"PackageCount\":\' || " + counts["package_count"] + " || \'," + ",".join((group("Go", "go_", source), group("OtherFiles", "other_", source), group("Decls", "decl_", ("Func", "Type", "Const", "Var", "Other")), group("Tokens", "token_", ("Code", "Comment", "Basic")))) + "}\'"
+
+
+_JSON = f"""select g.id, '{{"Package":{{"ID":"' || g.id || '","Name":"' || p.name || '"' || coalesce(',"Imports":{{' || i.every || '}}', '') || '}}' || coalesce(',"ImportsNodes":[' || n.inside || ']', '') || ',"Stat":' || {_stat_sql("s")} || ',"Up":' || {_stat_sql("u")} || ',"Down":' || {_stat_sql("d")} || '}}' as json
+from g join packages p using (id) join s using (id) left join u using (id) left join d using (id)
+left join (select src_id as id, string_agg('"' || dst_id || '":"' || dst_id || '"', ',' order by dst_id) as every from (select distinct src_id, dst_id from imports_base) x group by 1) i using (id)
+left join (select src as id, string_agg('"' || dst || '"', ',' order by dst) as inside from e group by 1) n using (id)"""
+
+
+@query("node_json", recursive(_G, _EDGES, _STATS, _PAIRS, f"d as (select root as id, {_SUMS} from r join s using (id) group by root)", f"u as (select r.id, {_SUMS} from r join s on s.id = r.root group by r.id)") + _JSON)
+def node_json(spark, sf_dir):
+    return engine(spark, sf_dir).json(GRAPH, std=True)
+
+
+@query("exec_text", _STEPS + "select o_orderkey, command || ' ' || package || ' ' || output || ' ' || n || ' ' || case when failed then 'failed' else 'ok' end as line from steps")
+def exec_text(spark, sf_dir):
+    log = build_log(spark, sf_dir)
+    return Engine.exec_text(log, "{{.Command}} {{.PackageName}} {{.Output}} {{len .Inputs}} {{if .ExitStatus}}failed{{else}}ok{{end}}").select("o_orderkey", "line")
+
+
+@query("exec_commands", _STEPS + "select command, count(*)::bigint as steps, sum(o_orderkey * 1000)::bigint as user_ns, sum(n)::bigint as inputs, sum(seconds * 1000000000)::bigint as wall_ns, count(case when failed then 1 end)::bigint as failed from steps group by 1")
+def exec_commands(spark, sf_dir):
+    return Engine.exec_stats(build_log(spark, sf_dir)).select("command", "steps", "user_ns", "inputs", "wall_ns", "failed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import IMPORTS, PACKAGES, STAT_FIELDS
@@ -52,11 +52,13 @@ class Catalog:
     dump: DataFrame | None = None
     #: settings -> variant; settings not listed are their own variant
     variants: dict[str, str] = field(default_factory=dict)
+    #: id of the package in the working folder, which ``.`` names; empty: the top packages of local modules
+    root: str = ""
 
     @staticmethod
-    def of(packages: DataFrame, imports: DataFrame, dump: DataFrame | None = None, variants: dict[str, str] | None = None) -> "Catalog":
+    def of(packages: DataFrame, imports: DataFrame, dump: DataFrame | None = None, variants: dict[str, str] | None = None, root: str = "") -> "Catalog":
         edges = imports.select("variant", "src_id", "import_path", "dst_id", F.col("variant").alias("dst_variant"))
-        return Catalog(packages, edges, dump, variants or {})
+        return Catalog(packages, edges, dump, variants or {}, root)
 
     @property
     def stat_columns(self) -> list[str]:
@@ -73,10 +75,15 @@ class Catalog:
         return self.variants.get(context.key(), context.key())
 
     def matches(self, patterns: list[str]) -> Column:
-        """One predicate for all patterns: an id, ``p/...`` (p and all below), ``...`` or ``std``."""
+        """One predicate for all patterns: an id, ``p/...`` (p and all below), ``...``, ``std``, or these from the root (``.``)."""
         out = F.lit(False)
         for p in map(replace_alias, patterns):
-            if p in ("...", "./..."):
+            if self.root and (p == "." or p.startswith("./")):
+                p = self.root + p[1:]
+            if p == ".":
+                local = F.col("is_local") if "is_local" in self.packages.columns else ~F.col("is_std")
+                out = out | F.coalesce((F.col("id") == F.col("module_path")) & local, F.lit(False))
+            elif p in ("...", "./..."):
                 out = out | F.lit(True)
             elif p == "std":
                 out = out | F.col("is_std")
@@ -104,7 +111,7 @@ def read_manifest(spark: SparkSession, packages: str, imports: str, stats: str |
     from ..schema import PACKAGE_STATS
 
     p = spark.read.schema(PACKAGES).format(fmt).load(packages)
-    p = p.withColumn("module_path", F.col("module.path")).withColumn("is_local", F.col("module.path").isNotNull() & F.col("module.replace").isNull() & F.coalesce(~F.col("module.dir").startswith(options.get("modcache_dir", "/go/pkg/mod")), F.lit(True)))
+    p = p.withColumn("module_path", F.col("module.path")).withColumn("module_version", F.col("module.version")).withColumn("replace_path", F.col("module.replace.path")).withColumn("replace_version", F.col("module.replace.version")).withColumn("is_local", F.col("module.path").isNotNull() & F.col("module.replace").isNull() & F.coalesce(~F.col("module.dir").startswith(options.get("modcache_dir", "/go/pkg/mod")), F.lit(True)))
     if stats:
         s = spark.read.schema(PACKAGE_STATS).format(fmt).load(stats)
         flat = [F.col("stat." + ("package_count" if "." not in path else _nested(path))).alias(c) for c, path in STAT_FIELDS.items()]
@@ -120,8 +127,15 @@ def _nested(path: str) -> str:
 
 
 def read_lines(spark: SparkSession, path: str, column: str = "line") -> DataFrame:
-    """A text source (symbol listing, linker dump) with the line's number in its file order."""
-    return spark.read.text(path).select(F.col("value").alias(column), F.monotonically_increasing_id().alias("line_no"))
+    """Text sources (symbol listings, linker dumps): the file, the line's number in it from 1, and the line.
+
+    A file's splits are counted each; a line's number is its place in its split behind those before.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias(column))
+    splits = text.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("place").alias("first"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
+    splits = splits.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    return text.join(splits, ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("line_no"), column)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

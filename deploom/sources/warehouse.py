@@ -37,8 +37,12 @@ union all select 'region/' || cast(r_regionkey as varchar(20)), 'region', cast(n
 NM_LINES = """select case l_returnflag when 'A' then 'v1' when 'N' then 'v2' else 'v3' end as binary_name,
   l_orderkey * 10 + l_linenumber as line_no,
   lower(hex(l_orderkey)) || ' ' || cast(cast(l_quantity as bigint) * 64 as varchar(20)) || ' ' ||
-  case when l_linestatus = 'O' then 'T' when l_linenumber % 2 = 0 then 'D' else 'B' end || ' acme.test/' ||
-  p_brand || '/' || p_type || '.' || replace(p_name, ' ', '_') as line
+  case when l_linestatus = 'O' then 'T' when l_linenumber % 2 = 0 then 'D' else 'B' end || case l_linenumber
+    when 4 then ' go:info.acme.test/' || p_brand
+    when 5 then ' base.' || p_brand || '.once'
+    when 6 then ' acme.test/' || p_brand || '.(*T).f(x/y.z)'
+    when 7 then ' go.itab.*' || p_brand || '/x.T'
+    else ' acme.test/' || p_brand || '/' || p_type || '.' || replace(p_name, ' ', '_') end as line
 from {lineitem} join {part} on l_partkey = p_partkey"""
 
 DUMP = """select src_id || '.F' || case when dst_id = 'region/2' then ' <ReflectMethod>' else '' end || ' -> ' || dst_id || '.F' as line

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import path_color
 from ..functions.template import compile_template
-from ..operators.stats import Graph
+from ..operators.stats import Graph, declarations_total
+from ..plans.numbering import in_order
 from ..schema import STAT_FIELDS
 
 DOCS = "https://pkg.go.dev/"
@@ -36,6 +37,8 @@ def node_field(df: DataFrame):
         if path.startswith("Package."):
             path = path[8:]
         for prefix, start in (("Stat.", ""), ("Up.", "up_"), ("Down.", "down_"), ("Cut.", "cut_")):
+            if path == prefix + "Decls.Total":
+                return declarations_total(df, start)
             if path.startswith(prefix + "AllFiles."):
                 part = path.rpartition(".")[2].lower()
                 total = sum((F.coalesce(c, F.lit(0)) for c in (f"{start}go_{part}", f"{start}other_{part}") if c in df.columns), F.lit(0))
@@ -57,7 +60,7 @@ def quoted(c: Column) -> Column:
 def numbered(*parts: DataFrame) -> DataFrame:
     """Lines in report order."""
     rows = reduce(DataFrame.unionByName, parts)
-    return rows.select(F.row_number().over(Window.orderBy("part", "k1", "k2", "k3")).cast("bigint").alias("line_no"), "line")
+    return in_order(rows, ["part", "k1", "k2", "k3"]).select("line_no", "line")
 
 
 def _lines(df: DataFrame, part: int, line: Column, k1=None, k2=None, k3=None) -> DataFrame:
@@ -107,7 +110,7 @@ def digraph(graph: Graph, template: str = "{{.ID}}") -> DataFrame:
 
 
 def tgf(graph: Graph, template: str = "{{.ID}}") -> DataFrame:
-    nodes = labelled(graph, template).withColumn("n", F.row_number().over(Window.orderBy("id")).cast("string"))
+    nodes = in_order(labelled(graph, template), ["id"], "n").withColumn("n", F.col("n").cast("string"))
     ends = graph.edges().join(nodes.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
     spark = nodes.sparkSession
     return numbered(_lines(nodes, 0, F.concat_ws(" ", "n", "label"), F.col("id")), fixed(spark, 1, ["#"]), _lines(ends, 2, F.concat_ws(" ", "a", "b"), F.col("src"), F.col("dst")))
@@ -121,7 +124,7 @@ def mermaid(graph: Graph, template: str = "{{.ID}}", docs: str = DOCS, nocolor:
     rows = [fixed(nodes.sparkSession, 0, ["flowchart LR"]), _lines(nodes, 1, F.concat(pad, n, F.lit("["), quoted(F.col("label")), F.lit("]")), F.col("id"), k3=F.lit(0)), _lines(nodes, 1, F.concat(pad, F.lit("click "), n, F.lit(" "), quoted(F.concat(F.lit(docs), "id")), F.lit(" _blank")), F.col("id"), k3=F.lit(1))]
     fill = nodes.withColumn("shade", _color(MERMAID_FILL, nocolor)).where("shade <> ''")
     rows.append(_lines(fill, 1, F.concat(pad, F.lit("style "), n, F.lit(" fill:"), F.col("shade")), F.col("id"), k3=F.lit(2)))
-    ends = _ends(graph, nodes).withColumn("link", (F.row_number().over(Window.orderBy("src", "dst")) - 1).cast("string"))
+    ends = in_order(_ends(graph, nodes), ["src", "dst"], "link").withColumn("link", (F.col("link") - 1).cast("string"))
     rows.append(_lines(ends, 2, F.concat(pad, key(F.col("src")), F.lit(" --> "), key(F.col("dst"))), F.col("src"), F.col("dst"), F.lit(0)))
     stroke = ends.withColumn("shade", _color(MERMAID_STROKE, nocolor, "dst_path", "dst_color")).where("shade <> ''")
     rows.append(_lines(stroke, 2, F.concat(pad, F.lit("linkStyle "), F.col("link"), F.lit(" stroke:"), F.col("shade")), F.col("src"), F.col("dst"), F.lit(1)))
@@ -177,8 +180,8 @@ def dot_clusters(graph: Graph, template: str = DOT_LABEL, docs: str = DOCS, noco
     for i, line in enumerate((F.concat(F.lit("subgraph "), quoted(F.concat(F.lit("cluster_"), name)), F.lit(" {")), F.concat(F.lit('    label="'), name, F.lit('"')), F.concat(F.lit('    tooltip="'), name, F.lit('"')), F.concat(F.lit("    href="), quoted(F.concat(F.lit(docs), name))))):
         rows.append(_lines(repos, 1, line, name, k3=F.lit(i)))
     rows.append(_lines(repos, 1, F.lit("}"), F.concat(name, F.lit("\x7f"))))
-    mods = nodes.where(F.col("module_path").isNotNull()).select("repo_root", "module_path", "is_local").distinct()
-    title = F.concat("module_path", F.when(F.col("is_local"), " (local)").otherwise(""))
+    mods = nodes.where(F.col("module_path").isNotNull()).select("repo_root", "module_path", "module_label").distinct()
+    title = F.col("module_label")
     at = F.concat("repo_root", F.lit("\x01"), "module_path")
     for i, line in enumerate((F.concat(F.lit("subgraph "), quoted(F.concat(F.lit("cluster_"), "module_path")), F.lit(" {")), F.concat(F.lit('    label="'), title, F.lit('"')), F.concat(F.lit('    tooltip="'), title, F.lit('"')), F.concat(F.lit("    href="), quoted(F.concat(F.lit(docs), "module_path", F.lit("@")))))):
         rows.append(_lines(mods, 1, line, at, k3=F.lit(i)))

@@ -21,13 +21,6 @@ def table(nodes: DataFrame, template: str, order: list | None = None) -> DataFra
     return nodes.select("id", compile_template(template, node_field(nodes)).alias("line"), *[c for c in nodes.columns if c in ("in_degree", "cut_package_count")]).orderBy(*(order or ["id"]))
 
 
-def aligned(lines: list[str], padding: int = 3) -> list[str]:
-    """Tab-separated cells in columns; the last cell of a line is not padded (a printed report, on the driver)."""
-    rows = [x.split("\t") for x in lines]
-    width = [max((len(r[i]) for r in rows if len(r) > i + 1), default=0) + padding for i in range(max(map(len, rows), default=0))]
-    return ["".join(c.ljust(width[i]) for i, c in enumerate(r[:-1])) + r[-1] for r in rows]
-
-
 def tree_lines(tree: DataFrame, template: str = "{{.ID}}") -> DataFrame:
     """(line_no, line) of a tree."""
     mark = F.when(F.col("is_std"), " ~").when(F.col("ref").isNotNull(), F.concat(F.lit(" @"), F.col("ref").cast("string"))).otherwise("")

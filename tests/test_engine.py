@@ -12,8 +12,8 @@ from deploom.operators.stats import Graph
 from deploom.plans.expr import ExprError
 from deploom.sources.catalog import Catalog, Context
 
-EDGES = "client>rpc client>service server>database server>service migration>database migrate>migration rpc>rpcconn service>database service>rpc"
-MAIN = ("client", "server", "migrate")
+EDGES = "shop>cart shop>login shop>price desk>login desk>bill desk>ledger cron>bill bill>ledger cart>ledger cart>price ledger>disk login>keys keys>disk price>disk"
+MAIN = ("shop", "desk", "cron")
 
 
 def catalog(spark, edges, extra=(), mains=()):
@@ -36,40 +36,48 @@ def ids(s):
 def test_selectors(engine):
     assert ids(engine.calc("...:source")) == sorted(MAIN)
     assert ids(engine.calc("...:main")) == sorted(MAIN)
-    assert ids(engine.calc("incoming(..., database)")) == ["database", "migration", "server", "service"]
-    assert ids(engine.calc("reach(..., database)")) == ["client", "database", "migrate", "migration", "server", "service"]
-    assert ids(engine.calc("service:import")) == ["database", "rpc"]
-    assert ids(engine.calc("service:import:all")) == ["database", "rpc", "rpcconn"]
-    assert ids(engine.calc("xor(client rpc, rpc server)")) == ["client", "server"]
-    with pytest.raises(ExprError):
-        engine.calc("nothing(a)")
-    with pytest.raises(ExprError):
-        engine.calc("a:unknown")
-    with pytest.raises(ExprError):
-        engine.calc("q := rpc; q := server")
+    assert ids(engine.calc("incoming(..., ledger)")) == ["bill", "cart", "desk", "ledger"]
+    assert ids(engine.calc("reach(..., ledger)")) == ["bill", "cart", "cron", "desk", "ledger", "shop"]
+    assert ids(engine.calc("cart:import")) == ["ledger", "price"]
+    assert ids(engine.calc("cart:import:all")) == ["disk", "ledger", "price"]
+    assert ids(engine.calc("xor(shop cart, cart desk)")) == ["desk", "shop"]
+    for wrong in ("nothing(a)", "a:unknown", "q := cart; q := desk"):
+        with pytest.raises(ExprError):
+            engine.calc(wrong)
+    with pytest.raises(ExprError, match=r"^\[.*nothing.* .*unknown.*\]$"):
+        engine.calc("nothing(a) + b:unknown + cart")
+
+
+def test_default_is_the_working_folder(spark):
+    pairs = ["m>m/x", "m/x>m/x/y"]
+    c = catalog(spark, pairs)
+    assert ids(Engine(c).calc()) == ["m"]
+    inner = Catalog(c.packages, c.edges, root="m/x")
+    assert ids(Engine(inner).calc()) == ["m/x"] and ids(Engine(inner).calc("./...")) == ["m/x", "m/x/y"] and ids(Engine(inner).calc("./y")) == ["m/x/y"]
 
 
 def test_sums_and_cut(engine):
     g = Graph(engine.calc("..."))
     down = {r["id"]: r["package_count"] for r in g.down().collect()}
-    assert down == {"client": 4, "server": 4, "service": 3, "migrate": 2, "rpc": 1, "migration": 1, "rpcconn": 0, "database": 0}
+    assert down == {"shop": 6, "desk": 5, "cron": 3, "cart": 3, "bill": 2, "login": 2, "ledger": 1, "price": 1, "keys": 1, "disk": 0}
     up = {r["id"]: r["package_count"] for r in g.up().collect()}
-    assert up == {"database": 5, "rpcconn": 4, "rpc": 3, "service": 2, "migration": 1, "client": 0, "server": 0, "migrate": 0}
+    assert up == {"disk": 9, "ledger": 5, "keys": 3, "price": 2, "login": 2, "bill": 2, "cart": 1, "shop": 0, "desk": 0, "cron": 0}
     cut = [(r["id"], r["in_degree"], r["cut_package_count"]) for r in engine.cut("...").collect()]
-    assert cut == [("migrate", 0, 2), ("client", 0, 1), ("server", 0, 1), ("migration", 1, 1), ("rpcconn", 1, 1), ("rpc", 2, 2), ("service", 2, 1), ("database", 3, 1)]
+    assert cut == [("shop", 0, 3), ("cron", 0, 1), ("desk", 0, 1), ("cart", 1, 1), ("keys", 1, 1), ("login", 2, 2), ("bill", 2, 1), ("price", 2, 1), ("disk", 3, 1), ("ledger", 3, 1)]
 
 
 def test_reduction(engine):
     kept = {(r["src"], r["dst"]) for r in Graph(engine.calc("transitive(...)")).edges().collect()}
     whole = {tuple(e.split(">")) for e in EDGES.split()}
-    assert whole - kept == {("client", "rpc"), ("server", "database")}
+    assert whole - kept == {("shop", "price"), ("desk", "ledger")}
 
 
 def test_tree(engine):
     rows = [(r["line"], r["depth"], r["id"], r["ref"]) for r in engine.tree("...").orderBy("line").collect()]
     assert rows == [
-        (1, 0, "client", None), (2, 1, "rpc", None), (3, 2, "rpcconn", None), (4, 1, "service", None), (5, 2, "database", None), (6, 2, "rpc", 2),
-        (7, 0, "migrate", None), (8, 1, "migration", None), (9, 2, "database", 5), (10, 0, "server", None), (11, 1, "database", 5), (12, 1, "service", 4),
+        (1, 0, "cron", None), (2, 1, "bill", None), (3, 2, "ledger", None), (4, 3, "disk", None),
+        (5, 0, "desk", None), (6, 1, "bill", 2), (7, 1, "ledger", 3), (8, 1, "login", None), (9, 2, "keys", None), (10, 3, "disk", 4),
+        (11, 0, "shop", None), (12, 1, "cart", None), (13, 2, "ledger", 3), (14, 2, "price", None), (15, 3, "disk", 4), (16, 1, "login", 8), (17, 1, "price", 14),
     ]
 
 
@@ -126,17 +134,49 @@ def test_random_graphs(spark, seed):
 
 
 def test_empty_sets(spark, engine):
-    assert ids(engine.calc("none:all")) == [] and ids(engine.calc("reach(none, rpc)")) == []
+    assert ids(engine.calc("none:all")) == [] and ids(engine.calc("reach(none, cart)")) == []
     assert Graph(engine.calc("none")).totals().first()["package_count"] == 0
     assert engine.graph("none", type="edges").count() == 0
 
 
 def test_writers(engine):
-    dot = [r["line"] for r in engine.graph("rpc rpcconn", type="DOT", template="{{.ID}}", colors={"red": "rpc"}).orderBy("line_no").collect()]
-    assert dot[0] == "digraph G {" and dot[-1] == "}" and '    "rpc" [label="rpc" href="https://pkg.go.dev/rpc" color="red"];' in dot
-    assert [r["line"] for r in engine.graph("rpc rpcconn", type="tgf").orderBy("line_no").collect()] == ["1 rpc", "2 rpcconn", "#", "1 2"]
-    assert [r["line"] for r in engine.graph("rpc rpcconn", type="digraph").orderBy("line_no").collect()] == ["rpc rpcconn", "rpcconn"]
-    xml = "\n".join(r["line"] for r in engine.graph("rpc rpcconn", type="graphml").orderBy("line_no").collect())
+    dot = [r["line"] for r in engine.graph("cart price", type="DOT", template="{{.ID}}", colors={"red": "cart"}).orderBy("line_no").collect()]
+    assert dot[0] == "digraph G {" and dot[-1] == "}" and '    "cart" [label="cart" href="https://pkg.go.dev/cart" color="red"];' in dot
+    assert [r["line"] for r in engine.graph("cart price", type="tgf").orderBy("line_no").collect()] == ["1 cart", "2 price", "#", "1 2"]
+    assert [r["line"] for r in engine.graph("cart price", type="digraph").orderBy("line_no").collect()] == ["cart price", "price"]
+    xml = "\n".join(r["line"] for r in engine.graph("cart price", type="graphml").orderBy("line_no").collect())
     from xml.dom.minidom import parseString
 
     assert len(parseString(xml).getElementsByTagName("node")) == 2
+
+
+def printed(df):
+    return [r["line"] for r in df.orderBy("line_no").collect()]
+
+
+def test_printed_tables(engine):
+    assert printed(engine.list_text("cart login shop", fmt="{{.ID}}\t{{.Down.PackageCount}}\t{{.Stat.Go.Lines}}")) == ["ID      Down.PackageCount   Stat.Go.Lines", "cart    0" + " " * 19 + "10", "login   0" + " " * 19 + "10", "shop    2" + " " * 19 + "10"]
+    assert printed(engine.list_text("cart", header="-", align=False, fmt="{{.ID}}\t{{.InDegree}}")) == ["cart\t0"]
+    assert printed(engine.cut_text("...", fmt="{{.ID}}\t{{.Cut.PackageCount}}", header="who\tn"))[:3] == ["who      n", "shop     3", "cron     1"]
+
+
+def test_records(engine):
+    import json
+
+    got = {r["id"]: json.loads(r["json"]) for r in engine.json("cart price ledger").collect()}
+    assert got["cart"]["Package"] == {"ID": "cart", "Name": "p", "Imports": {"ledger": "ledger", "price": "price"}} and got["cart"]["ImportsNodes"] == ["ledger", "price"]
+    assert (got["cart"]["Down"]["PackageCount"], got["ledger"]["Up"]["Go"]["Lines"], got["price"]["Stat"]["Go"]["Lines"]) == (2, 10, 10)
+    assert "ImportsNodes" not in got["price"] and got["price"]["Package"]["Imports"] == {"disk": "disk"} and "Errors" not in got["cart"]
+
+
+def test_modules(spark):
+    rows = [("a.test/x", "a.test/x", "v1.2.3", False, None, None), ("a.test/x/s", "a.test/x", "v1.2.3", False, None, None), ("b.test/y/v2/s", "b.test/y/v2", "v2.0.1", False, "c.test/z", "v0.1.0"), ("d.test/w/v3", "d.test/w/v3", "v2.0.0", False, None, None), ("e.test/u/v3", "e.test/u/v3", None, True, None, None), ("gopkg.in/q.v2", "gopkg.in/q.v2", "v2.4.0", False, None, None), ("f.test/m/v2", "f.test/m/v2", "v2.1.0", False, None, None), ("f.test/m/s", "f.test/m", "v1.1.0", False, None, None)]
+    packages = spark.createDataFrame([("base", i, "p", m, v, loc, rp, rv, False, 1) for i, m, v, loc, rp, rv in rows], "variant string, id string, name string, module_path string, module_version string, is_local boolean, replace_path string, replace_version string, is_std boolean, package_count bigint")
+    imports = spark.createDataFrame([], "variant string, src_id string, import_path string, dst_id string")
+    got = {r["id"]: (r["repo_root"], r["single_module"], r["module_label"]) for r in Engine(Catalog.of(packages, imports)).graph_of("...").module_tree().collect()}
+    assert got["a.test/x/s"] == ("a.test/x", True, "a.test/x@v1.2.3")
+    assert got["b.test/y/v2/s"] == ("b.test/y", True, "b.test/y/v2@v2.0.1 =>\\nc.test/z@v0.1.0")
+    assert got["d.test/w/v3"] == ("d.test/w", False, "d.test/w/v3@v2.0.0")
+    assert got["e.test/u/v3"] == ("e.test/u", True, "e.test/u/v3 (local)")
+    assert got["gopkg.in/q.v2"] == ("gopkg.in/q", True, "gopkg.in/q.v2@v2.4.0")
+    assert got["f.test/m/s"][:2] == ("f.test/m", False) == got["f.test/m/v2"][:2]

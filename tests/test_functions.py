@@ -1,4 +1,6 @@
+import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,9 @@ from deploom.functions import scalars as S
 from deploom.functions.symbols import is_linker_data, package_of_symbol, package_of_type
 from deploom.functions.template import compile_template
 from deploom.operators import deadcode, execlog, weight
-from deploom.writers.tables import aligned, header_of
+from deploom.sources.catalog import read_lines
+from deploom.writers import reports
+from deploom.writers.tables import header_of
 
 
 def one(spark, column):
@@ -41,27 +45,63 @@ def test_line_stats(spark, text, want):
     assert (s["files"], s["binary"], s["size"], s["lines"], s["blank"]) == want
 
 
+#: One or more lines per rule: line, size, code, name with path, info, path, name.
 SYMBOLS = [
-    ("                  0 U <autogenerated>", 0, "U", "<autogenerated>", "", [], "<autogenerated>"),
-    ("   67565         85 ? go:constinfo.acme.io/picobuf", 85, "?", "go:constinfo.acme.io/picobuf", "", ["go:constinfo.acme.io", "picobuf"], ""),
-    ("115d4a0        256 D time.utcLoc", 256, "D", "time.utcLoc", "", ["time"], "utcLoc"),
-    ("1091ca0        192 T type:.eq.[2]interface {}", 192, "T", "type:.eq.[2]interface", "{}", ["type:"], "eq.[2]interface"),
-    ("1001fa0        256 T type:.eq.[6]internal/cpu.option", 256, "T", "type:.eq.[6]internal/cpu.option", "", ["type:.eq.[6]internal", "cpu"], "option"),
-    ("    5b07         79 ? .file", 79, "?", ".file", "", [], ".file"),
-    ("1 4294967296 T a/b.(*C).d(x/y.z)", 0, "T", "a/b.(*C).d(x/y.z)", "", ["a", "b"], "(*C).d(x/y.z)"),
+    ("40a0 12 t acme.test/till/coin.count", 12, "t", "acme.test/till/coin.count", "", ["acme.test", "till", "coin"], "count"),
+    ("  7 d till.open", 7, "d", "till.open", "", ["till"], "open"),  # no address, no slash
+    ("ff 30 R sum.table extra words here", 30, "R", "sum.table", "extra words here", ["sum"], "table"),
+    ("1 2 T go:blob.acme.test/coin", 2, "T", "go:blob.acme.test/coin", "", ["go:blob.acme.test"], "coin"),  # slash, no dot behind it
+    ("1 2 T p/q/r", 2, "T", "p/q/r", "", ["p", "q"], "r"),
+    ("1 2 T p.q/r(s/t.u)", 2, "T", "p.q/r(s/t.u)", "", ["p.q"], "r(s/t.u)"),  # nothing behind a parenthesis counts
+    ("1 2 T p/q.(*R).s(t/u.v)", 2, "T", "p/q.(*R).s(t/u.v)", "", ["p", "q"], "(*R).s(t/u.v)"),
+    ("1 2 T p/.q", 2, "T", "p/.q", "", ["p", ""], "q"),
+    ("1 2 _ .hidden", 2, "_", ".hidden", "", [], ".hidden"),  # a dot in front parts nothing
+    ("1 2 ? /root", 2, "?", "/root", "", [], "/root"),
+    ("1 2 T /root.x", 2, "T", "/root.x", "", ["", "root"], "x"),
+    ("1 2 T plain", 2, "T", "plain", "", [], "plain"),
+    ("1 2 T żółw/ß.é", 2, "T", "żółw/ß.é", "", ["żółw", "ß"], "é"),
+    ("FFFFFFFFFFFFFFFF 4294967296 U ext.sym", 0, "U", "ext.sym", "", ["ext"], "sym"),  # this size stands for none
+    ("1 -3 D neg.size", -3, "D", "neg.size", "", ["neg"], "size"),
 ]
 
 
+def by_definition(name):
+    """Path and name, character by character."""
+    end = name.index("(") if "(" in name else len(name)
+    slash = max(name.rfind("/", 0, end), 0)
+    cut = slash + max(name[slash:end].find("."), 0)
+    return (name[:cut].split("/"), name[cut + 1 :]) if cut else ([], name)
+
+
 def test_symbols(spark):
-    rows = [("b", i, s[0]) for i, s in enumerate(SYMBOLS)] + [("b", 90, "                  0 U"), ("b", 91, "1 8 D go.itab.x/y.z"), ("b", 92, "junk")]
-    got = {r["line_no"]: r for r in weight.parse_symbols(spark.createDataFrame(rows, "binary string, line_no bigint, line string")).collect()}
-    assert not {90, 91, 92} & set(got)
+    rnd = random.Random(7)
+    odd = ["".join(rnd.choice("ab/.(") for _ in range(rnd.randint(1, 9))) for _ in range(400)]
+    rows = [("b", i, s[0]) for i, s in enumerate(SYMBOLS)] + [("b", 1000 + i, f"1 2 T {x}") for i, x in enumerate(odd)]
+    bad = {900: "                  0 U", 901: "1 8 D go.itab.x/y.z", 902: "1 8 D type..eq.x/y.z", 903: "junk", 904: "zz 1 T a.b", 905: "1 xx T a.b", 906: "1 2 TT a.b", 907: "go.itab.x/y 5 T", 908: "1 8 D go.itab.x/y"}
+    lines = spark.createDataFrame(rows + [("b", n, x) for n, x in bad.items()], "binary string, line_no bigint, line string")
+    got = {r["line_no"]: r for r in weight.parse_symbols(lines).collect()}
+    assert set(bad) & set(got) == set()
     for i, (_, size, code, name, info, path, last) in enumerate(SYMBOLS):
         r = got[i]
-        assert (r["size"], r["code"], r["qualified_name"], r["info"]) == (size, code, name, info)
-        if i != 1:  # a name without a dot behind its last slash has no path
-            assert (r["path"], r["name"]) == (path, last)
-    assert got[1]["path"] == [] and got[1]["name"] == "go:constinfo.acme.io/picobuf"
+        assert (r["size"], r["code"], r["qualified_name"], r["info"], r["path"], r["name"]) == (size, code, name, info, path, last)
+        assert by_definition(name) == (path, last)
+    for i, x in enumerate(odd):
+        assert (got[1000 + i]["path"], got[1000 + i]["name"]) == by_definition(x), x
+    assert got[13]["addr"] == 2**64 - 1
+    errors = {r["line_no"]: r["error"] for r in weight.malformed(lines).collect()}
+    assert errors == {903: "invalid symbol text", 904: "invalid address", 905: "invalid size", 906: "no symbol type", 907: "invalid address"}
+
+
+def test_lines_are_numbered_in_their_file(spark, tmp_path):
+    for n in (1, 700, 40_000):
+        (tmp_path / f"f{n}.txt").write_text("".join(f"line {k} {'x' * (k % 50)}\n" for k in range(1, n + 1)))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        rows = read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert len(rows) == 40_701 and all(r["line"].split()[1] == str(r["line_no"]) for r in rows)
 
 
 def test_rollup_and_diff(spark):
@@ -74,6 +114,44 @@ def test_rollup_and_diff(spark):
     assert [(r["qualified_name"], r["size_0"], r["size_1"], r["total_delta"], r["cumulative"]) for r in d] == [("a/b.f", 3000, 9000, 6000, 6000), ("a.g", 500, None, -500, 5500)]
 
 
+def lines_of(df):
+    return [r["line"] for r in df.orderBy("line_no").collect()]
+
+
+def test_printed_sizes(spark):
+    rows = [("v1", 1, "1 2000 T a/b.f"), ("v1", 2, "1 3000 T a/b.g"), ("v1", 3, "1 500 T a.h"), ("v2", 1, "1 9000 T a/b.f"), ("v2", 2, "1 7 D a.z")]
+    s = weight.parse_symbols(spark.createDataFrame(rows, "binary string, line_no bigint, line string"))
+    one = s.where("binary = 'v1'")
+    assert lines_of(reports.weight_lines(one)) == ["      5000       5000 /a/b [syms 2]", " " * 17 + "3000 T g", " " * 17 + "2000 T f", "      5500        500 /a [syms 1]", "      5500          0  [syms 0]"]
+    assert lines_of(reports.weight_lines(one, sort="name", minimum=0, humanized=True))[0] == "     5.4KB         0B  [syms 0]"
+    assert lines_of(reports.weight_diff_lines(s, ["v1", "v2"], ["old", "new"], cumulative=True)) == [
+        "name     " + "    old    " + "    new    " + "  delta     " + "cum. ∆",
+        "a/b.f    " + "   2000    " + "   9000    " + "   +7000    " + "   +7000",
+        "a/b.g    " + "   3000    " + "      -    " + "   -3000    " + "   +4000",
+        "a.h      " + "    500    " + "      -    " + "    -500    " + "   +3500",
+        "a.z      " + "      -    " + "      7    " + "      +7    " + "   +3507",
+    ]
+    assert "\x1b[7m+7000\x1b[0m" in lines_of(reports.weight_diff_lines(s, ["v1", "v2"], color=True))[1]
+    wide = lines_of(reports.weight_diff_lines(s, ["v1", "v2", "v3"]))
+    assert "total ∆" in wide[0] and wide[1].split() == ["a/b.g", "3000", "-", "-3000", "-", "~", "-3000"]
+
+
+def test_build_steps(spark):
+    from deploom.schema import EXEC_LOG
+
+    usage = lambda n: [n * k for k in range(1, 15)]
+    t = lambda s: datetime.datetime(2020, 1, 1, 0, 0, s)
+    rows = [(["/x/compile", "-o", "o.a", "-p", "a/b", "in.go"], t(0), t(3), 1_500_000_000, 0, 0, True, *usage(1024)), (["compile.exe", "-p", "c", "in.go", "no.go"], t(5), t(6), 10, 20, 2, True, *usage(2)), (["link"], t(0), t(1), 0, 0, 0, False, *[None] * 14)]
+    log = spark.createDataFrame(rows, EXEC_LOG)
+    files = spark.createDataFrame([("in.go", 2048), ("o.a", 100)], "path string, size bigint")
+    got = [r["line"] for r in reports.exec_lines(log, "{{.Command}} {{.PackageName}} {{.UserTime}} {{.OutputSize}} {{.InputsSize}} {{.MaximumResidentSetSize}} {{.Swaps}} {{len .Inputs}} {{.ExitStatus}}", files).orderBy("line").collect()]
+    assert got == ["compile a/b 1.5s 100B 2.0KB 1.0KB 7168 1 0", "compile c 1.0E-8s 0B 2.0KB 2B 14 2 2", "link  0.0s 0B 0B 0B 0 0 0"]
+    by = {r["command"]: r for r in execlog.by_command(log).collect()}
+    c = by["compile"]
+    assert (c["steps"], c["failed"], c["wall_ns"], c["longest_ns"], c["inputs"], c["with_usage"], c["maxrss"], c["nswap"]) == (2, 1, 4 * 10**9, 3 * 10**9, 3, 2, 1024, 7 * 1026)
+    assert by["link"]["with_usage"] == 0 and by["link"]["maxrss"] is None
+
+
 DUMP = [
     "main.main -> reflect.test/dirty.CallByName",
     "reflect.test/dirty.CallByName <ReflectMethod> -> reflect.Value.Call",
@@ -105,7 +183,8 @@ def test_templates(spark):
     for text, want in [("{{.ID}}-{{.N}}", "a/b-1500"), ('{{rel "a" .ID}}', "./b"), ("{{div .N 1000 | round | int}}", "2"), ('{{printf "%05.1f|%s" (div .N 1000) .ID}}', "001.5|a/b"), ("{{if .Zero}}y{{else}}n{{end}}", "n"), ("{{range .Files}}<{{.}}>{{end}}", "<x><y>"), ("{{with .ID}}[{{.}}]{{end}}", "[a/b]"), ("{{len .Files}}", "2")]:
         assert one(spark, compile_template(text, field)) == want, text
     assert header_of("{{.ID}}\t{{ .Stat.Go.Lines }}") == "ID\tStat.Go.Lines"
-    assert aligned(["a\tb", "ccc\td"]) == ["a     b", "ccc   d"]
+    rows = spark.createDataFrame([(1, "a\tb"), (2, "ccc\td")], "n int, line string")
+    assert lines_of(reports.aligned(rows, None, ["n"])) == ["a     b", "ccc   d"]
 
 
 def test_colors(spark):
