@@ -325,12 +325,15 @@ def _without_copies(docs: list[list[str]]) -> list[int]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Labelled rows with crc32(doc_id) mod 3 other than 1, at most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN``, by smallest hash."""
+    """Labelled documents with crc32(doc_id) mod 3 other than 1, at most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN``, by smallest hash.
+
+    Of several rows of one doc_id the smallest text is taken, of several labels the larger.
+    """
     own = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = own.where("toxic = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(own.where("toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).join(F.broadcast(chosen), "doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
@@ -439,7 +442,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, whose text scores below ``THRESHOLD``; no shuffle."""
+    """The rows of ``docs``, whole, whose text scores below ``THRESHOLD``; no shuffle.
+
+    Null texts score as empty ones and stay null; rows without a doc_id and repeated rows are judged like
+    any other; an empty table gives no rows; other columns pass as they are, whatever their names.
+    """
     import pickle
 
     from .common import ship
