@@ -254,7 +254,8 @@ def find_covers(shards: DataFrame) -> DataFrame:
         twice, hot = ([p[n >= least].tobytes() for p, n in zip(own, total)] for least in (2, HOT))
         return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "twice": pa.array(twice, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
-    known = dealt.groupBy("bucket").applyInArrow(repeated, "shard long, bucket int, twice binary, hot binary")
+    # a partition per bucket, however many the session has by default: no task grows with the input
+    known = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeated, "shard long, bucket int, twice binary, hot binary")
     # what a shard gets back is no more than the keys of its own 1 MB
     known = known.groupBy("shard").agg(F.collect_list(F.struct("bucket", "twice", "hot")).alias("known"))
     joined = shards.select("shard", "doc_ids", "lengths", "data").join(known, "shard")
@@ -275,8 +276,8 @@ def find_covers(shards: DataFrame) -> DataFrame:
         return _sent(rows)
 
     # both kinds of rows are read from the written table: intervals, and windows that are dealt on
-    once = written(joined.mapInArrow(candidates, SENT).groupBy("bucket", "part").applyInArrow(merge, SENT), "merged", compression="none")
-    again = once.where("bucket is not null").groupBy("bucket").applyInArrow(merge, SENT)
+    once = written(joined.mapInArrow(candidates, SENT).repartition(buckets, "bucket", "part").groupBy("bucket", "part").applyInArrow(merge, SENT), "merged", compression="none")
+    again = once.where("bucket is not null").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, SENT)
     return once.where("bucket is null").select("shard", "covers").unionByName(again.select("shard", "covers"))
 
 
