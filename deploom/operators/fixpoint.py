@@ -2,7 +2,8 @@
 
 A round joins only the rows found in the round before with the edges.  Each round's rows are a
 written table, so neither lineage nor the plan grows with the depth, and lost executors cost a
-round at most.
+round at most.  Where only reachability counts, edges are first joined with themselves, as long as
+that does not multiply them, so that a round takes several steps at once.
 """
 
 from __future__ import annotations
@@ -10,10 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialise
+from ..plans.lineage import counted, materialise
 
 #: Rounds after which the visited rows are written as one table again.
 COMPACT = 16
+#: How often edges are joined with themselves, and how many times their number is allowed.
+DOUBLINGS, GROWTH = 2, 5
+
+
+def shortcuts(edges: DataFrame, src: str, dst: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of up to 2 ** DOUBLINGS steps (``within`` equal values of further columns); fewer where they would be more than GROWTH times as many."""
+    key = [*within, src, dst]
+    out, first = counted(edges.select(*key).distinct(), "edges")
+    for _ in range(DOUBLINGS):
+        left = out.select(*within, src, F.col(dst).alias("__via"))
+        right = out.select(*within, F.col(src).alias("__via"), dst)
+        longer, n = counted(out.unionByName(left.join(right, [*within, "__via"]).select(*key)).distinct(), "shortcuts")
+        if n > GROWTH * first:
+            break
+        out = longer
+    return out
 
 
 def frontier_loop(seed: DataFrame, step, key: list[str], name: str = "frontier") -> DataFrame:
@@ -25,8 +42,8 @@ def frontier_loop(seed: DataFrame, step, key: list[str], name: str = "frontier")
     seed = materialise(seed, name)
     visited, frontier, rounds = seed, seed, 0
     while True:
-        frontier = materialise(step(frontier).join(visited.select(*key), key, "left_anti").select(*seed.columns), name)
-        if frontier.isEmpty():
+        frontier, found = counted(step(frontier).join(visited.select(*key), key, "left_anti").select(*seed.columns), name)
+        if not found:
             return visited
         visited = visited.unionByName(frontier)
         rounds += 1
@@ -56,6 +73,9 @@ def ancestors(targets: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pair_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, id, variant): everything each root (id, variant) reaches; a root itself only through a cycle."""
+    if edges.where("variant <> dst_variant").isEmpty():  # no path leaves its variant
+        own = edges.join(roots.select("variant").distinct(), "variant", "left_semi")
+        edges = shortcuts(own, "src_id", "dst_id", ("variant",)).withColumn("dst_variant", F.col("variant"))
     first = roots.join(edges, (roots["id"] == edges["src_id"]) & (roots["variant"] == edges["variant"])).groupBy(F.col("src_id").alias("root"), F.col("dst_id").alias("id")).agg(F.min("dst_variant").alias("variant"))
 
     def step(frontier):
@@ -67,6 +87,7 @@ def pair_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reverse_reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Plain reverse reachability: seeds (node), edges (target, source)."""
+    edges = shortcuts(edges, "target", "source")
 
     def step(frontier):
         return frontier.join(edges, frontier["node"] == edges["target"]).select(F.col("source").alias("node")).distinct()
@@ -88,8 +109,8 @@ def cut_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lost = more if lost is None else lost.unionByName(more).groupBy("start", "id").agg(F.sum("lost").alias("lost"))
         lost = materialise(lost, "lost")
         ripe = lost.join(degree, lost["id"] == degree["dst"]).where("lost = degree").select("start", "id")
-        frontier = materialise(ripe.join(removed, ["start", "id"], "left_anti"), "cut")
-        if frontier.isEmpty():
+        frontier, found = counted(ripe.join(removed, ["start", "id"], "left_anti"), "cut")
+        if not found:
             return removed
         removed = removed.unionByName(frontier)
 
@@ -105,8 +126,8 @@ def smallest_paths(roots: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         tried = changed.join(edges, changed["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("new"))
         better = tried.join(best, "id", "left").where(F.col("path").isNull() | (F.col("new") < F.col("path"))).select("id", F.col("new").alias("path"))
-        changed = materialise(better, "paths")
-        if changed.isEmpty():
+        changed, found = counted(better, "paths")
+        if not found:
             return best
         best = materialise(best.join(changed.select("id"), "id", "left_anti").unionByName(changed), "paths")
         rounds += 1

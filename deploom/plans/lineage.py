@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
@@ -23,6 +24,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """``materialise``, and how many rows were written, counted on the way."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    rows = seen.get.get("rows")
+    return out, out.count() if rows is None else rows
+
+
 def _remove(spark, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
