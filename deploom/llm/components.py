@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours at its smallest one, then its smaller neighbours
     too; it ends when the edges are stars.  Every round is a written table, so lineage stays short.
-    Minima are partial aggregates and the joins may be split by adaptive execution: a hub costs no
-    task more than the rest.
+    Minima are partial aggregates; where a hub's edges make a join partition skewed (five times the
+    median and 256 MB by default), adaptive execution splits it, smaller ones stay whole.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
