@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -255,12 +256,11 @@ class RankTokenizer:
         for t, i in ranks.items():
             self.table[i] = t
         self.decimal = [str(i).encode() for i in range(len(self.table))]
-        self.chunks = ChunkEncoder(self.encode_chunk, special="")
+        encode = self.fst.encode
+        self.chunks = ChunkEncoder(self.encode_chunk, special="", word=lambda prefix, chunk: array("I", encode((prefix + chunk).encode())).tobytes())
 
     def encode_chunk(self, chunk: str) -> bytes:
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        pieces = [chunk] if word.isalpha() else self.pattern.findall(chunk)
-        return np.array([i for p in pieces for i in self.fst.encode(p.encode())], "<u4").tobytes()
+        return array("I", [i for p in self.pattern.findall(chunk) for i in self.fst.encode(p.encode())]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.chunks(text), "<u4")

@@ -25,7 +25,13 @@ class ChunkTable(dict):
         self.owner, self.prefix = owner, prefix
 
     def __missing__(self, chunk):
-        owner, parts = self.owner, chunk.split("\n")
+        owner = self.owner
+        if chunk.isalpha():
+            value = owner.word(self.prefix, chunk)
+            if len(self) < CACHE_ENTRIES:
+                self[chunk] = value
+            return value
+        parts = chunk.split("\n")
         if len(parts) > 1 and all(p.isprintable() and p and " " not in p for p in parts):
             # single line ends between words are pre-tokens of their own; too varied to remember
             values = [self[parts[0]]]
@@ -47,10 +53,12 @@ class ChunkEncoder:
     ``special``: texts with this string are encoded whole, as special tokens may be hidden there.
     ``letters``: whether a word of letters is still one after the tokenizer's normalisation (a capital
     may become a letter and a mark, which then belongs to the punctuation behind it).
+    ``word(prefix, letters)``: a shorter way for chunks of letters alone.
     """
 
-    def __init__(self, encode, sep: bytes = b"", special: str = "<|", letters=lambda word: True):
+    def __init__(self, encode, sep: bytes = b"", special: str = "<|", letters=lambda word: True, word=None):
         self.whole, self.sep, self.special, self.letters = encode, sep, special, letters
+        self.word = word or (lambda prefix, chunk: encode(prefix + chunk))
         self.head, self.rest = ChunkTable(self, ""), ChunkTable(self, " ")
         self.newline = encode("\n")
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
-
-import numpy as np
+from array import array
 
 from .chunks import ChunkEncoder
 from .common import one_table_at_a_time
@@ -41,28 +40,25 @@ def _encoder(path: str) -> ChunkEncoder:
     lower = normalizer is not None  # the word-level file drops white space and lowers case
 
     def encode(chunk: str) -> bytes:
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        if word.isalpha():
-            if lower and word.isascii():
-                body = word.lower()
-                if body != word:  # capitals share the small letters' entry
-                    return encoder.head[body]
-            elif lower:
-                body = normalizer.normalize_str(word)
-                if not body.isalpha():
-                    return _ids(tok.encode(chunk, add_special_tokens=False).ids)
-            else:
-                body = chunk
-            mapped = body.replace(" ", space) if body.isascii() else body.encode().decode("latin1").translate(stand_in)
-            return _ids([t.id for t in model.tokenize(mapped)])
-        return _ids(tok.encode(chunk, add_special_tokens=False).ids)
+        return array("I", tok.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def word(prefix: str, chunk: str) -> bytes:
+        if lower and chunk.isascii():
+            body = chunk.lower()
+            if body != chunk:  # capitals share the small letters' entry
+                return encoder.head[body]
+        elif lower:
+            body = normalizer.normalize_str(chunk)
+            if not body.isalpha():
+                return encode(prefix + chunk)
+        else:
+            body = prefix + chunk
+        mapped = body.replace(" ", space) if body.isascii() else body.encode().decode("latin1").translate(stand_in)
+        return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
 
     def letters(word: str) -> bool:
         return not lower or word.isascii() or normalizer.normalize_str(word).isalpha()
 
-    encoder = ChunkEncoder(encode, letters=letters)
+    encoder = ChunkEncoder(encode, letters=letters, word=word)
     return encoder
 
-
-def _ids(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
