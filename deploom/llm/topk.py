@@ -17,10 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, written
+from .common import map_batches, ship, shuffle_partitions, written
 from .vectors import dimensions, finite, pack, unpack
 
 BUCKET, RUN, QUERIES = 4096, 32_768, 4096
+#: Fewer queries make a block where there would be less blocks than partitions, but not fewer than this.
+LEAST_QUERIES = 256
 #: Runs at most; longer ones are cut into tiles of ``RUN`` rows that share a length range.
 MAX_RUNS = 1024
 #: Local cosine threshold from which coordinates prune, and the share of coordinates looked at first.
@@ -129,7 +131,9 @@ def _one_dimension(valid: DataFrame, dim: int, is_query, k: int) -> DataFrame:
     rows = rows.join(F.broadcast(of_run), "run").select("row", "vec_id", "length", "v", "place", (F.col("begin") + F.pmod(F.xxhash64("row"), F.col("tiles"))).cast("int").alias("tile"))
     queries = rows.where(is_query(F.col("vec_id"))).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.sqrt("length").alias("norm"), F.col("v").alias("q"))
     # the tile of the longest vectors gives each query a bound
-    blocks = max(1, -(-queries.count() // QUERIES))
+    asking = queries.count()
+    size = min(QUERIES, max(LEAST_QUERIES, -(-asking // shuffle_partitions(spark))))
+    blocks = max(1, -(-asking // size))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("tile", F.lit(0)).withColumn("bound", F.lit(float("-inf")))
     offered = rows.where("tile = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     seed = written(_tiles(offered, asked, dim, k), "seed")
@@ -147,7 +151,7 @@ def _one_dimension(valid: DataFrame, dim: int, is_query, k: int) -> DataFrame:
 
     asked = written(map_batches(asked.select("query", "query_id", "norm", "q", "bound"), reach, "query long, query_id long, norm double, q binary, bound double, reach int, last int"), "bounds")
     # queries of one reach form blocks; blocks are numbered by rising reach
-    counts = sorted((r["reach"], -(-r["count"] // QUERIES)) for r in asked.groupBy("reach").count().collect())
+    counts = sorted((r["reach"], -(-r["count"] // size)) for r in asked.groupBy("reach").count().collect())
     if not counts:
         return _ranked(seed, k)
     starts = np.concatenate(([0], np.cumsum([n for _, n in counts]))).astype(int)

@@ -98,6 +98,7 @@ def test_top_products(spark, monkeypatch):
         monkeypatch.setattr(topk, "RUN", run)
         monkeypatch.setattr(topk, "BUCKET", bucket)
         monkeypatch.setattr(topk, "QUERIES", queries)
+        monkeypatch.setattr(topk, "LEAST_QUERIES", queries)
         assert sorted(map(tuple, topk.top_products(df, lambda v: v % 20 == 0, k=7).collect())) == want
     assert topk.top_products(df.limit(0), lambda v: v % 20 == 0).count() == 0
 
