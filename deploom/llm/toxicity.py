@@ -39,7 +39,7 @@ HARD = -3.0
 #: Tokens that are scored together.
 GROUP_TOKENS = 1 << 17
 #: Word projections kept per worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _EDGES = ".,;:!?\"'()[]{}|*%&#$<>=/\\-_+@"
 
@@ -362,8 +362,9 @@ class Scorer:
         at = {w: k for k, w in enumerate(names)}
         values = np.concatenate([self.model.projections(names[k : k + 4096]) for k in range(0, len(names), 4096)])
         first = len(self.row)
-        while len(self.table) < first + len(missing):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        if len(self.table) < first + len(missing):
+            more = max(1 << 15, first + len(missing) - len(self.table))
+            self.table = np.concatenate((self.table, np.zeros((more, 6 * HIDDEN), np.float32)))
         self.table[first : first + len(missing)] = values[[at[w] for w in normals]]
         self.row.update(zip(missing, range(first, first + len(missing))))
 
