@@ -34,15 +34,31 @@ def count_declarations(source: str) -> dict[str, int]:
     return out
 
 
+def parses(source: str) -> bool:
+    """Whether a file may parse: it begins with its package clause and its brackets match."""
+    first, held = None, []
+    for m in _TOKEN.finditer(source):
+        t = m.group()
+        if t.startswith(("//", "/*")) or t == "\n":
+            continue
+        first = first or t
+        if t in "([{":
+            held.append(t)
+        elif t in _CLOSERS and (not held or "([{".index(held.pop()) != ")]}".index(t)):
+            return False
+    return first == "package" and not held
+
+
 def declarations(files: DataFrame, text: str = "text", key: str = "path") -> DataFrame:
-    """key, func, type, const, var, other per file; null texts count nothing."""
+    """key, func, type, const, var, other, parsed per file; null texts count nothing."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             got = [count_declarations(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[c] for g in got], pa.int64()) for c in COLUMNS]], names=[key, *COLUMNS])
+            parsed = pa.array([parses(t or "") for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[c] for g in got], pa.int64()) for c in COLUMNS], parsed], names=[key, *COLUMNS, "parsed"])
 
     kind = files.schema[key].dataType.simpleString()
-    return files.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{c}` bigint" for c in COLUMNS))
+    return files.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{c}` bigint" for c in COLUMNS) + ", parsed boolean")

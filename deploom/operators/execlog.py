@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import materialise
 from ..schema import RUSAGE
 
 #: Flags whose next argument is not an input, and extensions of inputs.
@@ -41,7 +42,7 @@ def records(log: DataFrame) -> DataFrame:
 
 def with_sizes(log: DataFrame, files: DataFrame) -> DataFrame:
     """Input and output sizes from a table (path, size); files that are not there count 0."""
-    r = records(log).withColumn("step", F.monotonically_increasing_id())
+    r = materialise(records(log).withColumn("step", F.monotonically_increasing_id()), "steps")
     inputs = r.select("step", F.explode("inputs").alias("path")).join(files, "path", "left").groupBy("step").agg(F.sum(F.coalesce("size", F.lit(0))).alias("input_size"))
     r = r.join(inputs, "step", "left").withColumn("input_size", F.coalesce("input_size", F.lit(0)))
     out = files.select(F.col("path").alias("output"), F.col("size").alias("output_size"))

@@ -1,4 +1,5 @@
-from deploom.functions.declarations import count_declarations, declarations
+from deploom.functions.declarations import count_declarations, declarations, parses
+from deploom.sources.package_stats import package_stats
 
 SOURCE = '''package a // func no()
 import (
@@ -26,3 +27,16 @@ def test_counts(spark):
     rows = declarations(spark.createDataFrame([("a", SOURCE), ("b", None)], "path string, text string")).collect()
     got = {r["path"]: {k: r[k] for k in want} for r in rows}
     assert got == {"a": want, "b": dict.fromkeys(want, 0)}
+
+
+def test_packages_from_files(spark):
+    assert parses(SOURCE) and not parses("package a\nfunc f( {}") and not parses("func f() {}") and not parses("package a\nvar x = (]") and not parses("")
+    files = [("a.go", SOURCE.encode()), ("b.go", b"package b\n\nvar x = 1\n"), ("bad.go", b"package b\nfunc f( {\n"), ("x.s", b"one\n\ntwo"), ("empty.h", b""), ("y.bin", b"a\x00b\n")]
+    packages = [("base", "p", ["a.go", "b.go", "gone.go"], ["x.s", "empty.h", "gone.c"]), ("base", "q", ["bad.go"], ["y.bin"]), ("alt", "q", [], None)]
+    got = {(r["variant"], r["id"]): r for r in package_stats(spark.createDataFrame(packages, "variant string, id string, go_files array<string>, other_files array<string>"), spark.createDataFrame(files, "path string, content binary")).collect()}
+    p, q = got["base", "p"], got["base", "q"]
+    assert (p["package_count"], p["go_files"], p["go_size"], p["decl_func"], p["decl_var"], p["decl_type"]) == (1, 2, len(SOURCE) + 21, 3, 3, 1)
+    assert (p["other_files"], p["other_size"], p["other_lines"], p["other_blank"]) == (3, 8, 2, 1)
+    assert p["errors"] == ['failed to open "gone.c"', 'failed to read "gone.go"']
+    assert (q["go_files"], q["go_lines"], q["decl_func"], q["other_binary"], q["other_lines"], q["errors"]) == (1, 2, 0, 1, 0, ['failed to parse "bad.go"'])
+    assert got["alt", "q"]["package_count"] == 1 and got["alt", "q"]["errors"] == []

@@ -99,7 +99,7 @@ def test_variants_and_tests(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_random_graphs(spark, seed):
+def test_random_graphs(spark, monkeypatch, seed):
     rnd = random.Random(seed)
     nodes = [f"n{i:02d}" for i in range(14)]
     pairs = sorted({(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(24)} - {(n, n) for n in nodes})
@@ -122,6 +122,12 @@ def test_random_graphs(spark, seed):
     x = PackageSet(every, c)
     goal = nodes[5]
     assert ids(graph_ops.reach(x, x.with_(every.where(F.col("id") == goal)))) == sorted(n for n in nodes if n == goal or goal in below(n))
+    want = {(n, m) for n in nodes for m in below(n)}
+    for growth in (fixpoint.GROWTH, 0):  # with edges of several steps, and one by one
+        monkeypatch.setattr(fixpoint, "GROWTH", growth)
+        assert {(r["root"], r["id"]) for r in fixpoint.pair_closure(every, c.edges).collect()} == want
+        callers = fixpoint.reverse_reach(spark.createDataFrame([(goal,)], "node string"), c.edges.select(F.col("dst_id").alias("target"), F.col("src_id").alias("source")))
+        assert {r["node"] for r in callers.collect()} == {goal} | {n for n, m in want if m == goal}
     # acyclic part: cut against its definition
     down = [(a, b) for a, b in pairs if a < b]
     c = catalog(spark, [f"{a}>{b}" for a, b in down], nodes)
