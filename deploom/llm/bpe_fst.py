@@ -25,9 +25,9 @@ from .chunks import ChunkEncoder
 from .common import map_batches, one_table_at_a_time, text_or_empty
 
 #: States recorded per worker before the table is emptied.
-STATE_LIMIT = 200_000
+STATE_LIMIT = 400_000
 #: Pairs of tokens known to be compatible or not, per worker, before they are forgotten.
-PAIR_LIMIT = 500_000
+PAIR_LIMIT = 600_000
 
 START = -1
 _BYTE = [bytes((b,)) for b in range(256)]
