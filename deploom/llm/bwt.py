@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _remove, fresh, quoted, shared_dir, ship, shuffle_partitions, written
+from .common import _remove, quoted, shared_dir, ship, shuffle_partitions, written
 
 LENGTH = 100
 #: Bytes of text in a shard, and of compressed text in one partition of the shards' table.
@@ -53,7 +53,8 @@ HOT = 256
 PLACE = 40
 
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-SHARD = "shard long, doc_ids binary, lengths binary, data binary, rest binary"
+SHARD = "shard long, doc_ids binary, nulls binary, lengths binary, data binary, rest binary"
+#: What stands for a null doc_id where age counts: nothing is earlier.
 _NULL_ID = -(1 << 63)
 
 
@@ -74,8 +75,9 @@ def make_shards(docs: DataFrame, keep_columns: bool) -> DataFrame:
     ship(docs.sparkSession)
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ours = fresh(docs, "id", "text", "null")
-    rows = docs.select(F.col("doc_id").cast("long").alias(ours[0]), text.alias(ours[1]), F.col("text").isNull().alias(ours[2]), *([quoted(c) for c in names if c != "text"] if keep_columns else []))
+    # the others by their place: Arrow functions name their input's columns unquoted
+    others = [quoted(c).alias(f"c{k}") for k, c in enumerate(c for c in names if c != "text")] if keep_columns else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("bytes"), F.col("text").isNull().alias("null"), *others)
 
     def run(batches):
         import pyarrow as pa
@@ -84,7 +86,7 @@ def make_shards(docs: DataFrame, keep_columns: bool) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for b in batches:
             texts = b.column(1).to_pylist()
-            ids = [_NULL_ID if i is None else i for i in b.column(0).to_pylist()]
+            ids = b.column(0).to_pylist()
             k = 0
             while k < len(texts):
                 begin, held, size = k, [], 0
@@ -99,7 +101,7 @@ def make_shards(docs: DataFrame, keep_columns: bool) -> DataFrame:
                     with pa.ipc.new_stream(sink, part.schema) as w:
                         w.write_batch(part)
                     rest = _zip(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "doc_ids": pa.array([np.array(ids[begin:k], "<i8").tobytes()], pa.binary()), "lengths": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "data": pa.array([_zip(b"".join(held))], pa.binary()), "rest": pa.array([rest], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "doc_ids": pa.array([np.array([_NULL_ID if i is None else i for i in ids[begin:k]], "<i8").tobytes()], pa.binary()), "nulls": pa.array([bytes(i is None for i in ids[begin:k])], pa.binary()), "lengths": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "data": pa.array([_zip(b"".join(held))], pa.binary()), "rest": pa.array([rest], pa.binary())})
                 number += 1
 
     return _dealt_by_shard(rows.mapInArrow(run, SHARD), docs)
@@ -417,9 +419,9 @@ def digest(docs: DataFrame) -> DataFrame:
                 data, lengths = _unzip(row["data"]), np.frombuffer(row["lengths"], "<i8")
                 gone, raw = _removed(data, lengths, row["covers"]), np.frombuffer(data, np.uint8)
                 out, at = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}, 0
-                for i, n in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), lengths.tolist()):
+                for i, none, n in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), row["nulls"], lengths.tolist()):
                     own = gone[at : at + n]
-                    out["doc_id"].append(None if i == _NULL_ID else i)
+                    out["doc_id"].append(None if none else i)
                     out["n_bytes"].append(n)
                     out["n_removed"].append(int(own.sum()))
                     out["n_spans"].append(int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum()))
@@ -427,7 +429,7 @@ def digest(docs: DataFrame) -> DataFrame:
                     at += n
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    rows = _with_covers(make_shards(docs, False)).select("doc_ids", "lengths", "data", "covers")
+    rows = _with_covers(make_shards(docs, False)).select("doc_ids", "nulls", "lengths", "data", "covers")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -455,7 +457,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rest = pa.ipc.open_stream(_unzip(row["rest"])).read_all().combine_chunks().to_batches()[0]
                 null = rest.column(0).to_pylist()
                 texts = [None if x else t for x, t in zip(null, texts)]
-                columns = [pa.array(texts, pa.string()) if c == "text" else rest.column(rest.schema.get_field_index(c)) for c in names]
+                others = iter(rest.columns[1:])
+                columns = [pa.array(texts, pa.string()) if c == "text" else next(others) for c in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
     rows = _with_covers(make_shards(docs, True)).select("lengths", "data", "rest", "covers")

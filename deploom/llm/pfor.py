@@ -5,7 +5,7 @@ A *segment* holds the ids of consecutive documents.  Its stream of ids is cut in
 ``PERCENTILE`` of them need, and the rest as exceptions (place, full difference).  The segment's
 index gives where each block starts, so any block decodes alone:
 
-    magic "PFB1" | u32 block size | u64 documents | u64 ids | u64 blocks
+    magic "PFB2" | u32 block size | u64 documents | u64 of them without doc_id (first) | u64 ids | u64 blocks
     i64 doc_id[documents] | u64 length[documents] | u64 start[blocks + 1]
     per block: u32 minimum | u8 width | u8 0 | u16 exceptions | packed | u8 place[] | u32 difference[]
 
@@ -29,7 +29,7 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 19
 
 SEGMENTS = "part int, segment int, base long, n_ids long, payload binary"
-_MAGIC = b"PFB1"
+_MAGIC = b"PFB2"
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -49,8 +49,9 @@ def _unpack(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def encode_segment(doc_ids, lengths, ids: np.ndarray) -> bytes:
-    """Ids of whole documents (uint32, one after another) -> one segment."""
-    n = len(ids)
+    """Ids of whole documents (uint32, one after another) -> one segment; doc_ids that are None come first."""
+    n, nulls = len(ids), sum(i is None for i in doc_ids)
+    doc_ids = [0] * nulls + list(doc_ids[nulls:])
     blocks = -(-n // BLOCK)
     full = np.empty(blocks * BLOCK, np.uint32)
     full[:n] = ids
@@ -81,7 +82,7 @@ def encode_segment(doc_ids, lengths, ids: np.ndarray) -> bytes:
         at = start[row] + 8 + BLOCK * width[row] // 8
         body[at + nth] = place
         _scatter(body, at + n_exc[row] + 4 * nth, diff[row, place].astype("<u4").view(np.uint8).reshape(-1, 4))
-    sizes = np.array([len(doc_ids), n, blocks], "<u8").tobytes()
+    sizes = np.array([len(doc_ids), nulls, n, blocks], "<u8").tobytes()
     return b"".join((_MAGIC, np.uint32(BLOCK).tobytes(), sizes, np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<u8").tobytes(), start.astype("<u8").tobytes(), body.tobytes()))
 
 
@@ -90,21 +91,21 @@ def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
         out[at[:, None] + np.arange(rows.shape[1])] = rows
 
 
-def read_index(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """(doc ids, lengths, block starts, number of ids, where blocks begin) of a segment."""
+def read_index(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, int]:
+    """(doc ids, lengths, block starts, number of ids, where blocks begin, documents without doc_id) of a segment."""
     if payload[:4] != _MAGIC or int.from_bytes(payload[4:8], "little") != BLOCK:
         raise ValueError("not a segment of patched blocks")
-    docs, n, blocks = (int(x) for x in np.frombuffer(payload, "<u8", 3, 8))
-    at = 32
+    docs, nulls, n, blocks = (int(x) for x in np.frombuffer(payload, "<u8", 4, 8))
+    at = 40
     doc_ids = np.frombuffer(payload, "<i8", docs, at)
     lengths = np.frombuffer(payload, "<u8", docs, at + 8 * docs).astype(np.int64)
     start = np.frombuffer(payload, "<u8", blocks + 1, at + 16 * docs).astype(np.int64)
-    return doc_ids, lengths, start, n, at + 16 * docs + 8 * (blocks + 1)
+    return doc_ids, lengths, start, n, at + 16 * docs + 8 * (blocks + 1), nulls
 
 
 def decode_blocks(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of the blocks first..last (exclusive; all by default), found through the index."""
-    _, _, start, n, at = read_index(payload)
+    _, _, start, n, at, _ = read_index(payload)
     last = len(start) - 1 if last is None else last
     body, start = np.frombuffer(payload, np.uint8, offset=at), start[first : last + 1]
     count = len(start) - 1
@@ -159,7 +160,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Dat
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = encode(text) + end
-                doc_ids.append(-(1 << 63) if i is None else i)
+                doc_ids.append(i)
                 parts.append(got)
                 held += len(got) // 4
                 if held >= SEGMENT_IDS:
@@ -188,12 +189,12 @@ def read_documents(segments: DataFrame) -> DataFrame:
 
         for b in batches:
             for part, base, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                doc_ids, lengths, *_ = read_index(payload)
+                doc_ids, lengths, *_, nulls = read_index(payload)
                 raw = decode_blocks(payload).astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist())]
-                shown = pa.array([None if i == -(1 << 63) else i for i in doc_ids.tolist()], pa.int64())
+                shown = pa.array([None] * nulls + doc_ids[nulls:].tolist(), pa.int64())
                 yield pa.RecordBatch.from_pydict({"doc_id": shown, "start": pa.array(begins + base + starts[part]), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64())})
 
     return segments.select("part", "base", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -463,4 +463,6 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = [t or "" for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(scorer(blob).score(texts) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Arrow functions name their input's columns unquoted
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -123,6 +123,8 @@ def test_repeated_passages(spark, docs, unique, none):
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
     assert cleaned.where("text is null").count() == docs.where("text is null").count()
     assert bwt.remove_repeats(none).count() == 0
+    ends = bwt.digest(spark.createDataFrame([(-(1 << 63), "x"), (None, "y")], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in ends} == {None, -(1 << 63)}
 
 
 def test_merged_transforms_are_the_transform_of_all():

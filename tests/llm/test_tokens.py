@@ -62,6 +62,13 @@ def test_token_file(spark, docs, unique, none):
     assert pfor.token_file(spark, none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_ids_at_the_ends_of_their_range(spark):
+    rows = [(-(1 << 63), "low"), (None, "none"), ((1 << 63) - 1, "high"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["doc_id"] for r in pfor.token_file(spark, docs, P.path("byte_bpe_50k.json")).orderBy("start").collect()]
+    assert got == [None, None, -(1 << 63), (1 << 63) - 1]
+
+
 def ranks():
     import tiktoken
 

@@ -53,7 +53,7 @@ def slowly(model, words):
 
     inputs = []
     for w in words:
-        letters = [model.char[ord(c) * 2654435761 % (1 << 32) >> 26] for c in w]
+        letters = [model.char[ord(c) * 2654435761 % (1 << 32) >> 26] for c in w[: toxicity.PIECE]]  # of a known word; its rest follows as pieces
         ends = [(run(g, letters[::way]) or [np.zeros(g.h)])[-1] for g, way in zip(model.chars, (1, -1))]
         inputs.append(np.concatenate((model.word[model.vocabulary.get(w, 0)], *ends)))
     ahead, back = run(model.words[0], inputs), run(model.words[1], inputs[::-1])[::-1]
