@@ -14,6 +14,7 @@ hashes), so its cost does not grow; scoring covers every window of every documen
 from __future__ import annotations
 
 import zlib
+from sys import intern
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -265,7 +266,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     Word weights (smoothed log odds of document counts) start the word vectors and choose the
     windows: of a toxic text its most telling one, of a clean text its most and least suspicious.
     """
-    docs = [[normal(w) for w in pieces(t, _Every())] for t in texts]
+    docs = [[intern(normal(w)) for w in pieces(t, _Every())] for t in texts]  # one string per distinct token
     fresh = _without_copies(docs)
     docs, texts, labels = ([x[i] for i in fresh] for x in (docs, texts, labels))
     counts: dict[str, list[int]] = {}
@@ -281,7 +282,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
     order = sorted(np.flatnonzero(evidence >= EVIDENCE), key=lambda i: (-evidence[i], found[i]))[:VOCABULARY]
     odds = {found[i]: float(weight[i]) for i in order}
     model = Model({w: i + 1 for i, w in enumerate(odds)}, np.clip(list(odds.values()), -3, 6))
-    docs = [[normal(w) for w in pieces(t, odds)] for t in texts]
+    del docs, counts
+    docs = [[intern(normal(w)) for w in pieces(t, odds)] for t in texts]
     rng = np.random.default_rng(5)
     windows, target = [], []
     for words, label in zip(docs, labels):
