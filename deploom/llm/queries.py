@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .license import oracle as license_oracle
+from .merkle import oracle as manifest_oracle
 
 
 def _tokenizer(name: str) -> str:
@@ -116,3 +117,25 @@ def op7_shard_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op7_shard_bwt,)}
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import align
+
+    return align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quartiles import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_merkle_manifest, op12_token_alignment, op13_quartile_digest)}
+ORACLES |= {"op11_merkle_manifest": manifest_oracle()}
