@@ -1,64 +1,48 @@
-"""Top-level declarations of Go source files, counted by a lexer in Arrow batches."""
+"""Declarations, syntax nodes and errors of source files, read in Arrow batches, a file at a time."""
 
 from __future__ import annotations
 
-import re
+import sys
 
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\W\d]\w*|\d[\w.]*|\n|\S", re.S)
-_KINDS = {"func": "func", "type": "type", "const": "const", "var": "var", "import": "other"}
-#: What a line may end with for the line end to end the statement, names and literals aside.
-_CLOSERS = frozenset(")]}")
-COLUMNS = ("func", "type", "const", "var", "other")
+from .syntax import DECLS, TOKENS, Syntax
 
+COLUMNS = (*DECLS, *TOKENS)
+#: Calls that nested syntax may take.
+_DEPTH = 20_000
 
-def count_declarations(source: str) -> dict[str, int]:
-    """Declarations by keyword at depth 0; a grouped declaration counts once, imports are other."""
-    out, depth, begins, ends = dict.fromkeys(COLUMNS, 0), 0, True, False
-    for m in _TOKEN.finditer(source):
-        t = m.group()
-        if t.startswith("//"):
-            continue
-        if t.startswith("/*"):
-            t = "\n" if "\n" in t else ""
-        if t in ("\n", ";", ""):
-            if t == ";" or t == "\n" and ends:
-                begins, ends = depth == 0, False
-            continue
-        if begins and depth == 0 and t in _KINDS:
-            out[_KINDS[t]] += 1
-        begins = False
-        depth += (t in "([{") - (t in _CLOSERS)
-        ends = t in _CLOSERS or t[0].isalnum() or t[0] in "_\"'`"
-    return out
 
-
-def parses(source: str) -> bool:
-    """Whether a file may parse: it begins with its package clause and its brackets match."""
-    first, held = None, []
-    for m in _TOKEN.finditer(source):
-        t = m.group()
-        if t.startswith(("//", "/*")) or t == "\n":
-            continue
-        first = first or t
-        if t in "([{":
-            held.append(t)
-        elif t in _CLOSERS and (not held or "([{".index(held.pop()) != ")]}".index(t)):
-            return False
-    return first == "package" and not held
+def read_source(source: str | bytes | None) -> Syntax:
+    """A file's syntax; bytes that are no UTF-8 become replacement characters."""
+    text = source.decode("utf-8", "replace") if isinstance(source, (bytes, bytearray)) else source or ""
+    held = sys.getrecursionlimit()
+    sys.setrecursionlimit(_DEPTH)
+    try:
+        return Syntax(text)
+    finally:
+        sys.setrecursionlimit(held)
 
 
 def declarations(files: DataFrame, text: str = "text", key: str = "path") -> DataFrame:
-    """key, func, type, const, var, other, parsed per file; null texts count nothing."""
+    """Per file: key, func, type, const, var, other, code, comment, basic, parsed, errors (line, column in bytes, message).
 
-    def run(batches):
-        import pyarrow as pa
+    ``text`` is a string or binary column.  A grouped declaration counts once, imports are other;
+    literals are basic nodes, comment groups of declarations and fields comment nodes, all others
+    code.  Counts of a file with errors are those of the parts that could be read.  A null text is an
+    empty file, which is an error.
+    """
+    import pyarrow as pa
 
+    mistakes = pa.list_(pa.struct([("line", pa.int64()), ("column", pa.int64()), ("message", pa.string())]))
+
+    def run(batches):
         for b in batches:
-            got = [count_declarations(t or "") for t in b.column(1).to_pylist()]
-            parsed = pa.array([parses(t or "") for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[c] for g in got], pa.int64()) for c in COLUMNS], parsed], names=[key, *COLUMNS, "parsed"])
+            got = [read_source(t) for t in b.column(1).to_pylist()]
+            counts = [pa.array([(s.decls | s.nodes)[c] for s in got], pa.int64()) for c in COLUMNS]
+            parsed = pa.array([not s.errors for s in got])
+            errors = pa.array([[dict(zip(("line", "column", "message"), e)) for e in s.errors] for s in got], mistakes)
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, parsed, errors], names=[key, *COLUMNS, "parsed", "errors"])
 
     kind = files.schema[key].dataType.simpleString()
-    return files.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{c}` bigint" for c in COLUMNS) + ", parsed boolean")
+    return files.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{c}` bigint" for c in COLUMNS) + ", parsed boolean, errors array<struct<line:bigint,column:bigint,message:string>>")

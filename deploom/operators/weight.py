@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import takes_room
+from ..plans.lineage import materialise
 from ..plans.numbering import in_order
 
 #: A symbol of this size stands for none.
@@ -17,14 +18,19 @@ NO_SIZE = 1 << 32
 _PATH = r"^([^(]*/[^/.(]*(?=\.[^/(]*(?:\(|$))|[^(]+(?=/[^/.(]*(?:\(|$))|[^/.(]+(?=\.[^/(]*(?:\(|$)))"
 
 
+def _once(**columns) -> list:
+    """Columns behind a generator of one row: worked out once, whatever refers to them later."""
+    return [F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))]
+
+
 def _fields(lines: DataFrame) -> DataFrame:
-    """Lines with their fields, the place of the type among them (null: none) and the size."""
-    f = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
+    """Lines with their fields, the place of the type among them (null: none), address and size."""
+    df = lines.select("*", *_once(f=F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")))
     kind = lambda i: F.coalesce(F.get("f", F.lit(i)).rlike(r"^[A-Za-z_?]$"), F.lit(False))
-    df = lines.withColumn("f", f).withColumn("at", F.when(kind(1), 1).when(kind(2), 2))
+    df = df.select("*", *_once(at=F.when(kind(1), 1).when(kind(2), 2)))
     addr = F.when(F.col("at") == 2, F.get("f", F.lit(0))).otherwise("0")
     addr = F.when(addr.rlike("^0*[0-9A-Fa-f]{1,16}$"), F.conv(addr, 16, 10).cast("decimal(20,0)"))
-    return df.withColumn("addr", addr).withColumn("size", F.get("f", F.col("at") - 1).try_cast("bigint"))
+    return df.select("*", *_once(addr=addr, size=F.get("f", F.col("at") - 1).try_cast("bigint")))
 
 
 def malformed(lines: DataFrame) -> DataFrame:
@@ -44,12 +50,12 @@ def parse_symbols(lines: DataFrame) -> DataFrame:
         F.get("f", F.col("at")).alias("code"),
         F.coalesce(F.get("f", F.col("at") + 1), F.lit("")).alias("qualified_name"),
         F.array_join(F.slice("f", F.col("at") + 3, F.size("f")), " ").alias("info"),
-    )
-    df = df.withColumn("head", F.regexp_extract("qualified_name", _PATH, 1))
+    ).where("qualified_name <> ''")
+    df = df.select("*", *_once(head=F.regexp_extract("qualified_name", _PATH, 1)))
     none = F.expr("cast(array() as array<string>)")
     path = F.when(F.col("head") == "", none).otherwise(F.split("head", "/"))
     name = F.when(F.col("head") == "", F.col("qualified_name")).otherwise(F.expr("substring(qualified_name, length(head) + 2)"))
-    df = df.where((F.col("qualified_name") != "") & ~F.col("head").startswith("go.itab.") & ~F.col("head").startswith("type.."))
+    df = df.where(~F.col("head").startswith("go.itab.") & ~F.col("head").startswith("type.."))
     return df.select("binary", "line_no", "addr", "size", "code", "qualified_name", "info", path.alias("path"), name.alias("name"))
 
 
@@ -58,26 +64,38 @@ def sized(symbols: DataFrame, every: bool = False) -> DataFrame:
     return symbols if every else symbols.where(takes_room(F.col("code")))
 
 
+def node_path(depth: Column | None = None) -> Column:
+    """The path of a symbol's node, or of the one ``depth`` levels below the root: /a/b, the root empty."""
+    part = F.col("path") if depth is None else F.slice("path", 1, depth)
+    return F.when(F.size(part) == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(part, "/")))
+
+
 def rollup(symbols: DataFrame) -> DataFrame:
-    """path (/a/b; root empty), total_size, size and symbols of the node itself; a ragged roll-up by exploded prefixes."""
+    """binary, path (/a/b; root empty), total_size, size and symbols of the node itself; a ragged roll-up by exploded prefixes.
+
+    Symbols are added up by their own node first, so a prefix meets each node once.
+    """
+    own = symbols.groupBy("binary", "path").agg(F.sum("size").alias("size"), F.count("*").alias("symbols"))
     n = F.size("path")
-    prefixed = symbols.select("size", n.alias("own"), "path", F.explode(F.sequence(F.lit(0), n)).alias("depth"))
-    path = F.when(F.col("depth") == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice("path", 1, F.col("depth")), "/")))
+    prefixed = own.select("binary", "size", "symbols", n.alias("own"), "path", F.explode(F.sequence(F.lit(0), n)).alias("depth"))
     here = F.col("depth") == F.col("own")
-    return prefixed.groupBy(path.alias("path")).agg(F.sum("size").cast("bigint").alias("total_size"), F.sum(F.when(here, F.col("size")).otherwise(0)).cast("bigint").alias("size"), F.count(F.when(here, 1)).alias("symbols"))
+    own_sum = lambda c: F.sum(F.when(here, F.col(c)).otherwise(0)).cast("bigint").alias(c)
+    return prefixed.groupBy("binary", node_path(F.col("depth")).alias("path")).agg(F.sum("size").cast("bigint").alias("total_size"), own_sum("size"), own_sum("symbols"))
 
 
 def listing(symbols: DataFrame, sort: str = "", cumulative: bool = False, minimum: int = 1024, limit: int = 0, every: bool = False) -> DataFrame:
-    """The rolled-up tree, sorted by size, totalsize or name; ``limit`` keeps the top rows."""
+    """Each binary's rolled-up tree, sorted by size, totalsize or name; ``limit`` keeps the top rows of each."""
     order = {"size": [F.desc("size"), F.desc("total_size")], "totalsize": [F.desc("total_size")], "name": []}[sort or ("totalsize" if cumulative else "size")]
-    out = rollup(sized(symbols, every)).where(F.col("total_size") >= minimum).orderBy(*order, "path")
-    return out.limit(limit) if limit > 0 else out
+    out = rollup(sized(symbols, every)).where(F.col("total_size") >= minimum)
+    if limit > 0:
+        out = out.withColumn("place", F.row_number().over(Window.partitionBy("binary").orderBy(*order, "path"))).where(F.col("place") <= limit).drop("place")
+    return out.orderBy("binary", *order, "path")
 
 
 def node_symbols(symbols: DataFrame, by_name: bool = False, minimum: int = 1024, every: bool = False) -> DataFrame:
-    """Symbols of each node with their place in it, by size or name."""
+    """Symbols of each binary's nodes with their place in it, by size or name; then by name, code and line."""
     order = [] if by_name else [F.desc("size")]
-    own = Window.partitionBy("path").orderBy(*order, "name", "line_no")
+    own = Window.partitionBy("binary", "path").orderBy(*order, "name", "code", "line_no")
     return sized(symbols, every).where(F.col("size") >= minimum).withColumn("place", F.row_number().over(own))
 
 
@@ -102,7 +120,7 @@ def diff(symbols: DataFrame, binaries: list[str], minimum: int = 1024, cumulativ
     wide = wide.select(*out, *sizes, *deltas, total, largest).where(F.abs("total_delta") >= minimum)
     order = [F.desc(F.abs("total_delta")), F.col("qualified_name")]
     if cumulative:  # over the rows of the printed report
-        wide = in_order(wide, order, "place", {"cumulative": "total_delta"}).drop("place")
+        wide = in_order(materialise(wide, "diff"), order, "place", {"cumulative": "total_delta"}).drop("place")
     return wide.orderBy(*order)
 
 

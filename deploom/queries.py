@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import scalars as S
+from .functions.declarations import COLUMNS, declarations
 from .functions.symbols import package_of_symbol
 from .functions.template import compile_template
 from .operators import deadcode, weight
 from .operators.stats import Graph
-from .sources.warehouse import catalog, ctes, symbol_lines
+from .sources.warehouse import catalog, ctes, go_files, module_catalog, source_catalog, symbol_lines
 from .writers import tables
 
 STATS = ("package_count", "go_size", "go_lines", "go_blank", "decl_func")
@@ -289,8 +290,8 @@ sym as (select *, slash + greatest(strpos(substr(b, slash + 1), '.') - 1, 0) as
 symbols as (select * from (select "binary", line_no, ('0x' || f[1])::bigint as addr, f[2]::bigint as size, f[3] as code, q as qualified_name, array_to_string(f[5:], ' ') as info,
  case when p > 0 then string_split(substr(q, 1, p), '/') else []::varchar[] end as path, case when p > 0 then substr(q, p + 2) else q end as name from sym) t where not starts_with(coalesce(path[1], ''), 'go.itab.') and not starts_with(coalesce(path[1], ''), 'type..'))"""
 _NM = recursive(_SYM, tables_=("nm_lines",))
-_PREFIX = "pre as (select unnest(list_concat([''], list_transform(range(1, len(path) + 1), lambda i: '/' || array_to_string(path[1:i], '/')))) as p, '/' || array_to_string(path, '/') as own, size from symbols where code in ('T', 't', 'D', 'd', 'R', 'r'))"
-_ROLL = "roll as (select p as path, sum(size)::bigint as total_size, sum(case when p = own then size else 0 end)::bigint as size, count(case when p = own then 1 end)::bigint as symbols from pre group by p)"
+_PREFIX = "pre as (select \"binary\", unnest(list_concat([''], list_transform(range(1, len(path) + 1), lambda i: '/' || array_to_string(path[1:i], '/')))) as p, '/' || array_to_string(path, '/') as own, size from symbols where code in ('T', 't', 'D', 'd', 'R', 'r'))"
+_ROLL = "roll as (select \"binary\", p as path, sum(size)::bigint as total_size, sum(case when p = own then size else 0 end)::bigint as size, count(case when p = own then 1 end)::bigint as symbols from pre group by \"binary\", p)"
 
 
 def symbols(spark, sf_dir) -> DataFrame:
@@ -307,17 +308,17 @@ def nm_filter(spark, sf_dir):
     return weight.sized(symbols(spark, sf_dir)).groupBy("binary", "code").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
-@query("weight_rollup", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + "select path, total_size from roll")
+@query("weight_rollup", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + "select \"binary\", path, total_size from roll")
 def weight_rollup(spark, sf_dir):
-    return weight.rollup(weight.sized(symbols(spark, sf_dir))).select("path", "total_size")
+    return weight.rollup(weight.sized(symbols(spark, sf_dir))).select("binary", "path", "total_size")
 
 
-@query("weight_own", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + "select path, size, symbols from roll where symbols > 0")
+@query("weight_own", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + "select \"binary\", path, size, symbols from roll where symbols > 0")
 def weight_own(spark, sf_dir):
-    return weight.rollup(weight.sized(symbols(spark, sf_dir))).where("symbols > 0").select("path", "size", "symbols")
+    return weight.rollup(weight.sized(symbols(spark, sf_dir))).where("symbols > 0").select("binary", "path", "size", "symbols")
 
 
-@query("weight_topk", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + "select path, total_size, size, symbols from roll where total_size >= 1024 order by size desc, total_size desc, path limit 20")
+@query("weight_topk", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + "select \"binary\", path, total_size, size, symbols from roll where total_size >= 1024 qualify row_number() over (partition by \"binary\" order by size desc, total_size desc, path) <= 20")
 def weight_topk(spark, sf_dir):
     return Engine.weight(symbols(spark, sf_dir), limit=20)
 
@@ -410,10 +411,10 @@ def cut_text(spark, sf_dir):
 
 
 @query("weight_text", recursive(_SYM, _PREFIX, _ROLL, tables_=("nm_lines",)) + """, shown as (select * from roll where total_size >= 1024),
-below as (select '/' || array_to_string(path, '/') as path, name, code, size, line_no from symbols where code in ('T', 't', 'D', 'd', 'R', 'r') and size >= 1024 and len(path) > 0 union all select '', name, code, size, line_no from symbols where code in ('T', 't', 'D', 'd', 'R', 'r') and size >= 1024 and len(path) = 0),
-every as (select path, size as node_size, total_size, 0 as place, lpad(total_size::varchar, greatest(10, length(total_size::varchar))::int, ' ') || ' ' || lpad(size::varchar, greatest(10, length(size::varchar))::int, ' ') || ' ' || path || ' [syms ' || symbols || ']' as line from shown
- union all select path, s.size, s.total_size, row_number() over (partition by path order by b.size desc, name, line_no), repeat(' ', 11) || lpad(b.size::varchar, greatest(10, length(b.size::varchar))::int, ' ') || ' ' || code || ' ' || name from below b join shown s using (path))
-select row_number() over (order by node_size desc, total_size desc, path, place)::bigint as line_no, line from every""")
+below as (select "binary", case when len(path) > 0 then '/' || array_to_string(path, '/') else '' end as path, name, code, size, line_no from symbols where code in ('T', 't', 'D', 'd', 'R', 'r') and size >= 1024),
+every as (select "binary", path, size as node_size, total_size, 0 as place, lpad(total_size::varchar, greatest(10, length(total_size::varchar))::int, ' ') || ' ' || lpad(size::varchar, greatest(10, length(size::varchar))::int, ' ') || ' ' || path || ' [syms ' || symbols || ']' as line from shown
+ union all select "binary", path, s.size, s.total_size, row_number() over (partition by "binary", path order by b.size desc, name, code, line_no), repeat(' ', 11) || lpad(b.size::varchar, greatest(10, length(b.size::varchar))::int, ' ') || ' ' || code || ' ' || name from below b join shown s using ("binary", path))
+select "binary", row_number() over (order by "binary", node_size desc, total_size desc, path, place)::bigint as line_no, line from every""")
 def weight_text(spark, sf_dir):
     return Engine.weight_text(symbols(spark, sf_dir))
 
@@ -462,3 +463,53 @@ def exec_text(spark, sf_dir):
 @query("exec_commands", _STEPS + "select command, count(*)::bigint as steps, sum(o_orderkey * 1000)::bigint as user_ns, sum(n)::bigint as inputs, sum(seconds * 1000000000)::bigint as wall_ns, count(case when failed then 1 end)::bigint as failed from steps group by 1")
 def exec_commands(spark, sf_dir):
     return Engine.exec_stats(build_log(spark, sf_dir)).select("command", "steps", "user_ns", "inputs", "wall_ns", "failed")
+
+
+#: What a derived source file counts: by hand, 31 nodes of code and one literal without the return's sums.
+_FILES = """counted as (select *, o_orderkey % 7 as n, o_orderpriority = '2-HIGH' as broken, (o_orderstatus = 'F')::int as led, (o_orderpriority = '1-URGENT')::int as urgent from go_files join (select o_orderkey, o_orderstatus, o_orderpriority from orders) using (o_orderkey)),
+files as (select *, 'expected a type, found ''{''' as message, 12 + led as line, case when broken then 0 else 1 end as whole from counted)"""
+
+
+@query("syntax_files", recursive(_FILES, tables_=("go_files",)) + "select path, 1::bigint as func, 1::bigint as type, 0::bigint as const, 0::bigint as var, 1::bigint as other, (31 + n + case when broken then 4 else 0 end)::bigint as code, (led + urgent)::bigint as comment, (1 + n)::bigint as basic, not broken as parsed, case when broken then line || ':14: ' || message end as error from files")
+def syntax_files(spark, sf_dir):
+    got = declarations(go_files(spark, sf_dir))
+    first = F.get("errors", F.lit(0))
+    return got.select("path", *COLUMNS, "parsed", F.concat(first["line"], F.lit(":"), first["column"], F.lit(": "), first["message"]).alias("error"))
+
+
+_PACKAGES = """sums as (select id, sum(8 + led + broken::int)::bigint as go_lines, sum(3 * whole)::bigint as decls, sum((31 + n) * whole)::bigint as code, sum((led + urgent) * whole)::bigint as comment, sum((1 + n) * whole)::bigint as basic, count(*) as go_files, sum(strlen(text))::bigint as go_size, sum(3)::bigint as go_blank, sum(whole)::bigint as whole,
+ list('failed to parse "' || path || '": ' || path || ':' || line || ':14: ' || message order by path) filter (where broken) as errors from files group by id)"""
+SYNTAX_FORMAT = "{{.ID}}\t{{.Stat.Go.Lines}}\t{{.Stat.Decls.Total}}\t{{.Stat.Tokens.Code}}\t{{.Stat.Tokens.Comment}}\t{{.Stat.Tokens.Basic}}"
+_NUMBERS = ["id", "go_lines::varchar", "decls::varchar", "code::varchar", "comment::varchar", "basic::varchar"]
+
+
+@query("syntax_list", recursive(_FILES, _PACKAGES, tables_=("go_files",)) + _aligned("select * from sums", _NUMBERS, ["ID", "Stat.Go.Lines", "Stat.Decls.Total", "Stat.Tokens.Code", "Stat.Tokens.Comment", "Stat.Tokens.Basic"], "id"))
+def syntax_list(spark, sf_dir):
+    return Engine(source_catalog(spark, sf_dir)).list_text("...", fmt=SYNTAX_FORMAT)
+
+
+def _source_sql(files: str, size: str, lines: str, blank: str) -> str:
+    return f"""'{{"Files":' || {files} || ',"Binary":0,"Size":' || {size} || ',"Lines":' || {lines} || ',"Blank":' || {blank} || '}}'"""
+
+
+_NOTHING = _source_sql("0", "0", "0", "0")
+_NO_STAT = f"""'{{"PackageCount":0,"Go":' || {_NOTHING} || ',"OtherFiles":' || {_NOTHING} || ',"Decls":{{"Func":0,"Type":0,"Const":0,"Var":0,"Other":0}},"Tokens":{{"Code":0,"Comment":0,"Basic":0}}}}'"""
+
+
+@query("syntax_json", recursive(_FILES, _PACKAGES, tables_=("go_files",)) + f"""select id, '{{"Package":{{"ID":"' || id || '","Name":"cust"}},"Stat":{{"PackageCount":1,"Go":' || {_source_sql("go_files", "go_size", "go_lines", "go_blank")} || ',"OtherFiles":' || {_NOTHING} || ',"Decls":{{"Func":' || whole || ',"Type":' || whole || ',"Const":0,"Var":0,"Other":' || whole || '}},"Tokens":{{"Code":' || code || ',"Comment":' || comment || ',"Basic":' || basic || '}}}},"Up":' || {_NO_STAT} || ',"Down":' || {_NO_STAT} || coalesce(',"Errors":[' || array_to_string(list_transform(errors, lambda e: '"' || replace(e, '"', chr(92) || '"') || '"'), ',') || ']', '') || '}}' as json from sums""")
+def syntax_json(spark, sf_dir):
+    return Engine(source_catalog(spark, sf_dir)).json("...")
+
+
+_LOCAL = "placed as (select id, path, n_nationkey, module_path, version, replace_path, module_path is not null and n_nationkey % 4 in (1, 2) as is_local from module_packages left join modules on id = module_path or starts_with(id, module_path || '/'))"
+
+
+@query("module_paths", recursive(_LOCAL, tables_=("module_packages",)) + r"""select id, module_path, is_local, module_path || coalesce('@' || version, '') || case when is_local then ' (local)' else '' end || coalesce(' =>\n' || replace_path, '') as module_label from placed""")
+def module_paths(spark, sf_dir):
+    return Engine(module_catalog(spark, sf_dir)).graph_of("...").module_tree().select("id", "module_path", "is_local", "module_label")
+
+
+@query("pattern_here", recursive(_LOCAL, tables_=("module_packages",)) + "select id from placed where is_local and id = module_path")
+def pattern_here(spark, sf_dir):
+    """``.`` names the top packages of local modules, which follow from their files' paths."""
+    return Engine(module_catalog(spark, sf_dir)).calc(".").ids()

@@ -106,13 +106,24 @@ class Catalog:
         return self.packages.where((F.col("variant") == self.variant(context)) & F.col("is_std")).select("id", "variant")
 
 
-def read_manifest(spark: SparkSession, packages: str, imports: str, stats: str | None = None, fmt: str = "parquet", **options) -> Catalog:
-    """Catalogue from manifest tables (Parquet partitioned by variant, or JSON), with explicit schemas."""
+def read_manifest(spark: SparkSession, packages: str, imports: str, stats: str | None = None, fmt: str = "parquet", modcache: str = "/go/pkg/mod", roots: DataFrame | None = None) -> Catalog:
+    """Catalogue from manifest tables (Parquet partitioned by variant, or JSON), with explicit schemas.
+
+    ``roots`` (module_path, dir, version, replace_path, replace_version): modules then follow from
+    where each package's files lie, not from the manifest's records.
+    """
     from ..schema import PACKAGE_STATS
 
     p = spark.read.schema(PACKAGES).format(fmt).load(packages)
-    p = p.withColumn("module_path", F.col("module.path")).withColumn("module_version", F.col("module.version")).withColumn("replace_path", F.col("module.replace.path")).withColumn("replace_version", F.col("module.replace.version")).withColumn("is_local", F.col("module.path").isNotNull() & F.col("module.replace").isNull() & F.coalesce(~F.col("module.dir").startswith(options.get("modcache_dir", "/go/pkg/mod")), F.lit(True)))
+    p = p.withColumn("module_path", F.col("module.path")).withColumn("module_version", F.col("module.version")).withColumn("replace_path", F.col("module.replace.path")).withColumn("replace_version", F.col("module.replace.version")).withColumn("is_local", F.col("module.path").isNotNull() & F.col("module.replace").isNull() & F.coalesce(~F.concat("module.dir", F.lit("/")).startswith(modcache.rstrip("/") + "/"), F.lit(True)))
+    if roots is not None:
+        from .modules import locate
+
+        found = locate(p.select("id", "go_files").groupBy("id").agg(F.max_by("go_files", F.size("go_files")).alias("go_files")), roots, modcache)
+        p = p.drop(*[c for c in found.columns if c != "id"]).join(found, "id", "left")
     if stats:
+        # counts of files take the names of the lists
+        p = p.withColumnsRenamed({c: "list_" + c for c in ("go_files", "other_files")})
         s = spark.read.schema(PACKAGE_STATS).format(fmt).load(stats)
         flat = [F.col("stat." + ("package_count" if "." not in path else _nested(path))).alias(c) for c, path in STAT_FIELDS.items()]
         p = p.join(s.select("variant", "id", *flat), ["variant", "id"], "left")

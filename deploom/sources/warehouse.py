@@ -48,6 +48,26 @@ from {lineitem} join {part} on l_partkey = p_partkey"""
 DUMP = """select src_id || '.F' || case when dst_id = 'region/2' then ' <ReflectMethod>' else '' end || ' -> ' || dst_id || '.F' as line
 from {imports_base} where src_id not like '%.test' and dst_id not like '%.test'"""
 
+#: A source file per order, in its customer's package; those of priority 2-HIGH end in an error.
+GO_FILES = """select o_orderkey, 'cust/' || cast(o_custkey as varchar(20)) as id, 'src/' || cast(o_custkey as varchar(20)) || '/' || cast(o_orderkey as varchar(20)) || '.go' as path,
+  'package c' || cast(o_custkey as varchar(20)) || chr(10) || chr(10) || 'import "fmt"' || chr(10) || chr(10)
+  || case when o_orderstatus = 'F' then '// closed' || chr(10) else '' end
+  || 'type T' || cast(o_orderkey as varchar(20)) || ' struct {{' || chr(10) || chr(9) || 'a, b int' || case when o_orderpriority = '1-URGENT' then ' // urgent' else '' end || chr(10) || '}}' || chr(10) || chr(10)
+  || 'func (t *T' || cast(o_orderkey as varchar(20)) || ') f(x int) int {{' || chr(10) || chr(9) || 'return x' || repeat(' + 1', cast(o_orderkey % 7 as int)) || chr(10) || '}}' || chr(10)
+  || case when o_orderpriority = '2-HIGH' then 'func broken( {{' || chr(10) else '' end as text
+from {orders}"""
+
+#: A module per nation: in the cache, in a folder of its own, inside the one before, or replaced; customers are its packages.
+MODULES = """select n_nationkey, 'example.test/Nation' || cast(n_nationkey as varchar(20)) as module_path, case when n_nationkey % 4 = 0 then 'v1.' || cast(n_nationkey as varchar(20)) || '.0-RC' end as version,
+  case n_nationkey % 4 when 0 then '/go/pkg/mod/example.test/!nation' || cast(n_nationkey as varchar(20)) || '@v1.' || cast(n_nationkey as varchar(20)) || '.0-!r!c'
+    when 2 then '/work/nation' || cast(n_nationkey - 1 as varchar(20)) || '/inner' else '/work/nation' || cast(n_nationkey as varchar(20)) end as dir,
+  case when n_nationkey % 4 = 3 then '../fork' end as replace_path, cast(null as varchar(20)) as replace_version
+from {nation}"""
+
+MODULE_PACKAGES = """select module_path as id, dir || '/a.go' as path from {modules}
+union all select module_path || '/c' || cast(c_custkey as varchar(20)), dir || '/c' || cast(c_custkey as varchar(20)) || '/b.go' from {modules} join {customer} on c_nationkey = n_nationkey
+union all select 'plain/' || cast(s_suppkey as varchar(20)), case when s_suppkey % 2 = 0 then '/elsewhere/s.go' end from {supplier}"""
+
 #: The second variant lacks the customer edges of finished orders.
 ALT = """select i.src_id, i.dst_id from {imports_base} i left join (select id from {pk_order} where o_orderstatus = 'F') f on f.id = i.src_id
 where f.id is null or i.dst_id not like 'cust/%'"""
@@ -82,6 +102,37 @@ def _derive(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog.of(materialise(both, "packages"), rows, dump, {"tag=alt": "alt"})
 
 
+def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, id, path, text."""
+    return spark.sql(GO_FILES, **_read(spark, sf_dir, "orders"))
+
+
+def source_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Customers' packages with the statistics of their source files; they import nothing."""
+    from .package_stats import package_stats
+
+    files = go_files(spark, sf_dir)
+    lists = files.groupBy("id").agg(F.collect_list("path").alias("go_files")).select(F.lit("base").alias("variant"), "id", "go_files", F.expr("cast(null as array<string>)").alias("other_files"))
+    stats = package_stats(lists, files.select("path", F.encode("text", "UTF-8").alias("content")))
+    packages = stats.withColumn("name", F.lit("cust")).withColumn("module_path", F.lit(None).cast("string")).withColumn("is_std", F.lit(False))
+    none = spark.createDataFrame([], "variant string, src_id string, import_path string, dst_id string")
+    return Catalog.of(materialise(packages, "packages"), none)
+
+
+def module_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Packages whose modules follow from where their files lie."""
+    from .modules import locate
+
+    t = _read(spark, sf_dir, "nation", "customer", "supplier")
+    roots = spark.sql(MODULES, nation=t["nation"])
+    packages = spark.sql(MODULE_PACKAGES, modules=roots, customer=t["customer"], supplier=t["supplier"])
+    packages = packages.select("id", F.array_compact(F.array("path")).alias("go_files"))
+    rows = packages.join(locate(packages, roots.where("n_nationkey % 4 <> 0"), "/go/pkg/mod"), "id")
+    rows = rows.withColumn("variant", F.lit("base")).withColumn("name", F.lit("p")).withColumn("is_std", F.lit(False)).withColumn("package_count", F.lit(1).cast("bigint"))
+    none = spark.createDataFrame([], "variant string, src_id string, import_path string, dst_id string")
+    return Catalog.of(materialise(rows, "packages"), none)
+
+
 def symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _read(spark, sf_dir, "lineitem", "part")
     return spark.sql(NM_LINES, **t).withColumnRenamed("binary_name", "binary")
@@ -89,8 +140,8 @@ def symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ctes(*names: str) -> str:
     """``name as (...)`` definitions for DuckDB, with what they build on."""
-    every = {"pk_order": PK_ORDER, "imports_base": IMPORTS, "packages": PACKAGES, "nm_lines": NM_LINES, "dumpdep": DUMP, "alt": ALT}
-    needs = {"imports_base": ["pk_order"], "packages": ["pk_order"], "dumpdep": ["imports_base"], "alt": ["imports_base", "pk_order"]}
+    every = {"pk_order": PK_ORDER, "imports_base": IMPORTS, "packages": PACKAGES, "nm_lines": NM_LINES, "dumpdep": DUMP, "alt": ALT, "go_files": GO_FILES, "modules": MODULES, "module_packages": MODULE_PACKAGES}
+    needs = {"imports_base": ["pk_order"], "packages": ["pk_order"], "dumpdep": ["imports_base"], "alt": ["imports_base", "pk_order"], "module_packages": ["modules"]}
     order: list[str] = []
 
     def add(n):

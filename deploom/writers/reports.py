@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import scalars as S
 from ..functions.template import compile_template
 from ..operators import execlog, weight
 from ..operators.stats import Graph
+from ..plans.lineage import materialise
 from ..plans.numbering import in_order
 from ..schema import RUSAGE, STAT_FIELDS
 from .graphs import node_field
@@ -70,19 +72,23 @@ def _right(c: Column, width: int) -> Column:
 
 
 def weight_lines(symbols: DataFrame, sort: str = "", cumulative: bool = False, minimum: int = 1024, limit: int = 0, every: bool = False, humanized: bool = False) -> DataFrame:
-    """The printed tree: a line per node of at least ``minimum`` in all, and below it its symbols of at least as much."""
+    """binary, line_no, line: each binary's printed tree, a line per node of at least ``minimum`` in all, and below it its symbols of at least as much.
+
+    Lines are numbered through; binaries stand one after another.  What the report needs of the
+    symbols is written once.
+    """
     show = _size(humanized)
     kind = sort or ("totalsize" if cumulative else "size")
-    nodes = weight.listing(symbols, sort, cumulative, minimum, limit, every)
+    symbols = materialise(weight.sized(symbols, every).select("binary", "line_no", "code", "size", "path", "name"), "symbols")
+    nodes = materialise(weight.listing(symbols, sort, cumulative, minimum, limit, True), "nodes")
     order = {"size": [F.desc("node_size"), F.desc("total_size")], "totalsize": [F.desc("total_size")], "name": []}[kind]
     own = F.concat(_right(show(F.col("total_size")), 10), F.lit(" "), _right(show(F.col("size")), 10), F.lit(" "), "path", F.lit(" [syms "), F.col("symbols").cast("string"), F.lit("]"))
-    zero = F.lit(0).cast("bigint")
-    heads = nodes.select("path", F.col("size").alias("node_size"), "total_size", zero.alias("place"), own.alias("line"))
-    at = F.when(F.size("path") == 0, "").otherwise(F.concat(F.lit("/"), F.array_join("path", "/")))
-    inside = weight.node_symbols(symbols, kind == "name", minimum, every).withColumn("path", at)
-    line = F.concat(F.repeat(F.lit(" "), F.lit(11)), _right(show(F.col("s.size")), 10), F.lit(" "), F.col("s.code"), F.lit(" "), F.col("s.name"))
-    below = inside.alias("s").join(nodes.select("path", F.col("size").alias("node_size"), "total_size"), "path").select("path", "node_size", "total_size", F.col("s.place").cast("bigint").alias("place"), line.alias("line"))
-    return in_order(heads.unionByName(below), [*order, F.col("path"), F.col("place")]).select("line_no", "line")
+    heads = nodes.select("binary", "path", F.col("size").alias("node_size"), "total_size", F.lit(0).cast("bigint").alias("place"), own.alias("line"))
+    line = F.concat(F.repeat(F.lit(" "), F.lit(11)), _right(show(F.col("size")), 10), F.lit(" "), F.col("code"), F.lit(" "), F.col("name"))
+    inside = weight.node_symbols(symbols, kind == "name", minimum, True).select("binary", weight.node_path().alias("path"), F.col("place").cast("bigint").alias("place"), line.alias("line"))
+    below = inside.join(nodes.select("binary", "path", F.col("size").alias("node_size"), "total_size"), ["binary", "path"]).select(*heads.columns)
+    rows = materialise(heads.unionByName(below), "report")
+    return in_order(rows, [F.col("binary"), *order, F.col("path"), F.col("place")]).select("binary", "line_no", "line")
 
 
 def weight_diff_lines(symbols: DataFrame, binaries: list[str], aliases: list[str] | None = None, minimum: int = 0, cumulative: bool = False, every: bool = False, humanized: bool = False, color: bool = False) -> DataFrame:
@@ -169,6 +175,8 @@ def node_json(graph: Graph) -> DataFrame:
     lists = {"GoFiles": "go_files", "CompiledGoFiles": "compiled_go_files", "OtherFiles": "other_files", "IgnoredFiles": "ignored_files"}
     package = [F.col("id").alias("ID")]
     for name, c in (("Name", "name"), ("PkgPath", "pkg_path"), *lists.items(), ("ExportFile", "export_file")):
+        if name in lists:  # counts of a package's files have names like these
+            c = next((x for x in ("list_" + c, c) if x in nodes.columns and isinstance(nodes.schema[x].dataType, ArrayType)), "")
         if c in nodes.columns:  # empty values are left out
             package.append(F.when((F.size(c) if name in lists else F.length(c)) > 0, F.col(c)).alias(name))
     package.append(F.when(F.size("imports") > 0, F.map_from_entries("imports")).alias("Imports"))

@@ -107,9 +107,9 @@ def test_lines_are_numbered_in_their_file(spark, tmp_path):
 def test_rollup_and_diff(spark):
     rows = [("v1", 1, "1 2000 T a/b.f"), ("v1", 2, "1 3000 T a/b.f"), ("v1", 3, "1 500 T a.g"), ("v2", 1, "1 9000 T a/b.f"), ("v2", 2, "1 7 B a.z")]
     s = weight.parse_symbols(spark.createDataFrame(rows, "binary string, line_no bigint, line string"))
-    roll = {r["path"]: (r["total_size"], r["size"], r["symbols"]) for r in weight.rollup(weight.sized(s)).collect()}
-    assert roll == {"": (14500, 0, 0), "/a": (14500, 500, 1), "/a/b": (14000, 14000, 3)}
-    assert [r["path"] for r in weight.listing(s, limit=1).collect()] == ["/a/b"]
+    roll = {(r["binary"], r["path"]): (r["total_size"], r["size"], r["symbols"]) for r in weight.rollup(weight.sized(s)).collect()}
+    assert roll == {("v1", ""): (5500, 0, 0), ("v1", "/a"): (5500, 500, 1), ("v1", "/a/b"): (5000, 5000, 2), ("v2", ""): (9000, 0, 0), ("v2", "/a"): (9000, 0, 0), ("v2", "/a/b"): (9000, 9000, 1)}
+    assert [(r["binary"], r["path"]) for r in weight.listing(s, limit=1).collect()] == [("v1", "/a/b"), ("v2", "/a/b")]
     d = weight.diff(s, ["v1", "v2"], minimum=0, cumulative=True).collect()
     assert [(r["qualified_name"], r["size_0"], r["size_1"], r["total_delta"], r["cumulative"]) for r in d] == [("a/b.f", 3000, 9000, 6000, 6000), ("a.g", 500, None, -500, 5500)]
 
