@@ -169,45 +169,61 @@ def test_alignment(spark, docs, none, monkeypatch):
 
 
 def test_long_units_are_aligned_in_pieces(monkeypatch):
-    both = align.tokenizers(A_FILE, B_FILE)
+    both = align.Tokenizers(A_FILE, B_FILE)
     rnd = random.Random(2)
-    text = "".join(rnd.choice("etaoin,é.") for _ in range(30_000)) + " short " + "x" * 9000
+    text = "".join(rnd.choice("etaoin-é~") for _ in range(30_000)) + " short " + "x" * 9000
     whole = align.Units(both)
     seq = whole.texts([text])[0]
-    assert len(whole.number) == 1  # long units are not kept
+    assert max(map(len, whole.known)) <= align.LONG_UNIT  # long units are not kept
     monkeypatch.setattr(align, "LONG_TOKENS", 100)
     cut = align.Units(both)
     parts = cut.texts([text])[0]
     assert len(parts) > 50
     for units, got in ((whole, seq), (cut, parts)):
-        sums, pair, n, unit = units.flat()
+        pair, unit = units.links()
+        sums = np.concatenate(units.sums)
         shown = ";".join(units.shown[k] for k in got)
         links = collections.Counter()
-        for p, m, u in zip(pair.tolist(), n.tolist(), unit.tolist()):
-            links[p] += m * int((got == u).sum())
+        for p, u in zip(pair.tolist(), unit.tolist()):
+            links[p] += int((got == u).sum())
         if units is whole:
             first = shown, sums[got].sum(axis=0).tolist(), links
     assert first == (shown, sums[got].sum(axis=0).tolist(), links)
 
 
-def test_units_begin_again_when_full(spark, docs, monkeypatch):
-    """Partial counts of several fillings add up to those of one."""
+def test_units_are_dropped_when_full(spark, docs, monkeypatch):
+    """Partial counts and rows are the same whether all units are kept or most are dropped again and again."""
     import pyarrow as pa
+    import pyspark
 
-    texts = [r["text"] or "" for r in docs.select("text").collect()]
-    batch = pa.RecordBatch.from_pydict({"text": texts})
+    rows = [(i, r["text"] or "") for i, r in enumerate(docs.select("text").collect())] * 2
+    texts = pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})
+    keyed = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
 
-    def counted():
-        out = collections.Counter()
-        for b in align._count_pairs(A_FILE, B_FILE, [batch]):
+    def both():
+        align._units.cache_clear()
+        counts = collections.Counter()
+        for b in align._count_pairs(A_FILE, B_FILE, [texts]):
             for pairs, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out.update(dict(zip(pairs, n)))
-        return +out
+                counts.update(dict(zip(pairs, n)))
+        counts = +counts
+        pairs = np.array(sorted(counts)[::2], np.int64)  # every other pair is left out of the table
 
-    once = counted()
-    monkeypatch.setattr(align, "UNIT_BYTES", 500)
+        class Hot:
+            value = pairs, np.array([counts[p] for p in pairs.tolist()], np.int64), pairs % 3 == 0
+
+        out = [r for b in align._align_rows(A_FILE, B_FILE, Hot, [keyed]) for r in b.to_pylist()]
+        return counts, out, align._units(A_FILE, B_FILE)
+
+    counts, out, units = both()
+    assert counts and units.kept is None
+    monkeypatch.setattr(align, "UNIT_BYTES", 20_000)
+    monkeypatch.setattr(align, "MORE_BYTES", 3_000)
     monkeypatch.setattr(align, "TEXT_SLICE", 300)
-    assert counted() == once and once
+    again, rows_again, units = both()
+    assert again == counts and rows_again == out and units.kept is not None
+    align._units.cache_clear()
 
 
 def plain_fingerprint(text):
