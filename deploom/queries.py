@@ -231,11 +231,11 @@ def module_tree(spark, sf_dir):
     return graph(spark, sf_dir).module_tree().select("id", "repo_root", "module_path", "single_module", "only_child")
 
 
-@query("list_format", BASE + "select id, id || ' ' || go_lines || ' ' || round(go_lines::double / 7) || ' ' || case when name = 'main' then 'm' else '-' end as line from packages where (id like 'cust/%' or id like 'order/%') and id not like '%.test'")
+@query("list_format", BASE + "select id, id || ' ' || go_lines || ' ' || round(go_lines::double / 7)::bigint || ' ' || case when name = 'main' then 'm' else '-' end as line from packages where (id like 'cust/%' or id like 'order/%') and id not like '%.test'")
 def list_format(spark, sf_dir):
     nodes = engine(spark, sf_dir).calc("cust/... order/...").packages().withColumn("is_main", F.col("name") == "main")
     field = lambda p: {"ID": F.col("id"), "Lines": F.col("go_lines"), "Main": F.col("is_main")}[p]
-    return nodes.select("id", compile_template("{{.ID}} {{.Lines}} {{div .Lines 7 | round}} {{if .Main}}m{{else}}-{{end}}", field).alias("line"))
+    return nodes.select("id", compile_template("{{.ID}} {{.Lines}} {{div .Lines 7 | round}} {{if .Main}}m{{else}}-{{end}}", field, nodes).alias("line"))
 
 
 @query("file_line_stats", r"""select doc_id, case when contains(t, chr(0)) then 0 else 1 end::bigint as files, case when contains(t, chr(0)) then 1 else 0 end::bigint as binary_files, strlen(t)::bigint as size,
@@ -513,3 +513,21 @@ def module_paths(spark, sf_dir):
 def pattern_here(spark, sf_dir):
     """``.`` names the top packages of local modules, which follow from their files' paths."""
     return Engine(module_catalog(spark, sf_dir)).calc(".").ids()
+
+
+#: Comparisons, logic, variables, else if, index, slice and print, over every order.
+BUILTINS = """{{$k := .Key}}{{$kind := "small"}}{{if ge .Price 200000.0}}{{$kind = "large"}}{{else if and (gt .Price 100000.0) (ne .Status "F")}}{{$kind = "middle"}}{{end -}}
+{{$kind}} {{if eq .Status "O" "P"}}open{{else}}closed{{end}} {{not .Text}}{{not .Zero}} {{or .Zero .Text}} {{and .Text .Rest}} {{index .Words 0}}:{{slice .Status 0 1}}:{{slice .Words 1 2}} {{print $k 7 .Status}} {{len .Words}}{{len .Text}}
+{{- range $i, $w := .Words}} {{$i}}={{$w}}{{if eq $w "LOW"}}!{{else with $i}}+{{.}}{{end}}{{else}} none{{end}} {{printf "%03d|%q|%v|%t" .Rest .Status .Ratio (lt .Rest 3)}}{{range .Rest}}.{{end}}"""
+
+
+@query("template_builtins", """select o_orderkey, case when o_totalprice >= 200000 then 'large' when o_totalprice > 100000 and o_orderstatus <> 'F' then 'middle' else 'small' end
+ || ' ' || case when o_orderstatus in ('O', 'P') then 'open' else 'closed' end || ' falsetrue false ' || r || ' ' || w[1] || ':' || o_orderstatus || ':[' || coalesce(w[2], '') || '] ' || o_orderkey || ' 7' || o_orderstatus || ' ' || len(w) || '5'
+ || ' 0=' || w[1] || case when w[1] = 'LOW' then '!' else '' end || coalesce(' 1=' || w[2] || case when w[2] = 'LOW' then '!' else '+1' end, '')
+ || ' ' || lpad(r::varchar, 3, '0') || '|"' || o_orderstatus || '"|' || case r when 0 then '0' when 1 then '0.25' when 2 then '0.5' when 3 then '0.75' else '1' end || '|' || (r < 3) || repeat('.', r::int) as line
+ from (select *, o_orderkey % 5 as r, [substr(o_orderpriority, 1, 1), substr(o_orderpriority, 3)] as w from orders) o""")
+def template_builtins(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    priority = F.col("o_orderpriority")
+    fields = {"Key": F.col("o_orderkey"), "Price": F.col("o_totalprice").cast("double"), "Status": F.col("o_orderstatus"), "Zero": F.lit(0), "Text": F.lit("false"), "Rest": F.col("o_orderkey") % 5, "Ratio": (F.col("o_orderkey") % 5) / 4, "Words": F.array(F.substring(priority, 1, 1), F.substr(priority, F.lit(3)))}
+    return o.select("o_orderkey", compile_template(BUILTINS, fields.__getitem__, o).alias("line"))

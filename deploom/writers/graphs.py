@@ -26,7 +26,7 @@ CSS = {"black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#0080
 
 
 def node_field(df: DataFrame):
-    """Template paths to columns of a node table; sizes are shown with their unit."""
+    """Template paths to columns of a node table; sizes are numbers, shown with their unit."""
     from ..functions.scalars import mem_string
 
     names = {"ID": "id", "PkgPath": "pkg_path", "Name": "name", "Module.Path": "module_path", "InDegree": "in_degree", "OutDegree": "out_degree", "Color": "color"}
@@ -42,14 +42,15 @@ def node_field(df: DataFrame):
             if path.startswith(prefix + "AllFiles."):
                 part = path.rpartition(".")[2].lower()
                 total = sum((F.coalesce(c, F.lit(0)) for c in (f"{start}go_{part}", f"{start}other_{part}") if c in df.columns), F.lit(0))
-                return mem_string(total) if part == "size" else total
+                return (total, mem_string(total)) if part == "size" else total
         column = names.get(path)
         if column is None or column not in df.columns:
             if column is None:
                 raise ValueError(f"unknown field {path!r}")
             return F.lit(0) if path not in ("PkgPath", "Color") else F.col("id") if path == "PkgPath" else F.lit("")
-        return mem_string(F.col(column)) if path.endswith(".Size") else F.col(column)
+        return (F.col(column), mem_string(F.col(column))) if path.endswith(".Size") else F.col(column)
 
+    field.frame = df
     return field
 
 

@@ -135,14 +135,16 @@ def exec_line(df: DataFrame, fmt: str) -> Column:
         if path in ("UserTime", "SystemTime"):
             return seconds("user_ns" if path == "UserTime" else "system_ns")
         if path in ("OutputSize", "InputsSize"):
-            return S.mem_string(F.col("output_size" if path == "OutputSize" else "input_size"))
+            size = F.col("output_size" if path == "OutputSize" else "input_size")
+            return size, S.mem_string(size)
         if path in USAGE:
-            return S.mem_string(F.coalesce(USAGE[path], F.lit(0))) if path in _BYTES else F.coalesce(USAGE[path], F.lit(0))
+            count = F.coalesce(USAGE[path], F.lit(0))
+            return (count, S.mem_string(count)) if path in _BYTES else count
         if path not in fields:
             raise ValueError(f"unknown field {path!r}")
         return F.col(fields[path])
 
-    return compile_template(fmt, field)
+    return compile_template(fmt, field, df)
 
 
 EXEC_FORMAT = "{{.Command}} {{.PackageName}} {{.UserTime}}"

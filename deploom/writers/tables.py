@@ -25,5 +25,5 @@ def tree_lines(tree: DataFrame, template: str = "{{.ID}}") -> DataFrame:
     """(line_no, line) of a tree."""
     mark = F.when(F.col("is_std"), " ~").when(F.col("ref").isNotNull(), F.concat(F.lit(" @"), F.col("ref").cast("string"))).otherwise("")
     branch = F.when(F.col("is_last"), "  └ ").otherwise("  ├ ")
-    label = compile_template(template, lambda path: {"ID": F.col("id"), "ParentID": F.col("parent_id")}[path])
+    label = compile_template(template, lambda path: {"ID": F.col("id"), "ParentID": F.col("parent_id")}[path], tree)
     return tree.select(F.col("line").alias("line_no"), F.concat(F.rpad(F.col("line").cast("string"), 4, " "), F.repeat(F.lit("  "), F.col("depth").cast("int")), branch, label, mark).alias("line"))
