@@ -31,7 +31,7 @@ from .common import one_table_at_a_time, ship, text_or_empty, written
 #: Most pairs that are broadcast (17 bytes each).
 HOT_PAIRS = 1 << 20
 #: Bytes of units and their groups that a worker keeps, those beyond that it holds before it drops them again, and what an entry takes beside its text.
-UNIT_BYTES, MORE_BYTES, ENTRY_BYTES = 160 << 20, 40 << 20, 160
+UNIT_BYTES, MORE_BYTES, ENTRY_BYTES = 320 << 20, 40 << 20, 160
 #: Characters of text that are aligned by one statement, and characters beyond which a unit is not kept.
 TEXT_SLICE, LONG_UNIT = 1 << 20, 1 << 12
 #: Tokens of a long unit that are aligned by one statement: it is cut at common ends.
@@ -351,7 +351,13 @@ class Units:
 
 @functools.lru_cache(maxsize=1)
 def _units(a_path: str, b_path: str) -> Units:
-    return Units(Tokenizers(a_path, b_path))
+    import gc
+
+    units = Units(Tokenizers(a_path, b_path))
+    # the tables hold no cycles: searching them for some takes time
+    gc.freeze()
+    gc.set_threshold(200_000)
+    return units
 
 
 def worker_units(a_path: str, b_path: str) -> Units:
