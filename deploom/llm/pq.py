@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, ship, written
 from .components import components, unite
-from .vectors import dimensions, finite, pack, unpack
+from .vectors import dimensions, finite, pack, scaled, unit, unpack
 
 COSINE = 0.95
 SUBSPACES, CODES = 8, 64
@@ -130,7 +130,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Null and zero vectors, and vectors with null or non-finite components, link with nothing and are
-    kept; vectors of different dimensions never link; repeated rows and rows that share a vec_id count
+    kept; finite vectors of any length link by their direction alone, the smallest and largest numbers
+    included; vectors of different dimensions never link; repeated rows and rows that share a vec_id count
     as vectors each and link like any others; a null vec_id takes part, its row is kept only if no
     vector linked with it has a vec_id (component_id null then); an empty table gives no rows; other
     columns are not read, whatever their names.
@@ -164,15 +165,15 @@ def _one_dimension(usable: DataFrame, dim: int, cosine: float) -> DataFrame:
     fit = FIT_ROWS * max(1, min(MAX_LISTS, total // LIST_ROWS)) + 4096
     taken = groups.select("v").orderBy(F.xxhash64("v"), "v").limit(fit).collect()
     sample = np.frombuffer(b"".join(bytes(r["v"]) for r in taken), kind).reshape(-1, dim).astype(float)
-    model = Quantiser(sample / np.sqrt((sample**2).sum(1))[:, None], total)
+    model = Quantiser(unit(sample), total)
     blob, radius, lists = pickle.dumps(model, protocol=5), radius_of(cosine), len(model.coarse)
 
     def code(b):
         own = pickle.loads(blob)
         x = unpack(b.column(1), kind, dim).astype(float)
-        unit = x / np.sqrt((x**2).sum(1))[:, None]
-        home, codes, error = own.encode(unit)
-        return {"own": b.column(0), "v": b.column(1), "n": b.column(2), "home": home.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32) * np.float32(1 + 1e-6), "probes": [p.tolist() for p in own.probes(unit, home, radius)]}
+        x = unit(x)
+        home, codes, error = own.encode(x)
+        return {"own": b.column(0), "v": b.column(1), "n": b.column(2), "home": home.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32) * np.float32(1 + 1e-6), "probes": [p.tolist() for p in own.probes(x, home, radius)]}
 
     coded = written(map_batches(groups.select("own", "v", "n"), code, "own long, v binary, n long, home int, codes binary, error float, probes array<int>"), "coded")
     asks = coded.select(F.col("own").alias("asking"), F.col("n").alias("asking_n"), F.col("home").alias("asking_home"), F.col("v").alias("query"), F.explode("probes").alias("list"))
@@ -196,7 +197,7 @@ def _one_dimension(usable: DataFrame, dim: int, cosine: float) -> DataFrame:
         order = np.argsort(mid)
         place = order[np.minimum(np.searchsorted(mid[order], qid), len(mid) - 1)]
         same = np.where(mid[place] == qid, place, -1)
-        links, returned, label = tile_links(model, a.column("list")[0].as_py(), unpack(b.column("query"), kind, dim).astype(float), unpack(a.column("v"), kind, dim).astype(float), codes, a.column("error").to_numpy(), same, b.column("asking_home").to_numpy(), back, b.column("asking_n").to_numpy(), a.column("n").to_numpy(), cosine)
+        links, returned, label = tile_links(model, a.column("list")[0].as_py(), scaled(unpack(b.column("query"), kind, dim).astype(float)), scaled(unpack(a.column("v"), kind, dim).astype(float)), codes, a.column("error").to_numpy(), same, b.column("asking_home").to_numpy(), back, b.column("asking_n").to_numpy(), a.column("n").to_numpy(), cosine)
         ids, links = np.concatenate((qid, mid)), np.concatenate((links, returned))
         root = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(root, label, ids)

@@ -28,6 +28,7 @@ MAX_RUNS = 1024
 #: Local cosine threshold from which coordinates prune, and the share of coordinates looked at first.
 COORDINATE, FIRST = 0.25, 0.25
 SCALE = 64
+_LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def tile_scores(query, bound, rows, ids, query_ids, k):
@@ -35,8 +36,9 @@ def tile_scores(query, bound, rows, ids, query_ids, k):
 
     query (m, d), rows (n, d) int64; rows sorted by falling length.
     """
-    small = float(np.abs(query).max(initial=0)) * float(np.abs(rows).max(initial=0)) * rows.shape[1] < 2**53
-    q, p = (query.astype(np.float64), rows.astype(np.float64)) if small else (query, rows)
+    most = float(np.abs(query.astype(np.float64)).max(initial=0)) * float(np.abs(rows.astype(np.float64)).max(initial=0)) * rows.shape[1]
+    small = most < 2**53
+    q, p = (query.astype(np.float64), rows.astype(np.float64)) if small else (query, rows) if most < 2**62 else (query.astype(object), rows.astype(object))
     qn, pn = np.sqrt((query.astype(np.float64) ** 2).sum(1)), np.sqrt((rows.astype(np.float64) ** 2).sum(1))
     longest = pn.max(initial=0)
     local = np.where(np.isneginf(bound), -np.inf, bound / np.maximum(qn * longest, 1e-300))
@@ -46,7 +48,7 @@ def tile_scores(query, bound, rows, ids, query_ids, k):
         # length pruning: only rows long enough for the weakest bound of these queries
         need = np.min(np.where(bound[at] > 0, bound[at] / np.maximum(qn[at], 1e-300), 0))
         n = int(np.searchsorted(-pn, -(need * (1 - 1e-9) - 1e-6), side="right"))
-        scores = q[at] @ p[:n].T
+        scores = _held(q[at] @ p[:n].T)
         for i, s in zip(at, scores):
             out.append(_best(i, np.arange(n), s, bound[i], ids, query_ids[i], k))
     first = max(1, int(rows.shape[1] * FIRST))
@@ -57,12 +59,17 @@ def tile_scores(query, bound, rows, ids, query_ids, k):
         part = own @ q[i, focus].astype(np.float64)
         rest = np.sqrt(np.maximum(0, qn[i] ** 2 - (q[i, focus].astype(np.float64) ** 2).sum())) * np.sqrt(np.maximum(0, pn[:n] ** 2 - (own**2).sum(1)))
         alive = np.flatnonzero(part + rest * (1 + 1e-9) + 1e-6 >= bound[i])
-        out.append(_best(i, alive, p[alive] @ q[i], bound[i], ids, query_ids[i], k))
+        out.append(_best(i, alive, _held(p[alive] @ q[i]), bound[i], ids, query_ids[i], k))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Products of whole numbers of any size, as the nearest of 64 bits."""
+    return np.clip(scores, _LOWEST, _HIGHEST).astype(np.int64) if scores.dtype == object else scores
+
+
 def _best(i, places, scores, bound, ids, own, k):
     keep = (scores >= bound) & (ids[places] != own)
     places, scores = places[keep], scores[keep]
@@ -95,7 +102,8 @@ def run_scores(query, bound, rows, ids, query_ids, k):
 def top_products(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query row with all rows of other vec_ids.
 
-    ``vectors``: vec_id, embedding; components become floor(SCALE * x).  Null vectors, vectors with null or
+    ``vectors``: vec_id, embedding; components become floor(SCALE * x).  Components and scores beyond
+    64 bits become the largest or smallest number of 64 bits, and rank as such.  Null vectors, vectors with null or
     non-finite components and null vec_ids take no part; vectors of different dimensions are not
     compared; ties go to the smaller vec_id; rows that repeat a vec_id are candidates each, and queries
     each, with ranks of their own, but never candidates of one another; an empty table gives no rows;

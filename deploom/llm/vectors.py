@@ -26,3 +26,17 @@ def pack(batch_column, dtype: str) -> list[bytes]:
 def unpack(column, dtype: str, dim: int) -> np.ndarray:
     """Binary column -> (rows, dim)."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, dim)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by the power of two that brings their largest component to between 1/2 and 1.
+
+    Directions stay to the last bit, and squares neither vanish nor overflow, however small or large a row is.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows other than zero at length 1."""
+    x = scaled(x)
+    return x / np.sqrt((x**2).sum(1))[:, None]

@@ -131,3 +131,34 @@ def test_tiles_prune_exactly():
         for q in range(40):
             want = sorted(((-int(x), k) for k, x in enumerate(scores[q]) if x >= bound[q]))[:10]
             assert sorted(zip((-s[i == q]).tolist(), j[i == q].tolist())) == want
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Neither one row of the smallest numbers nor of the largest ones changes what others link with; both link by direction."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(200, 16))
+    rows = [(i, x) for i, x in enumerate(base)] + [(300 + i, x + rng.normal(scale=0.02, size=16)) for i, x in enumerate(base[:100])]
+    odd = [(500, base[0] * 1e-200), (501, base[1] * 1e200), (502, base[1] * 1e-300), (503, base[2] * 5e-320), (504, np.eye(16)[0] * 1.7e308), (505, np.eye(16)[0] * 5e-324), (506, -np.eye(16)[0] * 1e-200)]
+    scaled = [(i, x / np.abs(x).max()) for i, x in rows + odd]
+    frame = lambda r: spark.createDataFrame([(i, x.tolist()) for i, x in r], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in pq.near_vectors(frame(rows + odd)).collect())
+    want, _ = brute_links([(i, x.tolist()) for i, x in scaled])
+    # the third odd row has few digits left: its direction is rounded
+    assert [g[:2] for g in got if g[0] not in (2, 302, 503)] == [w[:2] for w in want if w[0] not in (2, 302, 503)]
+    links = {g[0]: g[1] for g in got}
+    assert links[500] >= 2 and links[501] >= 3 and links[504] == 1 and links[505] == 1 and links[506] == 0
+    before = {r[0]: r[1] for r in pq.near_vectors(frame(rows)).collect()}
+    assert all(links[i] == n for i, n in before.items() if i not in (0, 1, 2, 300, 301, 302))
+
+
+def test_products_beyond_64_bits(spark):
+    rows = [(0, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [-1e9, -1e9]), (3, [1e30, 1.0]), (4, [1.0, 1.0]), (5, [2e7, 2e7]), (20, [3e7, 0.0]), (40, [-1e30, 1e30])]
+    got = [tuple(r) for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 20 == 0).collect()]
+    low, high = -(1 << 63), (1 << 63) - 1
+    held = lambda x: max(low, min(high, x))
+    whole = {i: [held(int(np.floor(np.float64(64 * x)))) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40):
+        scores = sorted((-held(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted(got) == sorted(want)
