@@ -241,8 +241,27 @@ class StreamDecoder:
         return self.machine.feed(b"".join(map(self.table.__getitem__, ids)), last)
 
 
+#: A character that is neither letter nor number nor white space in any version of Unicode.
+_PLAIN = "\uffff"
+
+
+def newer_characters() -> str:
+    """Characters that are letters or numbers for the ``regex`` module, but not yet for tiktoken's tables."""
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    ranks = {b: i for i, b in enumerate(_BYTE)}
+    newer = set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        # a tokenizer of single bytes gives back just what its pattern matches
+        known = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every)
+        newer |= set(regex.findall(kind, every)) - set(bytes(known).decode())
+    return "".join(sorted(newer))
+
+
 class RankTokenizer:
-    """Encoder and decoder of one rank file with its pre-tokenising pattern."""
+    """Encoder and decoder of one rank file with its pre-tokenising pattern, read with tiktoken's letters and numbers."""
 
     #: ids that the decoder takes at a time
     RUN = 1 << 16
@@ -252,6 +271,8 @@ class RankTokenizer:
 
         ranks = load_ranks(path)
         self.fst, self.pattern = MergeTransducer(ranks), regex.compile(pattern)
+        newer = newer_characters()
+        self.newer, self.as_plain = frozenset(newer), dict.fromkeys(map(ord, newer), _PLAIN)
         self.table = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self.table[i] = t
@@ -260,7 +281,11 @@ class RankTokenizer:
         self.chunks = ChunkEncoder(self.encode_chunk, special="", word=lambda prefix, chunk: array("I", encode((prefix + chunk).encode())).tobytes())
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return array("I", [i for p in self.pattern.findall(chunk) for i in self.fst.encode(p.encode())]).tobytes()
+        if chunk.isascii() or self.newer.isdisjoint(chunk):
+            parts = self.pattern.findall(chunk)
+        else:  # cut where the chunk would be cut with a plain character in their place
+            parts = [chunk[m.start() : m.end()] for m in self.pattern.finditer(chunk.translate(self.as_plain))]
+        return array("I", [i for p in parts for i in self.fst.encode(p.encode())]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.chunks(text), "<u4")

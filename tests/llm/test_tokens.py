@@ -92,6 +92,17 @@ def test_transducer(monkeypatch):
         assert ids.tolist() == own.encode_ordinary(t) and "".join(mine.decode(ids)) == t
 
 
+def test_every_character_is_of_tiktoken_s_kind():
+    """Letters and numbers are those of tiktoken's tables, whatever the regex module knows: each code point before and behind letters."""
+    own, mine = ranks(), bpe_fst.RankTokenizer(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    newer = bpe_fst.newer_characters()
+    assert all(mine.encode(c + "'s a" + c + "1 " + c + c).tolist() == own.encode_ordinary(c + "'s a" + c + "1 " + c + c) for c in newer)
+    points = [*range(0x3000), *range(0x3000, 0xD800, 7), *range(0xE000, 0x33500, 11), *range(0xE0000, 0xE0200)]
+    for k in range(0, len(points), 50):
+        text = " ".join(f"{chr(c)}'s a{chr(c)} 1{chr(c)}" for c in points[k : k + 50])
+        assert mine.encode(text).tolist() == own.encode_ordinary(text), hex(points[k])
+
+
 def test_utf8_machine():
     data = "aé€\U0001f600b".encode() + b"\xff\xe2\x82" + "z".encode()
     for cut in range(1, 5):
