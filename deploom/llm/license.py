@@ -39,18 +39,62 @@ def _blanks(c: Column) -> Column:
     return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+#: Numbers that one fold collects: a fold copies what it has collected at every step.
+HELD = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda an expression is worked out at every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(numbers: Column, zero: int, combine) -> Column:
+    """For each of an array of numbers, all before it combined; in blocks, so that time grows with their number."""
+    start = F.lit(zero).cast("bigint")
+
+    def running(items: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.expr("cast(array() as array<bigint>)").alias("got"))
+        return F.aggregate(items, state, lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["got"], F.array(a["at"])).alias("got")), lambda a: a["got"])
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, start, combine))
+        return _let(running(totals, start), lambda firsts: F.flatten(F.transform(blocks, lambda b, i: running(b, F.get(firsts, i)))))
+
+    cut = lambda items: F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / HELD).cast("int")), lambda b: F.slice(items, b * HELD + 1, HELD))
+    return _let(numbers, lambda items: F.when(F.size(items) > 0, _let(cut(items), over)).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
 def _places(words: Column, pattern: Column) -> Column:
     """Word intervals (s, e inclusive) of a pattern's matches, by the blanks before and inside each."""
-    found, gaps = F.regexp_extract_all(words, pattern, F.lit(0)), F.split(words, pattern)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("got"))
+    pairs = F.filter(F.arrays_zip(F.split(words, pattern).alias("gap"), F.regexp_extract_all(words, pattern, F.lit(0)).alias("found")), lambda x: x["found"].isNotNull())
+    half = lambda c: (_blanks(c) / 2).cast("bigint")
+    sizes = F.transform(pairs, lambda x: F.struct(half(x["gap"]).alias("gap"), half(x["found"]).alias("found")))
 
-    def step(acc, i):
-        s = acc["at"] + (_blanks(F.get(gaps, i)) / 2).cast("long")
-        after = s + (_blanks(F.get(found, i)) / 2).cast("long")
-        return F.struct(after.alias("at"), F.concat(acc["got"], F.array(F.struct(s.alias("s"), (after - 1).alias("e")))).alias("got"))
+    def placed(n: Column) -> Column:
+        before = _before(F.transform(n, lambda x: x["gap"] + x["found"]), 0, lambda a, b: a + b)
+        return F.transform(F.arrays_zip(n.alias("n"), before.alias("before")), lambda x: F.struct((x["before"] + x["n"]["gap"]).alias("s"), (x["before"] + x["n"]["gap"] + x["n"]["found"] - 1).alias("e")))
 
-    numbers = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(numbers, start, step, lambda acc: acc["got"])
+    return _let(sizes, placed)
+
+
+def _kept(hits: Column, tiers: int) -> Column:
+    """Hits that lie in no other one of a better tier, nor of their own tier that is longer or an earlier rule's.
+
+    In order of their starts, longer ones first, what may hold a hit stands before it: it is held if
+    the farthest end of its own and better tiers so far is not before its own.
+    """
+    order = F.array_sort(F.transform(hits, lambda h: F.struct(h["s"].alias("s"), (-h["e"]).alias("back"), h["tier"].alias("tier"), h["id"].alias("id"), h["label"].alias("label"))))
+
+    def free(rows: Column) -> Column:
+        far = [_before(F.transform(rows, lambda h: F.when(h["tier"] <= t, -h["back"]).otherwise(F.lit(-1).cast("bigint"))), -1, lambda a, b: F.greatest(a, b)).alias(f"far{t}") for t in range(tiers)]  # noqa: B023
+        held = lambda x: F.coalesce(*[F.when(x["h"]["tier"] == t, x[f"far{t}"] >= -x["h"]["back"]) for t in range(tiers)])
+        left = F.filter(F.arrays_zip(rows.alias("h"), *far), lambda x: ~held(x))
+        return F.transform(left, lambda x: F.struct(x["h"]["tier"].alias("tier"), x["h"]["id"].alias("id"), x["h"]["s"].alias("s"), (-x["h"]["back"]).alias("e"), x["h"]["label"].alias("label")))
+
+    return _let(order, free)
+
+
+_HIT = "struct<tier:int,id:int,s:bigint,e:bigint,label:string>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -58,7 +102,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``score`` is the share of words inside kept detections, each word once (no words: 0).  Null texts count
     as empty; repeated rows give a row each; null doc_ids stay null; an empty table gives no rows;
-    other columns are not read.  The plan is one narrow stage.
+    other columns are not read.  The plan is one narrow stage; a text's time grows with its length
+    and its hits, but for sorting these.
     """
     numbered = rules()
     table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(tier).alias("tier"), F.lit(keyword).alias("keyword"), F.lit(spaced(pattern)).alias("pattern")) for i, label, tier, keyword, pattern in numbered])
@@ -76,18 +121,13 @@ def scan(docs: DataFrame) -> DataFrame:
     some = F.col("words").isNotNull()
     df = df.select("doc_id", "n_words", F.when(some, base).alias("base"), F.when(some, hits).alias("hits"))
 
-    def inside(h, g):
-        longer = (g["e"] - g["s"]) > (h["e"] - h["s"])
-        same = (g["e"] == h["e"]) & (g["s"] == h["s"])
-        return (g["s"] <= h["s"]) & (g["e"] >= h["e"]) & ((g["tier"] < h["tier"]) | ((g["tier"] == h["tier"]) & (longer | (same & (g["id"] < h["id"])))))
-
-    kept = F.filter("hits", lambda h: ~F.exists("hits", lambda g: inside(h, g)))
+    kept = _kept(F.col("hits"), max(tier for _, _, tier, _, _ in numbered) + 1)
     df = df.select("doc_id", "n_words", "base", F.when(F.size("hits") > 0, kept).alias("kept"))
     starts = F.flatten(F.transform("base", lambda x: F.transform(x["at"], lambda p: p["s"])))
     df = df.select("doc_id", "n_words", "base", "kept", starts.alias("starts"))
     labels = F.transform("base", lambda x: x["label"])
     none = F.expr("cast(array() as array<string>)")
-    spans = F.array_sort(F.transform(F.coalesce("kept", F.expr("cast(array() as array<struct<tier:int,id:int,s:bigint,e:bigint,label:string>>)")), lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"))))
+    spans = F.array_sort(F.transform(F.coalesce("kept", F.expr(f"cast(array() as array<{_HIT}>)")), lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"))))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(spans, start, lambda a, h: F.struct(F.greatest(a["end"], h["e"] + 1).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), h["e"] + 1 - F.greatest(a["end"], h["s"]))).alias("n")), lambda a: a["n"])
     return df.select(

@@ -218,3 +218,20 @@ def test_windows_cover_everything():
 
 def test_hashes_agree(spark):
     assert spark.range(1).select(F.crc32(F.lit("12").cast("binary")).alias("c")).first()["c"] == zlib.crc32(b"12")
+
+
+def test_long_text_of_notices(spark):
+    """100,000 words that are nearly all notices: every block of the folds counts, and time does not grow with the square."""
+    import time
+
+    from deploom.llm import license
+
+    piece = "All Rights Reserved. Licensed under CC BY-NC 4.0 cc by GNU General Public License, version 3 or any later version; The MIT License. Apache License, Version 2.0 "
+    n = 3500
+    docs = spark.createDataFrame([(1, piece), (2, piece * n)], "doc_id long, text string")
+    began = time.time()
+    one, many = sorted(license.scan(docs).collect(), key=lambda r: r["doc_id"])
+    assert time.time() - began < 90
+    assert many["n_words"] == n * one["n_words"] and many["n_base"] == n * one["n_base"] and abs(many["score"] - one["score"]) < 1e-9
+    assert (many["labels"], many["base_labels"], many["first_word"]) == (one["labels"], one["base_labels"], one["first_word"])
+    assert many["last_word"] == (n - 1) * one["n_words"] + one["last_word"]
