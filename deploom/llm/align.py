@@ -234,19 +234,27 @@ def _joined(flats: list[Flat]) -> Flat:
     return Flat(*map(np.concatenate, zip(*flats)))
 
 
+class _Lookup:
+    """Numbers by whole units, spaces in front included."""
+
+    def __init__(self, units: "Units"):
+        self.get = units._find
+
+
 class Units:
     """Units of a worker, numbered as they come, with their alignment; number 0 stands for units without tokens.
 
     The first UNIT_BYTES, which hold the frequent ones, stay for all texts and tasks to come; later
     ones are dropped whenever they take MORE_BYTES.
 
-    ``known`` gives the number of a unit.  What stands between two spaces may be several units: it is
-    in ``known`` too, as a negative number that stands for the ``several[-number]``.  Long ones are not
-    remembered.
+    ``word`` gives the number of a unit that begins with a space, by what stands behind it, ``known`` that
+    of any other.  What stands between two spaces may be several units: it is in ``word`` too, as a
+    negative number that stands for the ``several[-number]``.  Long ones are not remembered.
     """
 
     def __init__(self, both: Tokenizers):
         self.both = both
+        self.word: dict[str, int] = {}
         self.known: dict[str, int] = {}
         self.several: list[tuple[int, ...]] = [()]
         self.shown = [""]
@@ -258,8 +266,9 @@ class Units:
     def drop(self) -> None:
         """Forget the units beyond the first ones."""
         self.bytes, several, numbers, additions = self.kept
-        for key in self.later:
-            self.known.pop(key, None)
+        for unit in self.later:
+            table, key = self._place(unit)
+            table.pop(key, None)
         del self.several[several:], self.shown[numbers:], self.sums[additions + 1 :]
         for held in (self.pair, self.unit, self.first):
             del held[additions:]
@@ -274,47 +283,66 @@ class Units:
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The sequence of unit numbers of each text: empty for empty texts and for those that have no tokens."""
         cut = [self._chunks(t) for t in texts]
-        known = self.known
-        fresh = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in known]
-        parts = list(map(self.both.cut.split, fresh))
-        self._number([u for u in dict.fromkeys(chain.from_iterable(parts)) if u not in known])
-        for c, units in zip(fresh, parts):
-            if len(units) > 1:
-                self._remember(c, tuple(self._expanded([known[u] for u in units])))
+        numbers = [list(map(table.get, chunks)) for table, chunks in cut]
+        unknown = [k for k, got in enumerate(numbers) if None in got]
+        if unknown:
+            fresh = list(dict.fromkeys((" " + c if cut[k][0] is self.word else c) for k in unknown for c, n in zip(cut[k][1], numbers[k]) if n is None))
+            long = self._number_all(fresh)
+            for k in unknown:
+                table, chunks = cut[k]
+                numbers[k] = list(map(table.get, chunks))
+            for u in long:
+                table, key = self._place(u)
+                del table[key]
         out = []
-        for chunks in cut:
-            seq = np.array(self._expanded(list(map(known.__getitem__, chunks))), np.int64)
+        for got in numbers:
+            seq = np.array(self._expanded(got), np.int64)
             out.append(seq if len(seq) and seq.min() > 0 else seq[:0])
-        for c in set(fresh).union(chain.from_iterable(parts)) if any(len(c) > LONG_UNIT for c in fresh) else ():
-            if len(c) > LONG_UNIT:
-                del known[c]
         return out
 
-    def _chunks(self, text: str) -> list[str]:
+    def _number_all(self, chunks: list[str]) -> list[str]:
+        """Number new chunks and the units they are cut into; those too long to be remembered come back."""
+        parts = list(map(self.both.cut.split, chunks))
+        self._number([u for u in dict.fromkeys(chain.from_iterable(parts)) if self._find(u) is None])
+        for c, units in zip(chunks, parts):
+            if len(units) > 1:
+                self._remember(c, tuple(self._expanded(list(map(self._find, units)))))
+        return [u for u in dict.fromkeys(chain(chunks, chain.from_iterable(parts))) if len(u) > LONG_UNIT]
+
+    def _chunks(self, text: str) -> tuple[dict, list[str]]:
+        """What a text is cut into, and the table that has its numbers."""
         if not text:
-            return []
+            return self.word, []
         if text[0] != " " and not _INSIDE.search(text):
-            return [" " + c for c in text.split(" ")]
-        return self.both.units(text)
+            return self.word, text.split(" ")
+        units = self.both.units(text)
+        return _Lookup(self), units
+
+    def _place(self, unit: str) -> tuple[dict, str]:
+        return (self.word, unit[1:]) if unit[0] == " " else (self.known, unit)
+
+    def _find(self, unit: str) -> int | None:
+        return self.word.get(unit[1:]) if unit[0] == " " else self.known.get(unit)
 
     def _expanded(self, numbers: list[int]) -> list[int]:
         several = self.several
         return [m for n in numbers for m in (several[-n] if n < 0 else (n,))] if min(numbers, default=0) < 0 else numbers
 
-    def _remember(self, key: str, numbers: tuple[int, ...]) -> None:
-        """A key of one number as that; of several as a place among the ``several``."""
+    def _remember(self, unit: str, numbers: tuple[int, ...]) -> None:
+        """A unit of one number as that; of several as a place among the ``several``."""
+        table, key = self._place(unit)
         if len(numbers) == 1:
-            self.known[key] = numbers[0]
+            table[key] = numbers[0]
         else:
-            self.known[key] = -len(self.several)
+            table[key] = -len(self.several)
             self.several.append(numbers)
             self.bytes += 80 + 8 * len(numbers)
-        self._noted(key)
+        self._noted(unit)
 
-    def _noted(self, key: str) -> None:
-        self.bytes += len(key) + ENTRY_BYTES
+    def _noted(self, unit: str) -> None:
+        self.bytes += len(unit) + ENTRY_BYTES
         if self.kept is not None:
-            self.later.append(key)
+            self.later.append(unit)
 
     def _number(self, new: list[str]) -> None:
         good, flat, bad = self.both.encode(new)
@@ -327,7 +355,8 @@ class Units:
         self._add(flat, *self.both.align(flat), first)
         if len(parts) == parts.sum():
             for u, n in zip(good, range(first, first + len(good))):
-                self.known[u] = n
+                table, key = self._place(u)
+                table[key] = n
                 self._noted(u)
         else:
             for u, stop, n in zip(good, (first + np.cumsum(parts)).tolist(), parts.tolist()):

@@ -174,7 +174,7 @@ def test_long_units_are_aligned_in_pieces(monkeypatch):
     text = "".join(rnd.choice("etaoin-é~") for _ in range(30_000)) + " short " + "x" * 9000
     whole = align.Units(both)
     seq = whole.texts([text])[0]
-    assert max(map(len, whole.known)) <= align.LONG_UNIT  # long units are not kept
+    assert max(map(len, [*whole.known, *whole.word])) <= align.LONG_UNIT  # long units are not kept
     monkeypatch.setattr(align, "LONG_TOKENS", 100)
     cut = align.Units(both)
     parts = cut.texts([text])[0]
