@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .functions import scalars as S
 from .functions.declarations import COLUMNS, declarations
-from .functions.symbols import package_of_symbol
+from .functions.symbols import is_linker_data, package_of_symbol, package_of_type
 from .functions.template import compile_template
 from .operators import deadcode, weight
 from .operators.stats import Graph
-from .sources.warehouse import catalog, ctes, go_files, module_catalog, source_catalog, symbol_lines
+from .sources.warehouse import catalog, ctes, go_files, module_catalog, source_catalog, stamp, symbol_lines
 from .writers import tables
 
 STATS = ("package_count", "go_size", "go_lines", "go_blank", "decl_func")
@@ -30,12 +30,12 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-_ENGINES: dict[tuple[str, str], Engine] = {}
+_ENGINES: dict[tuple, Engine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """One engine per application and folder, so that commands share what is worked out of a graph."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """One engine per application and state of a folder, so that commands share what is worked out of a graph."""
+    key = spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir)
     if key not in _ENGINES:
         _ENGINES[key] = Engine(catalog(spark, sf_dir))
     return _ENGINES[key]
@@ -531,3 +531,46 @@ def template_builtins(spark, sf_dir):
     priority = F.col("o_orderpriority")
     fields = {"Key": F.col("o_orderkey"), "Price": F.col("o_totalprice").cast("double"), "Status": F.col("o_orderstatus"), "Zero": F.lit(0), "Text": F.lit("false"), "Rest": F.col("o_orderkey") % 5, "Ratio": (F.col("o_orderkey") % 5) / 4, "Words": F.array(F.substring(priority, 1, 1), F.substr(priority, F.lit(3)))}
     return o.select("o_orderkey", compile_template(BUILTINS, fields.__getitem__, o).alias("line"))
+
+
+#: What only tests held so far: loads without tests, the standard library, sizes of inputs, symbol kinds, aliases, the printed tree.
+expression("sel_test_minus", "order/...:-test", BASE + ORDERS)
+expression("pattern_std", "std + nation/1", BASE + "select id from packages where is_std or id = 'nation/1'")
+
+
+@query("list_without_std", BASE + f"select id, id || ' ' || name as line from packages where id in ({LIVE}) and not is_std")
+def list_without_std(spark, sf_dir):
+    return engine(spark, sf_dir).list("...", fmt="{{.ID}} {{.Name}}").select("id", "line")
+
+
+@query("exec_sizes", _STEPS + """, held as (select o_orderkey || '.go' as path, o_orderkey % 1000 as size from orders where o_orderkey % 2 = 0 union all select o_orderkey || '.s', 7 from orders union all select 'out/' || o_orderkey, o_orderkey from orders where o_orderkey % 3 = 0)
+select o_orderkey, coalesce(i.size, 0)::bigint as input_size, coalesce(o.size, 0)::bigint as output_size from steps left join held o on o.path = output
+left join (select o_orderkey, sum(size) as size from (select o_orderkey, unnest(string_split(inputs, ',')) as path from steps) u join held using (path) group by 1) i using (o_orderkey)""")
+def exec_sizes(spark, sf_dir):
+    from .operators.execlog import with_sizes
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    key = F.col("o_orderkey").cast("string")
+    kinds = o.where("o_orderkey % 2 = 0").select(F.concat(key, F.lit(".go")).alias("path"), (F.col("o_orderkey") % 1000).alias("size")), o.select(F.concat(key, F.lit(".s")).alias("path"), F.lit(7).cast("bigint").alias("size")), o.where("o_orderkey % 3 = 0").select(F.concat(F.lit("out/"), key).alias("path"), F.col("o_orderkey").alias("size"))
+    files = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return with_sizes(build_log(spark, sf_dir), files).select("o_orderkey", F.col("input_size").cast("bigint").alias("input_size"), F.col("output_size").cast("bigint").alias("output_size"))
+
+
+_SYMBOL = "case p_partkey % 7 when 0 then 'type:*' || p_brand || '/x.T' when 1 then 'go:itab.' || p_brand when 2 then p_brand || '..stmp_' || p_size when 3 then 'a/b.' || p_brand || '.arginfo1' when 4 then 'type:**a.b/' || p_brand || '.T' when 5 then ' a.b/' || p_brand else 'x/' || p_brand || '.F.g' end"
+
+
+@query("symbol_kinds", f"""select p_partkey, s as symbol, case p_partkey % 7 when 0 then p_brand || '/x' when 4 then 'a.b/' || p_brand when 2 then p_brand when 3 then 'a/b' when 6 then 'x/' || p_brand when 1 then 'go:itab' else '' end as package, p_partkey % 7 in (1, 2, 3) as linker_data from (select p_partkey, p_brand, {_SYMBOL} as s from part) p""")
+def symbol_kinds(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"{_SYMBOL} as symbol")
+    return rows.select("p_partkey", "symbol", package_of_type(F.col("symbol")).alias("package"), is_linker_data(F.col("symbol")).alias("linker_data"))
+
+
+@query("weight_diff_alias", _DIFF.replace("max(case when \"binary\" = 'v2' then size end) as size_1, max(case when \"binary\" = 'v3' then size end) as size_2", "max(case when \"binary\" = 'v3' then size end) as size_1").replace(", coalesce(size_2, 0) - coalesce(size_1, 0) as delta_2, coalesce(size_2, 0) - coalesce(size_0, 0) as total_delta", ", coalesce(size_1, 0) - coalesce(size_0, 0) as total_delta").replace("greatest(case when size_1 is null then 0 else abs(delta_1) end, case when size_2 is null then 0 else abs(delta_2) end)", "case when size_1 is null then 0 else abs(delta_1) end").replace("from symbols where code in ('T', 't', 'D', 'd', 'R', 'r') qualify", "from symbols where code in ('T', 't', 'D', 'd', 'R', 'r') and \"binary\" <> 'v2' qualify") + _aligned("select * from f", ["qualified_name", _right("coalesce(size_0::varchar, '-')", 7), _right("coalesce(size_1::varchar, '-')", 7), _delta("delta_1")], ["name", "    old", "    new", "  delta"], "abs(total_delta) desc, qualified_name", 4))
+def weight_diff_alias(spark, sf_dir):
+    pairs = [weight.parse_alias(a) for a in ("old=v1", "new=v3")]
+    return Engine.weight_diff_text(symbols(spark, sf_dir), [path for _, path in pairs], [alias for alias, _ in pairs], minimum=1024)
+
+
+@query("tree_print", ORACLES["tree_lines"].replace("select l.line::bigint as line, l.depth::bigint as depth, l.id, l.parent_id, case when l.line > f.line then f.line end::bigint as ref", ", told as (select l.line, l.depth, l.id, l.parent_id, case when l.line > f.line then f.line end as ref").replace("join lines f on f.path = b.path", "join lines f on f.path = b.path)") + " select line::bigint as line_no, rpad(line::varchar, 4, ' ') || repeat('  ', depth::int) || case when parent_id is not null and row_number() over (partition by parent_id order by id desc) = 1 then '  └ ' else '  ├ ' end || id || coalesce(' @' || ref, '') as line from told")
+def tree_print(spark, sf_dir):
+    return tables.tree_lines(engine(spark, sf_dir).tree(SMALL))

@@ -77,19 +77,30 @@ def _read(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-_MANIFESTS: dict[tuple[str, str], Catalog] = {}
+_MANIFESTS: dict[tuple, Catalog] = {}
+_TABLES = ("orders", "customer", "supplier", "nation", "region")
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of a warehouse's tables: what is derived from them holds as long as these do."""
+    out, jvm = [], spark.sparkContext._jvm
+    for name in _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+            out.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return tuple(out)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The manifest of a warehouse: derived once per application and folder, then read as plain tables."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The manifest of a warehouse: derived once per application and state of the folder, then read as plain tables."""
+    key = spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir)
     if key not in _MANIFESTS:
         _MANIFESTS[key] = _derive(spark, sf_dir)
     return _MANIFESTS[key]
 
 
 def _derive(spark: SparkSession, sf_dir: str) -> Catalog:
-    t = _read(spark, sf_dir, "orders", "customer", "supplier", "nation", "region")
+    t = _read(spark, sf_dir, *_TABLES)
     pk = spark.sql(PK_ORDER, orders=t["orders"])
     base = spark.sql(IMPORTS, pk_order=pk, customer=t["customer"], supplier=t["supplier"], nation=t["nation"])
     alt = spark.sql(ALT, imports_base=base, pk_order=pk)
