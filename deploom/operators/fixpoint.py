@@ -33,14 +33,14 @@ def shortcuts(edges: DataFrame, src: str, dst: str, within: tuple[str, ...] = ()
     return out
 
 
-def frontier_loop(seed: DataFrame, step, key: list[str], name: str = "frontier") -> DataFrame:
-    """Least fixpoint of ``visited = seed + step(new rows)``, unique by ``key``.
+def frontier_loop(seed: DataFrame, step, key: list[str], name: str = "frontier", visited: DataFrame | None = None) -> DataFrame:
+    """Least fixpoint of ``visited = seed + step(new rows)``, unique by ``key``; what is ``visited`` before stays and goes no further.
 
     ``step(frontier)`` gives candidate rows, unique by ``key``; those not visited become the next
     frontier.  Ends when there are none, on cyclic input too.
     """
     seed = materialise(seed, name)
-    visited, frontier, rounds = seed, seed, 0
+    visited, frontier, rounds = seed if visited is None else visited.unionByName(seed), seed, 0
     while True:
         frontier, found = counted(step(frontier).join(visited.select(*key), key, "left_anti").select(*seed.columns), name)
         if not found:
@@ -51,14 +51,26 @@ def frontier_loop(seed: DataFrame, step, key: list[str], name: str = "frontier")
             visited = materialise(visited, name)
 
 
-def closure(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members (id, variant) and everything they reach; where variants meet on an id, the first by name stays."""
+def closure(members: DataFrame, edges: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Members (id, variant) and everything they reach.
+
+    ``order``: variants by their first load.  Where several meet on an id, the one loaded first stays: its
+    members are followed to their end before the next one's.  Within one load, the first by name.
+    """
 
     def step(frontier):
         found = frontier.join(edges, (frontier["id"] == edges["src_id"]) & (frontier["variant"] == edges["variant"]))
         return found.groupBy(F.col("dst_id").alias("id")).agg(F.min("dst_variant").alias("variant"))
 
-    return frontier_loop(members.select("id", "variant"), step, ["id"], "closure")
+    members = members.select("id", "variant")
+    if len(order) < 2:
+        return frontier_loop(members, step, ["id"], "closure")
+    loaded, visited = F.split_part("variant", F.lit("#"), F.lit(1)), None
+    members = materialise(members, "members")
+    for own in (*[members.where(loaded == v) for v in order], members.where(~loaded.isin(*order))):
+        seed = own if visited is None else own.join(visited.select("id"), "id", "left_anti")
+        visited = frontier_loop(seed, step, ["id"], "closure", visited)
+    return visited
 
 
 def ancestors(targets: DataFrame, edges: DataFrame) -> DataFrame:

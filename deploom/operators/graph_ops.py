@@ -21,7 +21,7 @@ def own_edges(s: PackageSet) -> DataFrame:
 
 
 def closure(s: PackageSet) -> PackageSet:
-    return s.with_(fixpoint.closure(s.members, s.catalog.edges))
+    return s.with_(fixpoint.closure(s.members, s.catalog.edges, tuple(s.catalog.loaded)))
 
 
 def imports(s: PackageSet) -> PackageSet:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import graph_ops as ops
@@ -17,7 +19,7 @@ SELECTORS = {"all": ops.closure, "import": ops.imports, "imp": ops.imports, "mod
 
 class Evaluator:
     def __init__(self, catalog: Catalog, context: Context = Context(), default_pattern: str = "./...", compat_mod: bool = False):
-        self.catalog, self.context, self.default, self.compat_mod = catalog, context, default_pattern, compat_mod
+        self.catalog, self.context, self.default, self.compat_mod = replace(catalog, loaded=[]), context, default_pattern, compat_mod
         self.variables: dict[str, PackageSet] = {}
         self.memo: dict[tuple, PackageSet] = {}
 

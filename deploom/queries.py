@@ -574,3 +574,9 @@ def weight_diff_alias(spark, sf_dir):
 @query("tree_print", ORACLES["tree_lines"].replace("select l.line::bigint as line, l.depth::bigint as depth, l.id, l.parent_id, case when l.line > f.line then f.line end::bigint as ref", ", told as (select l.line, l.depth, l.id, l.parent_id, case when l.line > f.line then f.line end as ref").replace("join lines f on f.path = b.path", "join lines f on f.path = b.path)") + " select line::bigint as line_no, rpad(line::varchar, 4, ' ') || repeat('  ', depth::int) || case when parent_id is not null and row_number() over (partition by parent_id order by id desc) = 1 then '  └ ' else '  ├ ' end || id || coalesce(' @' || ref, '') as line from told")
 def tree_print(spark, sf_dir):
     return tables.tree_lines(engine(spark, sf_dir).tree(SMALL))
+
+
+@query("closure_of_variants", recursive(closure("a", "select 'cust/1' as id"), closure("b", ORDERS, "alt"), tables_=("packages", "imports_base", "alt")) + "select id, 'base' as variant from a union all select id, 'alt' from b where id not in (select id from a)")
+def closure_of_variants(spark, sf_dir):
+    """What two variants reach: the one loaded first stays."""
+    return engine(spark, sf_dir).calc("(cust/1 + alt=1(order/...)):all").members

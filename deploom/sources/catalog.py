@@ -54,6 +54,8 @@ class Catalog:
     variants: dict[str, str] = field(default_factory=dict)
     #: id of the package in the working folder, which ``.`` names; empty: the top packages of local modules
     root: str = ""
+    #: variants in the order of their first load by the expression that is worked out
+    loaded: list[str] = field(default_factory=list)
 
     @staticmethod
     def of(packages: DataFrame, imports: DataFrame, dump: DataFrame | None = None, variants: dict[str, str] | None = None, root: str = "") -> "Catalog":
@@ -97,6 +99,8 @@ class Catalog:
         """Members (id, variant) of one load; test packages only with ``tests``."""
         from ..operators.graph_ops import is_test
 
+        if self.variant(context) not in self.loaded:
+            self.loaded.append(self.variant(context))
         rows = self.packages.where((F.col("variant") == self.variant(context)) & self.matches(patterns))
         if not (context.tests if tests is None else tests):
             rows = rows.where(~is_test(F.col("id")))

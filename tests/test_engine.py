@@ -186,3 +186,17 @@ def test_modules(spark):
     assert got["e.test/u/v3"] == ("e.test/u", True, "e.test/u/v3 (local)")
     assert got["gopkg.in/q.v2"] == ("gopkg.in/q", True, "gopkg.in/q.v2@v2.4.0")
     assert got["f.test/m/s"][:2] == ("f.test/m", False) == got["f.test/m/v2"][:2]
+
+
+def test_variants_meet(spark):
+    """Where variants meet, the first loaded stays, whatever their names; the other order gives the other result."""
+    from deploom.sources.catalog import Catalog
+    from deploom.engine import Engine
+
+    packages = [(v, i, "p", None, False) for v in ("base", "tag=a") for i in ("r", "s", "x", "y", "z")]
+    imports = [("base", "r", "x"), ("base", "x", "y"), ("tag=a", "s", "x"), ("tag=a", "x", "z"), ("tag=a", "r", "z")]
+    c = Catalog.of(spark.createDataFrame(packages, "variant string, id string, name string, module_path string, is_std boolean"), spark.createDataFrame([(v, a, b, b) for v, a, b in imports], "variant string, src_id string, import_path string, dst_id string"))
+    run = lambda e: {(r["id"], r["variant"]) for r in Engine(c).calc(e).members.collect()}
+    assert run("(r + a=1(s)):all") == {("r", "base"), ("x", "base"), ("y", "base"), ("s", "tag=a")}
+    assert run("(a=1(s) + r):all") == {("r", "base"), ("x", "tag=a"), ("z", "tag=a"), ("s", "tag=a")}
+    assert run("(a=1(r) + x):all") == {("r", "tag=a"), ("z", "tag=a"), ("x", "base"), ("y", "base")}

@@ -8,7 +8,7 @@ from deploom import queries as Q
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-SOME = ["set_union", "set_subtract", "load_group", "sel_all", "sel_import", "sel_source", "sel_main", "sel_test", "fn_incoming", "expr_context", "graph_totals", "graph_degree", "module_tree", "file_line_stats", "mem_string", "mem_string_short", "rel_rename", "num_funcs", "nm_parse", "weight_rollup", "weight_topk", "weight_diff_cum", "deadcode_edges", "list_text", "weight_text", "weight_diff_text", "node_json", "exec_inputs", "exec_text", "exec_commands", "weight_own", "syntax_files", "syntax_list", "syntax_json", "module_paths", "pattern_here", "template_builtins", "list_format", "sel_test_minus", "pattern_std", "list_without_std", "exec_sizes", "symbol_kinds", "weight_diff_alias", "tree_print"]
+SOME = ["set_union", "set_subtract", "load_group", "sel_all", "sel_import", "sel_source", "sel_main", "sel_test", "fn_incoming", "expr_context", "graph_totals", "graph_degree", "module_tree", "file_line_stats", "mem_string", "mem_string_short", "rel_rename", "num_funcs", "nm_parse", "weight_rollup", "weight_topk", "weight_diff_cum", "deadcode_edges", "list_text", "weight_text", "weight_diff_text", "node_json", "exec_inputs", "exec_text", "exec_commands", "weight_own", "syntax_files", "syntax_list", "syntax_json", "module_paths", "pattern_here", "template_builtins", "list_format", "sel_test_minus", "pattern_std", "list_without_std", "exec_sizes", "symbol_kinds", "weight_diff_alias", "tree_print", "closure_of_variants"]
 
 
 @pytest.fixture(scope="module")
