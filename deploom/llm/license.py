@@ -66,15 +66,19 @@ def _before(numbers: Column, zero: int, combine) -> Column:
 
 def _places(words: Column, pattern: Column) -> Column:
     """Word intervals (s, e inclusive) of a pattern's matches, by the blanks before and inside each."""
-    pairs = F.filter(F.arrays_zip(F.split(words, pattern).alias("gap"), F.regexp_extract_all(words, pattern, F.lit(0)).alias("found")), lambda x: x["found"].isNotNull())
     half = lambda c: (_blanks(c) / 2).cast("bigint")
-    sizes = F.transform(pairs, lambda x: F.struct(half(x["gap"]).alias("gap"), half(x["found"]).alias("found")))
+
+    def sizes(found: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(F.split(words, pattern).alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
+        return F.transform(pairs, lambda x: F.struct(half(x["gap"]).alias("gap"), half(x["found"]).alias("found")))
 
     def placed(n: Column) -> Column:
         before = _before(F.transform(n, lambda x: x["gap"] + x["found"]), 0, lambda a, b: a + b)
         return F.transform(F.arrays_zip(n.alias("n"), before.alias("before")), lambda x: F.struct((x["before"] + x["n"]["gap"]).alias("s"), (x["before"] + x["n"]["gap"] + x["n"]["found"] - 1).alias("e")))
 
-    return _let(sizes, placed)
+    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")
+    # most patterns that are tried have no match: the text is not split for them
+    return _let(F.regexp_extract_all(words, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, _let(sizes(found), placed)).otherwise(none))
 
 
 def _kept(hits: Column, tiers: int) -> Column:
