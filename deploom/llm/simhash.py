@@ -10,9 +10,10 @@ equal bit blocks: within radius r two fingerprints agree on b - r of b blocks, w
 every pair meets in a bucket keyed by some b - r blocks.  b grows with the number of fingerprints
 (bucket sizes stay level), and buckets beyond ``TILE`` rows are split into tiles.
 
-``similar_documents`` groups by Jaccard similarity of word shingles instead.  Documents of 0.8 differ
-in some ten of 64 bits, a radius at which blocks no longer deal out pairs; there pairs meet by bands
-of minimal hashes, fingerprints discard, and what is left is verified on the shingles themselves.
+``similar_documents`` takes the links of these fingerprints and verifies them by the Jaccard similarity
+of word shingles.  Documents of 0.8 differ in some ten of 64 bits, a radius at which blocks no longer
+deal out pairs; pairs beyond ``RADIUS`` meet by bands of minimal hashes as well.  Pivot distances, then
+fingerprints discard, and what is left is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -216,6 +217,7 @@ def _set_prints(sets: list[np.ndarray]) -> np.ndarray:
 def _similar_links(group: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (places) of all pairs of one group whose sets have this Jaccard similarity."""
     prints, size, label = _set_prints(sets), np.array([len(h) for h in sets]), np.arange(len(sets))
+    table = np.bitwise_count(prints[:, None] ^ pivot_table()[None, :]).astype(np.int8)
     near, step = np.arange(len(sets) - 1), 1
     while len(near):
         near = near[near + step < len(sets)]
@@ -223,6 +225,9 @@ def _similar_links(group: np.ndarray, sets: list[np.ndarray], similarity: float,
         a, b = near, near + step
         keep = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
         a, b = a[keep], b[keep]
+        for k in range(table.shape[1]):
+            keep = np.abs(table[a, k] - table[b, k]) <= radius
+            a, b = a[keep], b[keep]
         keep = np.bitwise_count(prints[a] ^ prints[b]) <= radius
         a, b = a[keep], b[keep]
         both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], np.int64)
@@ -241,19 +246,25 @@ def similar_documents(docs: DataFrame, width: int = WORDS, similarity: float = S
     spark = docs.sparkSession
 
     def sketch(b):
-        node, keys = [], []
+        node, fp, keys = [], [], []
         for t in b.column(1).to_pylist():
             h = shingle_set(t.encode(), width)
             node.append(_set_name(h))
+            fp.append(int(_set_prints([h]).view(np.int64)[0]) if len(h) else None)
             keys.append(bands(h) if len(h) else None)
-        return {"doc_id": b.column(0), "key": b.column(2), "node": node, "bands": keys}
+        return {"doc_id": b.column(0), "key": b.column(2), "node": node, "fp": fp, "bands": keys}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), row_key(docs).alias("key"))
-    prints = written(map_batches(rows, sketch, "doc_id long, key binary, node long, bands array<long>"), "sketches")
-    # candidates: whoever shares a band, as stars; their components are the clusters to verify
+    prints = written(map_batches(rows, sketch, "doc_id long, key binary, node long, fp long, bands array<long>"), "sketches")
+    # candidates: links of fingerprints, and whoever shares a fingerprint or a band, as stars; their components are the clusters to verify
+    same = written(prints.where("fp is not null").groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("last")), "same_print")
+    hub = lambda side: same.select(F.col("fp").alias(side), F.col("hub").alias(side + "_hub"))
+    near = links(same.select("fp")).join(hub("a"), "a").join(hub("b"), "b").select(F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    near = near.unionByName(prints.join(same.where("hub <> last"), "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     banded = prints.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
-    clusters = components(banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    banded = banded.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    clusters = components(near.unionByName(banded))
     clusters = written(clusters, "clusters")
     large = clusters.groupBy("component").agg(F.count("*").alias("rows")).select("component", F.ceil(F.col("rows") / TILE_DOCUMENTS).cast("int").alias("tiles"))
     one = prints.join(clusters, "node").groupBy("node", "component").agg(F.min("key").alias("key")).join(large, "component")

@@ -62,3 +62,22 @@ def test_rows_without_id_and_repeats(spark, docs, none):
     assert got.columns == docs.columns
     ids = [r["doc_id"] for r in got.collect() if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and simhash.representatives(none, simhash.SIMILAR).count() == 0
+
+
+def test_stage_links_by_fingerprints_and_pivots(spark, monkeypatch):
+    """Links of fingerprints, found by pivots, are among the pairs that are verified; pivots discard before the bits are compared."""
+    texts = near_texts()
+    want, pairs = brute(texts)
+    name = lambda t: simhash._set_prints([simhash.shingle_set(t.encode())])[0]
+    near = [(a, b) for a, b in pairs if texts[a] and texts[b] and (name(texts[a]) ^ name(texts[b])).bit_count() <= simhash.RADIUS]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = []
+    monkeypatch.setattr(simhash, "links", lambda distinct, f=simhash.links: found.append(f(distinct)) or found[0])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert found[0].count() > 20 and got == want
+    assert len(near) > 20 and all(got[a] == got[b] for a, b in near)
+    seen = []
+    monkeypatch.setattr(simhash, "pivot_table", lambda n=simhash.PIVOTS, f=simhash.pivot_table: seen.append(n) or f(n))
+    sets = [simhash.shingle_set(texts[k].encode()) for k in range(8)]
+    simhash._similar_links(simhash.np.zeros(8, int), sets, simhash.SIMILAR, simhash.WIDE_RADIUS)
+    assert seen == [simhash.PIVOTS]
