@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.declarations import COLUMNS, declarations
+from ..functions.declarations import COLUMNS, counted, spread
 from ..functions.syntax import DECLS
 from ..functions.scalars import line_stats
 
@@ -21,11 +21,14 @@ def package_stats(packages: DataFrame, files: DataFrame) -> DataFrame:
     """
     each = [packages.select("variant", "id", F.lit(kind).alias("kind"), F.explode(column).alias("path")) for kind, column in (("go", "go_files"), ("other", "other_files"))]
     wanted = each[0].unionByName(each[1])
-    text = files.select("path", F.decode("content", "ISO-8859-1").alias("text"))
-    read = text.select("path", line_stats(F.col("text")).alias("s"), F.octet_length(F.encode("text", "ISO-8859-1")).cast("bigint").alias("bytes"))
-    sources = files.select("path", "content").join(wanted.where("kind = 'go'").select("path").distinct(), "path", "left_semi")
-    counted = declarations(sources, "content").withColumnRenamed("errors", "mistakes")
-    rows = wanted.join(read, "path", "left").join(counted, "path", "left").withColumn("found", F.col("s").isNotNull())
+    # a path's uses travel with its file, which is read once: one shuffle of the texts, none of paths behind it
+    uses = wanted.groupBy("path").agg(F.collect_list(F.struct("variant", "id", "kind")).alias("uses"))
+    found = uses.join(spread(files.select("path", "content", F.lit(True).alias("found")), "path"), "path", "left")
+    text = F.decode("content", "ISO-8859-1")
+    is_source = F.coalesce("found", F.lit(False)) & F.exists("uses", lambda u: u["kind"] == "go")
+    found = found.select("path", "uses", "content", F.coalesce("found", F.lit(False)).alias("found"), is_source.alias("is_source"), F.octet_length("content").cast("bigint").alias("bytes"), line_stats(text).alias("s"))
+    read = counted(found, "content", "is_source").withColumnRenamed("errors", "mistakes")
+    rows = read.select("*", F.explode("uses").alias("use")).select("use.*", *[c for c in read.columns if c != "uses"])
     missing, go = ~F.col("found"), F.col("kind") == "go"
     quoted = F.concat(F.lit('"'), "path", F.lit('"'))
     first, others = F.get("mistakes", F.lit(0)), F.size("mistakes") - 1
@@ -39,7 +42,7 @@ def package_stats(packages: DataFrame, files: DataFrame) -> DataFrame:
         for c in SOURCE:
             value = F.col("bytes") if c == "size" else F.col(f"s.{c}")
             absent = F.lit(1).cast("bigint") if (kind, c) == ("other", "files") else zero
-            out.append(F.sum(F.when(own, F.coalesce(value, absent)).otherwise(zero)).alias(prefix + c))
+            out.append(F.sum(F.when(own, F.coalesce(F.when(F.col("found"), value), absent)).otherwise(zero)).alias(prefix + c))
     out += [F.sum(F.when(go & F.col("parsed"), F.col(c)).otherwise(zero)).alias(("decl_" if c in DECLS else "token_") + c) for c in COLUMNS]
     sums = rows.groupBy("variant", "id").agg(*out, F.array_sort(F.collect_list(error)).alias("errors"))
     every = packages.select("variant", "id", F.lit(1).cast("bigint").alias("package_count")).join(sums, ["variant", "id"], "left")

@@ -1,9 +1,13 @@
 """Reading source files: tasks, how often texts are read, and what files of one shape share."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from deploom.functions import syntax
 from deploom.functions.declarations import declarations, read_source
+from deploom.functions.scalars import line_stats
+from deploom.sources.package_stats import package_stats
 
 
 def test_a_single_split_is_read_by_several_tasks(spark):
@@ -11,6 +15,18 @@ def test_a_single_split_is_read_by_several_tasks(spark):
     assert declarations(files).select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_texts_are_shuffled_and_read_once(spark):
+    packages = spark.createDataFrame([("base", "p", ["a.go"], [])], "variant string, id string, go_files array<string>, other_files array<string>")
+    files = spark.createDataFrame([("a.go", b"package p\n")], "path string, content binary")
+    plan = package_stats(packages, files)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow ", plan)) == 1 and len(re.findall(r"Join \[path#", plan)) == 1
+
+
+def test_lines_are_split_once(spark):
+    plan = spark.range(1).select(line_stats(F.col("id").cast("string")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("filter(") == 1
+
+
 def test_files_of_one_shape_are_walked_once(monkeypatch):
     monkeypatch.setattr(syntax, "_shapes", syntax._Shapes())
     a, b = (read_source(f"package {n}\n\n// {n}\nvar {n} = f({v}) // é\n\nfunc ({n} {{\n") for n, v in (("p", "1"), ("longer", '"x"')))
