@@ -3,15 +3,33 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from test_single_ways import check, chain, package_set, reach
 
 from deploom import queries as Q
-from deploom.operators import fixpoint, forest
+from deploom.operators import fixpoint, forest, walk
 from deploom.operators.stats import Graph
 from deploom.writers import reports
 
 
+def printed(size, edges):
+    """(line, depth, id, parent, ref) of the tree by walking it."""
+    below = {n: sorted(b for a, b in edges if a == n) for n in size}
+    out, shown = [], {}
+
+    def go(n, depth, parent):
+        out.append([len(out) + 1, depth, n, parent, None if n == "std" else shown.get(n)])
+        if n not in shown:
+            shown[n] = len(out)
+            for b in below[n] if n != "std" else ():
+                go(b, depth + 1, n)
+
+    for n in sorted(set(size) - {b for _, b in edges}):
+        go(n, 0, None)
+    return out
+
+
 def single_ways(seed, n, far):
     """Packages whose names say nothing of their place: each imports its next step (one of the ``far`` newest) and some of what that imports."""
     rnd = random.Random(seed)
@@ -35,12 +53,47 @@ def no_paths(monkeypatch):
         monkeypatch.setattr(fixpoint, name, refused)
 
 
+def test_walk_opens_what_a_reader_would(spark):
+    rnd = random.Random(5)
+    for _ in range(300):
+        n = rnd.randint(2, 12)
+        names = rnd.sample([f"n{k:02d}" for k in range(40)], n)
+        below = {names[n - 1]: {"z"}}
+        for k in range(n - 2, -1, -1):
+            below[names[k]] = {names[k + 1]} | {x for x in below[names[k + 1]] if rnd.random() < 0.7}
+        edges = [(a, b) for a in names for b in below[a]]
+        before = [sum(len(below[x]) for x in names[:k]) for k in range(n)]
+        rows = []
+        for i, a in enumerate(names):
+            seen = []
+            for nth, b in enumerate(sorted(below[a]), 1):
+                to = names.index(b) if b in names else None
+                least = min(seen, default=None)
+                rows.append((a, b, 7, i, 1, len(edges), nth, least, None if least is None else before[least], to, None if to is None else before[to]))
+                seen += [] if to is None else [to]
+        batch = pa.RecordBatch.from_pylist([dict(zip(("a", "b", *walk.GIVEN), r)) for r in rows], pa.schema([("a", pa.string()), ("b", pa.string()), *[(c, pa.int64()) for c in walk.GIVEN]]))
+        cut = rnd.randrange(len(rows) + 1)
+        got = [r for b in walk.walker(("a", "b"))([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
+        want = printed(dict.fromkeys([*names, "z"], 1), edges)
+        assert sorted((r["line"], r["depth"], r["b"], r["a"]) for r in got) == [tuple(w[:4]) for w in want[1:]]
+        assert {r["line"] for r in got if r["opened"]} == {w[0] for w in want[1:] if w[4] is None and w[2] != "z"}
+
+
+@pytest.mark.parametrize("seed, n, far", [(1, 70, 2), (2, 60, 12)])
+def test_tree_needs_no_paths(spark, no_paths, seed, n, far):
+    size, edges = single_ways(seed, n, far)
+    got = sorted([r["line"], r["depth"], r["id"], r["parent_id"], r["ref"]] for r in Graph(package_set(spark, size, edges)).tree().collect())
+    assert got == printed(size, edges)
+
+
 def test_long_lines_are_cut(spark, monkeypatch):
     """No line is longer than ``LINE``: what is cut adds up as lines do."""
     monkeypatch.setattr(forest, "LINE", 4)
     size, edges = chain()
     graph = check(spark, size, edges)
     assert graph.forest().lines.agg({"n": "max"}).first()[0] <= 4
+    got = sorted([r["line"], r["depth"], r["id"], r["parent_id"], r["ref"]] for r in graph.tree().collect())
+    assert got == printed(size, edges)
 
 
 def test_node_records(spark, no_paths):
