@@ -86,6 +86,16 @@ def test_tree_needs_no_paths(spark, no_paths, seed, n, far):
     assert got == printed(size, edges)
 
 
+def test_printed_tree_needs_no_paths(spark, no_paths):
+    at = "/root/testdata/sf0.001"
+    rows = {r["line"]: r for r in Q.QUERIES["tree_lines_whole"](spark, at).collect()}
+    lines = [r["line"] for r in Q.QUERIES["tree_text"](spark, at).orderBy("line_no").collect()]
+    assert len(lines) == len(rows) > 1000
+    for k, line in enumerate(lines, 1):
+        r = rows[k]
+        assert line.startswith(f"{k:<4}" + "  " * r["depth"] + "  ") and r["id"] in line and (r["ref"] is None or line.endswith(f" @{r['ref']}"))
+
+
 def test_long_lines_are_cut(spark, monkeypatch):
     """No line is longer than ``LINE``: what is cut adds up as lines do."""
     monkeypatch.setattr(forest, "LINE", 4)
